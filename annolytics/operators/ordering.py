@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from annolytics.functions import geometry as g
 from annolytics.functions.hashing import file_stem
@@ -200,7 +201,7 @@ def shared_once(rows: DataFrame, order: str = "ord") -> DataFrame:
     return rows.join(first, ["panel_id", "bubble_id"], "left").withColumn("mode", mode).drop("_first")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(names: pd.Series) -> pd.Series:
     folded = names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
     return folded.where(names.notna(), None)

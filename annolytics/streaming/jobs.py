@@ -6,21 +6,32 @@ updated_at, in order of (updated_at, job_id).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from annolytics.plans.skew import running_total
+from annolytics.plans.storage import fresh_dir
+from annolytics.streaming.runs import finish
 
 ACTIVE, FINISHED = ("queued", "running"), ("done", "error")
 
 # Fixed value: seconds a finished job is kept.
 JOB_TTL_SECONDS = 900
 
-REUSE_SCHEMA = "request_key string, job_id bigint, owner_id bigint, reused boolean"
+
+def _with_owner(events: DataFrame) -> DataFrame:
+    """Events with ``cut`` (finished events of the request so far) and the first
+    active job of that cut."""
+    order = ["updated_at", "job_id"]
+    cut = running_total(events, ["request_key"], order, F.col("status").isin(*FINISHED).cast("int"), "cut")
+    owner = cut.where(F.col("status").isin(*ACTIVE)).groupBy("request_key", "cut").agg(
+        F.min_by("job_id", F.struct(*order)).alias("owner_id"))
+    return cut.join(owner, ["request_key", "cut"], "left")
+
+
+def _served(owned: DataFrame) -> DataFrame:
+    return owned.where(F.col("status").isin(*ACTIVE)).select(
+        "request_key", "job_id", "owner_id", (F.col("job_id") != F.col("owner_id")).alias("reused"))
 
 
 def dedupe_jobs(events: DataFrame) -> DataFrame:
@@ -30,13 +41,7 @@ def dedupe_jobs(events: DataFrame) -> DataFrame:
     A running count of finished events cuts each request's history, and the
     first active event of a cut is a plain minimum.
     """
-    order = ["updated_at", "job_id"]
-    cut = running_total(events, ["request_key"], order, F.col("status").isin(*FINISHED).cast("int"), "_cut")
-    active = cut.where(F.col("status").isin(*ACTIVE))
-    owner = active.groupBy("request_key", "_cut").agg(
-        F.min_by("job_id", F.struct(*order)).alias("owner_id"))
-    joined = active.join(owner, ["request_key", "_cut"])
-    return joined.select("request_key", "job_id", "owner_id", (F.col("job_id") != F.col("owner_id")).alias("reused"))
+    return _served(_with_owner(events))
 
 
 def first_active(events: DataFrame) -> DataFrame:
@@ -46,30 +51,39 @@ def first_active(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"))
 
 
-def dedupe_job_stream(events: DataFrame) -> DataFrame:
-    """The streaming form of :func:`dedupe_jobs`. State per request is one job
-    id. Events reach a request's function in Arrow batches, sorted before
-    (each micro-batch must not be older than the one before)."""
-
-    def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["updated_at", "job_id"])
-        out = []
-        for job, status in zip(rows["job_id"], rows["status"]):
-            if status in FINISHED:
-                owner = None
-            else:
-                owner = job if owner is None else owner
-                out.append((key[0], job, owner, job != owner))
-        if owner is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(owner),))
-        yield pd.DataFrame(out, columns=["request_key", "job_id", "owner_id", "reused"])
-
-    return events.groupBy("request_key").applyInPandasWithState(
-        serve, REUSE_SCHEMA, "owner bigint", "append", GroupStateTimeout.NoTimeout)
+def dedupe_job_stream(events: DataFrame, timeout: int = 600) -> DataFrame:
+    """The streaming form of :func:`dedupe_jobs`, drained into a table.
+
+    Each micro-batch is deduplicated together with the open job of each request
+    left by the batch before, which enters as the oldest event. State is a
+    table with one row per request with an open job, one version per batch, so
+    a repeated batch starts from the same state. Batches must come in time order.
+    """
+    spark = events.sparkSession
+    target = fresh_dir(spark, "jobs")
+    columns = ["request_key", "job_id", "status", "updated_at"]
+
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*columns, F.lit(False).alias("carried"))
+        if number > 0:
+            opened = spark.read.parquet(f"{target}/open/{number - 1}").select(
+                "request_key", F.col("owner_id").alias("job_id"), F.lit("running").alias("status"),
+                "updated_at", F.lit(True).alias("carried"))
+            rows = rows.unionByName(opened)
+        owned = _with_owner(rows)
+        owned.write.mode("overwrite").parquet(f"{target}/owned/{number}")
+        owned = spark.read.parquet(f"{target}/owned/{number}")
+        _served(owned.where(~F.col("carried"))).write.mode("overwrite").parquet(f"{target}/served/batch={number}")
+        last = owned.groupBy("request_key").agg(
+            F.max_by("owner_id", "cut").alias("owner_id"), F.min("updated_at").alias("updated_at"))
+        last.where(F.col("owner_id").isNotNull()).write.mode("overwrite").parquet(f"{target}/open/{number}")
+
+    query = (
+        events.writeStream.foreachBatch(store).option("checkpointLocation", f"{target}/state")
+        .trigger(availableNow=True).start()
+    )
+    finish(query, timeout)
+    return spark.read.parquet(f"{target}/served").drop("batch")
 
 
 def latest_status(events: DataFrame, keys: tuple[str, ...] = ("request_key",)) -> DataFrame:

@@ -22,7 +22,7 @@ def run_appending(stream: DataFrame, timeout: int = 600) -> DataFrame:
         .option("path", f"{target}/data").option("checkpointLocation", f"{target}/state")
         .trigger(availableNow=True).start()
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     return spark.read.schema(stream.schema).parquet(f"{target}/data")
 
 
@@ -41,13 +41,13 @@ def run_updating(stream: DataFrame, keys: list[str], timeout: int = 600) -> Data
         stream.writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     updates = spark.read.option("basePath", f"{target}/data").parquet(f"{target}/data")
     latest = F.max_by(F.struct(*stream.columns), F.col("batch")).alias("_row")
     return updates.groupBy(*keys).agg(latest).select("_row.*")
 
 
-def _finish(query, timeout: int) -> None:
+def finish(query, timeout: int) -> None:
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
