@@ -67,7 +67,7 @@ MAX_PATHS, MAX_PATH_LENGTH = 64, 12_000
 
 def stroke_paths(xml: Column) -> Column:
     """Safe path data of an SVG document, the first 64."""
-    paths = F.transform(F.xpath(xml, F.lit("//*[local-name()='path']/@d")), F.btrim)
+    paths = F.transform(F.xpath(xml, F.lit("//*[local-name()='path']/@d")), lambda d: F.btrim(d))
     safe = F.filter(paths, lambda d: (F.length(d) <= MAX_PATH_LENGTH) & d.rlike(PATH_PATTERN))
     return F.slice(safe, 1, MAX_PATHS)
 

@@ -144,7 +144,7 @@ def distinct_chars(text: Column, script: str = IDEOGRAPH, ordered: bool = True)
 
 def ordered_distinct(values: Column) -> Column:
     """Trimmed, non-blank, distinct, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(values, F.btrim), lambda v: F.length(v) > 0))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.btrim(v)), lambda v: F.length(v) > 0))
 
 
 def every_nth(values: Column, limit: int) -> Column:
@@ -200,7 +200,7 @@ def structured_readings(readings: Column) -> Column:
             F.replace(kana_to_romaji(p), F.lit(" "), F.lit(""))))
         return F.struct(kana.alias("kana"), F.array_join(roman, "").alias("romaji"))
 
-    kept = F.filter(F.transform(readings, F.btrim), lambda r: F.length(r) > 0)
+    kept = F.filter(F.transform(readings, lambda r: F.btrim(r)), lambda r: F.length(r) > 0)
     return F.transform(kept, one)
 
 

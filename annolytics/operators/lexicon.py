@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from annolytics.functions import lexicon as lx
 from annolytics.functions import text as tx
 from annolytics.plans.skew import ordered_text, small_side, top_rows
+from annolytics.plans.storage import settle
 
 WORD = ["text", "reading"]
 
@@ -86,8 +87,7 @@ def lookup_words(words: DataFrame, ranked: DataFrame) -> DataFrame:
 def attach_lookup(tokens: DataFrame, lookup: DataFrame) -> DataFrame:
     """Tokens with the lookup of their surface (and reading) or, failing entries,
     of their lemma; with neither, the first miss stays."""
-    table = lookup.where(F.col("entries").isNotNull())
-    table = small_side(table)
+    table = small_side(settle(lookup.where(F.col("entries").isNotNull())))
     by_surface = table.select(
         F.col("text").alias("_s"), F.col("reading").alias("_r"), F.struct("entries", "candidate_count").alias("_a"))
     by_lemma = table.where(F.col("reading") == "").select(

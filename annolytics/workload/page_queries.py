@@ -448,7 +448,7 @@ def shared_once(t: Tables) -> DataFrame:
 @query("uncovered_segments", f"""
 with c as (select * from placed_boxes where source = 'detected' and component_area > 50),
 b as (select * from placed_boxes where source = 'manual'),
-j as (select a.panel_id, a.ord, max(coalesce({_OVERLAP}, 0)) as best_overlap, any_value({_AREA_A}) as area
+j as (select a.panel_id, a.ord, max(case when b.panel_id is null then 0 else {_OVERLAP} end) as best_overlap, any_value({_AREA_A}) as area
   from c a left join b on a.panel_id = b.panel_id group by a.panel_id, a.ord)
 select panel_id, ord, best_overlap from j where best_overlap / area < 0.5
 """)
@@ -610,17 +610,17 @@ def diverse_topk_bins(t: Tables) -> DataFrame:
 with recursive t as (select panel_id, greatest(24, cast(trunc(list_sort(list(height))[count(*) // 2 + 1] * 0.7e0) as int)) as tol from placed_boxes group by panel_id),
 n as (select panel_id, ord, x, y, width, y + height / 2 as c, tol, row_number() over (partition by panel_id order by y, -x, ord) as i
   from placed_boxes join t using (panel_id)),
-r as (select panel_id, 0::bigint as i, []::struct(s double, n bigint)[] as bands, []::bigint[] as at from t
+r as (select panel_id, 0::bigint as i, []::struct(s double, n bigint)[] as bands, []::bigint[] as spots from t
   union all
   select panel_id, i, case when hit > 0 then list_transform(bands, lambda b, k: case when k = hit then struct_pack(s := b.s + c, n := b.n + 1) else b end)
     else list_append(bands, struct_pack(s := c, n := 1::bigint)) end,
-    list_append(at, case when hit > 0 then hit else len(bands) + 1 end)
-  from (select n.panel_id, n.i, n.c, r.bands, r.at,
+    list_append(spots, case when hit > 0 then hit else len(bands) + 1 end)
+  from (select n.panel_id, n.i, n.c, r.bands, r.spots,
     coalesce(list_position(list_transform(r.bands, lambda b: abs(n.c - b.s / b.n) <= n.tol), true), 0) as hit
     from r join n on n.panel_id = r.panel_id and n.i = r.i + 1)),
-f as (select panel_id, arg_max(at, i) as at from r group by panel_id)
-select n.panel_id, n.ord, f.at[n.i] as band,
-  row_number() over (partition by n.panel_id order by f.at[n.i], -(n.x + n.width / 2), n.y, -n.x, n.ord) as reading_order
+f as (select panel_id, arg_max(spots, i) as spots from r group by panel_id)
+select n.panel_id, n.ord, f.spots[n.i] as band,
+  row_number() over (partition by n.panel_id order by f.spots[n.i], -(n.x + n.width / 2), n.y, -n.x, n.ord) as reading_order
 from n join f using (panel_id)
 """)
 def reading_order_bands(t: Tables) -> DataFrame:

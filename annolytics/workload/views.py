@@ -65,7 +65,7 @@ VIEWS: dict[str, View] = {
          "l_linestatus = 'F' as computed", "case when l_returnflag = 'A' then 'manual' else 'detected' end as source",
          "case when l_returnflag = 'R' then 'vertical' end as forced_orientation",
          "cast(l_linenumber as int) as line_count", "cast(l_linenumber * 3 as int) as font_size",
-         "l_tax as mask_score", "cast(l_suppkey as bigint) as component_area",
+         "l_tax as mask_score", "cast(45 + l_suppkey % 10 as bigint) as component_area",
          "case when l_returnflag = 'N' then 'eng' else 'ja' end as language",
          "l_partkey as _p", "l_suppkey as _s", "l_extendedprice as _e", "l_shipdate as _d", "l_linenumber as _l"),
         keys=("panel_id",), order=("_l", "_p", "_s", "_e", "_d"),
@@ -315,6 +315,7 @@ def with_views(text: str, local: tuple[str, ...] = ()) -> str:
         return text
     parts = [f"{n} as ({SPECIAL[n] if n in SPECIAL else VIEWS[n].sql()})" for n in ordered]
     body = text.strip()
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join(parts) + ",\n" + body[5:]
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            return opening + ",\n".join(parts) + ",\n" + body[len(opening):]
     return "with " + ",\n".join(parts) + "\n" + body
