@@ -450,7 +450,7 @@ with c as (select * from placed_boxes where source = 'detected' and component_ar
 b as (select * from placed_boxes where source = 'manual'),
 j as (select a.panel_id, a.ord, max(case when b.panel_id is null then 0 else {_OVERLAP} end) as best_overlap, any_value({_AREA_A}) as area
   from c a left join b on a.panel_id = b.panel_id group by a.panel_id, a.ord)
-select panel_id, ord, best_overlap from j where best_overlap / area < 0.5
+select panel_id, ord, best_overlap from j where best_overlap / (area + 1e-10) < 0.5
 """)
 def uncovered_segments(t: Tables) -> DataFrame:
     blocks, lines = _blocks_and_lines(t)
