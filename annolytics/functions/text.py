@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -59,14 +60,27 @@ def _pairs(table: str) -> dict[str, str]:
 ROMAJI = {**_pairs(HEPBURN), **_pairs(HEPBURN_PAIRS)}
 KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
-# One mora with the long and doubling marks before it, or marks at the end.
-MORA = "(?s)[っー]*(?:" + "|".join(_pairs(HEPBURN_PAIRS)) + "|[^っー])|[っー]+"
+# Kana the tables read, as a character class.
+_READ = "".join(k for k in ROMAJI if len(k) == 1)
 
 
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_chars(text: Column, chars: str) -> Column:
+    """Characters of a class (written like ``[a-z]``): the length left when all
+    runs of other characters are removed. Unlike a match count it builds no
+    array of single characters."""
+    others = f"[{chars[2:-1]}]+" if chars.startswith("[^") else f"[^{chars[1:-1]}]+"
+    return F.length(F.regexp_replace(text, others, ""))
+
+
+def count_signs(text: Column, signs: str) -> Column:
+    """Occurrences of any of a few given characters."""
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
 def clean_text(text: Column) -> Column:
     """Without white space and vertical bars; the wording stays."""
     return F.regexp_replace(text, r"[\s\p{Z}|｜]+", "")
@@ -74,17 +88,17 @@ def clean_text(text: Column) -> Column:
 
 def script_counts(text: Column, script: str = SCRIPT) -> dict[str, Column]:
     return {
-        "kana": count_matches(text, KANA), "ideographs": count_matches(text, IDEOGRAPH),
-        "latin": count_matches(text, LATIN), "digits": count_matches(text, DIGIT),
-        "script": count_matches(text, script),
-        "script_ratio": count_matches(text, script) / F.greatest(F.lit(1), F.length(text)),
+        "kana": count_chars(text, KANA), "ideographs": count_chars(text, IDEOGRAPH),
+        "latin": count_chars(text, LATIN), "digits": count_chars(text, DIGIT),
+        "script": count_chars(text, script),
+        "script_ratio": count_chars(text, script) / F.greatest(F.lit(1), F.length(text)),
     }
 
 
 def baseline_score(text: Column, script: str = SCRIPT) -> Column:
     """3 per script character plus the length, less 8 per bad character; -100 when empty."""
-    bad = count_matches(text, "[�?]")
-    score = count_matches(text, script) * 3 + F.length(text) - bad * 8
+    bad = count_signs(text, "�?")
+    score = count_chars(text, script) * 3 + F.length(text) - bad * 8
     return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, score).otherwise(-100)
 
 
@@ -95,7 +109,7 @@ def repeated_run(text: Column) -> Column:
 
 def text_warnings(text: Column, score: Column, close_scores: Column, script: str = SCRIPT) -> Column:
     """Quality hints in a fixed order; an empty text gives only 'empty_ocr'."""
-    found = count_matches(text, script)
+    found = count_chars(text, script)
     length = F.length(text)
     hints = F.array(
         F.when(found == 0, F.lit("no_japanese_chars"))
@@ -162,34 +176,23 @@ def katakana_to_hiragana(text: Column) -> Column:
 def kana_to_romaji(text: Column) -> Column:
     """Hepburn romanisation; characters outside the tables pass through.
 
-    The text is cut into morae, each with the marks before it. A long mark
-    repeats the last vowel of the mora before; a doubling mark doubles the first
-    letter of its own mora (t before ch), except for a lone n.
+    A long mark repeats the vowel right before it; a doubling mark doubles the
+    first letter of what follows (t before ch), except for a lone n. The whole
+    text goes through a few passes, marks first: in a run of marks the long
+    ones move to the front and one doubling mark stays at the end, so that each
+    kind sees its own neighbour.
     """
-    table = F.create_map(*(F.lit(part) for pair in ROMAJI.items() for part in pair))
-    units = F.regexp_extract_all(katakana_to_hiragana(text), F.lit(MORA), 0)
-
-    def read(unit: Column) -> Column:
-        marks = F.regexp_extract(unit, "^[っー]*", 0)
-        kana = F.substring(unit, F.length(marks) + 1, F.length(unit))
-        return F.struct(
-            F.length(F.replace(marks, F.lit("っ"), F.lit(""))).alias("long"),
-            F.contains(marks, F.lit("っ")).alias("double"),
-            F.coalesce(F.try_element_at(table, kana), kana).alias("roman"),
-        )
-
-    def spell(morae: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(morae, i - 1)["roman"]).otherwise(F.lit(""))
-            vowel = F.regexp_extract(before, "([aeiou])[^aeiou]*$", 1)
-            lead = F.when(m["roman"].startswith("ch"), F.lit("t")).otherwise(F.substring(m["roman"], 1, 1))
-            doubled = m["double"] & m["roman"].rlike(r"^\p{L}") & (m["roman"] != "n")
-            return F.concat(
-                F.repeat(vowel, m["long"]), F.when(doubled, lead).otherwise(F.lit("")), m["roman"])
-
-        return F.array_join(F.transform(morae, one), "")
-
-    return F.element_at(F.transform(F.array(F.transform(units, read)), spell), 1)
+    text = katakana_to_hiragana(text)
+    text = F.regexp_replace(text, "(っ[っー]*ー)(?![っー])", "$1っ")
+    text = F.regexp_replace(text, "っ(?=[っー])", "")
+    text = F.regexp_replace(text, "っ([んn])", "$1")
+    text = F.regexp_replace(text, rf"っ([\p{{L}}&&[^{_READ}っー]])", "$1$1")
+    for kana, roman in sorted(ROMAJI.items(), key=lambda item: -len(item[0])):
+        text = F.replace(text, F.lit(kana), F.lit(roman))
+    for vowel in "aeiou":
+        text = F.regexp_replace(text, rf"(?:(?<={vowel})|\G(?<=ー))ー", vowel)
+    text = F.replace(F.replace(text, F.lit("ー"), F.lit("")), F.lit("っch"), F.lit("tch"))
+    return F.replace(F.regexp_replace(text, "っ([a-z])", "$1$1"), F.lit("っ"), F.lit(""))
 
 
 def structured_readings(readings: Column) -> Column:
@@ -265,13 +268,50 @@ def token_classes(tokens: Column, script: str = SCRIPT, hints: Sequence[str] = (
     return F.array_join(F.transform(tokens, one), "")
 
 
-def plausibility(text: Column, classes: Column, script: str = SCRIPT) -> dict[str, Column]:
-    """Ratios, penalties and a score within -12..20 for a text and its token classes."""
-    shown = F.regexp_replace(text, r"[\s\p{Z}]+", "")
-    char_ratio = count_matches(shown, script) / F.greatest(F.lit(1), F.length(shown))
-    scored = count_matches(classes, "[^s]")
-    native, known = count_matches(classes, "[ko]"), count_matches(classes, "[kh]")
-    latin, opaque = count_matches(classes, "l"), count_matches(classes, "[oldx]")
+def char_counts(text: Column, script: str = SCRIPT) -> dict[str, Column]:
+    """Script characters, and characters other than white space."""
+    return {
+        "script_chars": count_chars(text, script),
+        "shown_chars": F.length(F.regexp_replace(text, r"[\s\p{Z}]+", "")),
+    }
+
+
+def class_counts(classes: Column) -> dict[str, Column]:
+    """Token counts from the class letters of :func:`token_classes`."""
+    return {
+        "tokens": F.length(classes), "scored": count_matches(classes, "[^s]"),
+        "native": count_matches(classes, "[ko]"), "known": count_matches(classes, "[kh]"),
+        "latin": count_matches(classes, "l"),
+    }
+
+
+def run_lines(text: Column) -> Column:
+    """The native tokens of a text, one per line."""
+    return F.array_join(script_runs(text), "\n")
+
+
+def run_counts(lines: Column, script: str = SCRIPT, hints: Sequence[str] = ()) -> dict[str, Column]:
+    """The same counts for unanalysed tokens, one per line: a handful of regular
+    expression passes over the whole text instead of a rule per token. Without
+    analysis a token is known only as a hint, in script or free of Latin letters
+    and digits."""
+    usable = [h for h in hints if re.search(script, h) or not re.search(f"{LATIN}|{DIGIT}", h)]
+    tokens = F.when(F.length(lines) > 0, count_matches(lines, "\n") + 1).otherwise(0)
+    signs = count_chars(lines, rf"[^\p{{L}}\p{{N}}{SCRIPT[1:-1]}{script[1:-1]}\n]")
+    known = count_matches(lines, "(?m)^(?:" + "|".join(re.escape(h) for h in usable) + ")$") if usable else F.lit(0)
+    inner = script[1:-1]
+    return {
+        "tokens": tokens, "scored": tokens - signs, "known": known,
+        "native": count_matches(lines, f"(?m)^[^\n{inner}]*{script}.*$"),
+        "latin": count_matches(lines, f"(?m)^(?!.*[{inner}0-9０-９]).*{LATIN}.*$"),
+    }
+
+
+def plausibility(counts: dict[str, Column]) -> dict[str, Column]:
+    """Ratios, penalties and a score within -12..20 from token and character counts."""
+    char_ratio = counts["script_chars"] / F.greatest(F.lit(1), counts["shown_chars"])
+    scored, native, known, latin = (counts[k] for k in ("scored", "native", "known", "latin"))
+    opaque = scored - known
     total = F.greatest(F.lit(1), scored)
     shape = F.when(native > 0, F.least(scored, F.lit(8)) / 8).otherwise(F.lit(0.0))
     mixed = F.when((latin > 0) & (native == 0), F.lit(-12.0)).when(
@@ -279,14 +319,14 @@ def plausibility(text: Column, classes: Column, script: str = SCRIPT) -> dict[st
     majority = F.when(opaque / total >= 0.75, F.lit(-6.0)).otherwise(F.lit(0.0))
     foreign = F.when(char_ratio < 0.35, F.lit(-6.0)).otherwise(F.lit(0.0))
     score = known / total * 10.0 + native / total * 8.0 + shape * 4.0 + mixed + majority + foreign
-    some = F.length(classes) > 0
+    some = counts["tokens"] > 0
 
     def when_some(value: Column) -> Column:
         return F.when(some, value).otherwise(F.lit(0.0))
 
     return {
         "score": when_some(F.round(F.greatest(F.lit(-12.0), F.least(F.lit(20.0), score)), 3)),
-        "token_count": F.length(classes), "scored_token_count": scored,
+        "token_count": counts["tokens"], "scored_token_count": scored,
         "known_ratio": when_some(F.round(known / total, 3)),
         "script_token_ratio": when_some(F.round(native / total, 3)),
         "latin_token_ratio": when_some(F.round(latin / total, 3)),

@@ -49,12 +49,28 @@ def with_consensus(candidates: DataFrame) -> DataFrame:
 
 
 def with_plausibility(df: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = ()) -> DataFrame:
-    """Adds the plausibility measures of ``text`` (columns p_*), token by token
-    inside the row: no shuffle, whole texts."""
-    tokens = tx.plain_tokens(tx.script_runs(F.col("text")))
-    classes = df.withColumn("_classes", tx.token_classes(tokens, script, hints))
-    measures = tx.plausibility(F.col("text"), F.col("_classes"), script)
-    return classes.withColumns({f"p_{k}": v for k, v in measures.items()}).drop("_classes")
+    """Adds the plausibility measures of ``text`` (columns p_*), inside the row:
+    no shuffle, whole texts. Each stage is a column of its own, so that a count
+    is made once however many measures use it."""
+    lined = df.withColumn("_lines", tx.run_lines(F.col("text")))
+    counts = {**tx.run_counts(F.col("_lines"), script, hints), **tx.char_counts(F.col("text"), script)}
+    counted = lined.withColumns({f"_c_{k}": v for k, v in counts.items()})
+    measures = tx.plausibility({k: F.col(f"_c_{k}") for k in counts})
+    return counted.withColumns({f"p_{k}": v for k, v in measures.items()}).drop(
+        "_lines", *(f"_c_{k}" for k in counts))
+
+
+def analysed_plausibility(
+    df: DataFrame, tokens: str = "tokens", script: str = tx.SCRIPT, hints: Sequence[str] = (),
+) -> DataFrame:
+    """The same measures from an analyser's tokens, an array of (surface, lemma,
+    reading, pos) held in the row."""
+    classed = df.withColumn("_classes", tx.token_classes(F.col(tokens), script, hints))
+    counts = {**tx.class_counts(F.col("_classes")), **tx.char_counts(F.col("text"), script)}
+    counted = classed.withColumns({f"_c_{k}": v for k, v in counts.items()})
+    measures = tx.plausibility({k: F.col(f"_c_{k}") for k in counts})
+    return counted.withColumns({f"p_{k}": v for k, v in measures.items()}).drop(
+        "_classes", *(f"_c_{k}" for k in counts))
 
 
 # Bonus for the expected orientation by preference.
@@ -80,9 +96,9 @@ def score_candidates(
     length = F.length(text)
     odd = f"[^{script[1:-1]}{tx.ORDINARY_MARKS}" + r"\p{L}\p{N}_]"
     measured = agreed.withColumns({
-        "_len": length, "_script": tx.count_matches(text, script),
-        "_bad": tx.count_matches(text, "[�?]") + tx.count_matches(text, "ï¿½"),
-        "_odd": tx.count_matches(text, odd),
+        "_len": length, "_script": tx.count_chars(text, script),
+        "_bad": tx.count_signs(text, "�?") + tx.count_matches(text, "ï¿½"),
+        "_odd": tx.count_chars(text, odd),
     })
     fits = variant_orientation(F.col("variant")) == F.col("expected")
     bonus = VERTICAL_BONUS.get(vertical_preference, 8)

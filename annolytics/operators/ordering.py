@@ -230,6 +230,7 @@ def unique_names(new: DataFrame, taken: DataFrame, order: Sequence[str]) -> Data
     again with all given names taken, until every name is unique.
     """
     columns = new.columns
+    new = settle(new)
     named = settle(_numbered_names(new, taken, order))
     place = F.struct(*order)
     while True:
@@ -267,7 +268,7 @@ def _numbered_names(new: DataFrame, taken: DataFrame, order: Sequence[str]) -> D
         F.regexp_extract("filename", tail, 3).alias("suffix"),
         F.regexp_extract("filename", tail, 2).cast("bigint").alias("_t"),
     )
-    used = whole.unionByName(numbered).distinct().join(new.select(*group).distinct(), group, "left_semi")
+    used = settle(whole.unionByName(numbered).distinct().join(new.select(*group).distinct(), group, "left_semi"))
     used = ordered_index(used, group, ["_t"], "_j").select(
         *group, (F.col("_t") - F.col("_j")).alias("_scale"), F.lit(1).alias("_old"))
     merged = wanted.select(*columns, "_scale", "_old").unionByName(used, allowMissingColumns=True)

@@ -119,13 +119,11 @@ p as (select *, scr * 2.4e0 + least(len, 32) * 0.8e0 - bad * 14 - odd * 4 as scr
 scored as (select region_id, ord, variant, text, error, case when len = 0 or error is not null then -100 else
     cast(round_even(script_quality + layout_fit + agree + p_score + orientation_bias + low + run + overlong, 0) as int) end as score,
     case when len = 0 then -100e0 else round(script_quality, 2) end as script_quality from
-    (select *, case when len(list_filter(string_split(text, ''), lambda ch, i: i > 5 and ch <> chr(10) and ch = text[i - 1] and ch = text[i - 2]
-      and ch = text[i - 3] and ch = text[i - 4] and ch = text[i - 5])) > 0 then -10 else 0 end as run from p))
+    (select *, case when len(list_filter(cs, lambda ch, i: i > 5 and ch <> chr(10) and ch = cs[i - 1] and ch = cs[i - 2]
+      and ch = cs[i - 3] and ch = cs[i - 4] and ch = cs[i - 5])) > 0 then -10 else 0 end as run from (select *, string_split(text, '') as cs from p)))
 """
 
 
-# Each row's six-in-a-row test indexes into the whole text, which DuckDB does in
-# quadratic time; the pages' texts are short enough for the two checks below.
 @query("candidate_score", f"with {_SCORED} select region_id, ord, score, script_quality from scored")
 def candidate_score(t: Tables) -> DataFrame:
     return cd.score_candidates(t.candidates, TEXT_SCRIPT, _HINTS).select("region_id", "ord", "score", "script_quality")
@@ -265,6 +263,7 @@ def katakana_to_hiragana(t: Tables) -> DataFrame:
 
 
 def _romaji_sql(source: str, key: str, column: str) -> str:
+    # Mora by mora, unlike the passes over the whole text on the Spark side.
     pairs = "|".join(k for k in tx.ROMAJI if len(k) == 2)
     table = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.ROMAJI.items()) + "}"
     return f"""
