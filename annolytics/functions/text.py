@@ -107,21 +107,32 @@ def repeated_run(text: Column) -> Column:
     return text.rlike(r"(.)\1{5,}")
 
 
-def text_warnings(text: Column, score: Column, close_scores: Column, script: str = SCRIPT) -> Column:
-    """Quality hints in a fixed order; an empty text gives only 'empty_ocr'."""
-    found = count_chars(text, script)
-    length = F.length(text)
+def warnings_from(
+    found: Column, length: Column, marked: Column, run: Column, score: Column, close_scores: Column,
+) -> Column:
+    """Quality hints in a fixed order, from the measures of a text; an empty
+    text gives only 'empty_ocr'."""
     hints = F.array(
         F.when(found == 0, F.lit("no_japanese_chars"))
         .when(found / F.greatest(F.lit(1), length) < 0.55, F.lit("low_japanese_ratio")),
         F.when(length <= 2, F.lit("very_short_text")),
-        F.when(F.contains(text, F.lit("?")) | F.contains(text, F.lit("ï¿½")), F.lit("replacement_or_question_marks")),
-        F.when(repeated_run(text), F.lit("repeated_character_run")),
+        F.when(marked, F.lit("replacement_or_question_marks")),
+        F.when(run, F.lit("repeated_character_run")),
         F.when(close_scores, F.lit("close_ocr_variant_scores")),
         F.when(score < 8, F.lit("low_ocr_score")),
     )
-    empty = F.length(F.coalesce(text, F.lit(""))) == 0
-    return F.when(empty, F.array(F.lit("empty_ocr"))).otherwise(F.filter(hints, lambda h: h.isNotNull()))
+    return F.when(length == 0, F.array(F.lit("empty_ocr"))).otherwise(F.filter(hints, lambda h: h.isNotNull()))
+
+
+def has_replacement(text: Column) -> Column:
+    return F.contains(text, F.lit("?")) | F.contains(text, F.lit("ï¿½"))
+
+
+def text_warnings(text: Column, score: Column, close_scores: Column, script: str = SCRIPT) -> Column:
+    """Quality hints of a text."""
+    text = F.coalesce(text, F.lit(""))
+    return warnings_from(
+        count_chars(text, script), F.length(text), has_replacement(text), repeated_run(text), score, close_scores)
 
 
 # Warnings that lower the confidence by themselves.
@@ -132,14 +143,14 @@ def has_severe(warnings: Column) -> Column:
     return F.arrays_overlap(warnings, F.array(*(F.lit(w) for w in SEVERE_WARNINGS)))
 
 
-def confidence(text: Column, score: Column, warnings: Column) -> Column:
+def confidence(length: Column, score: Column, warnings: Column) -> Column:
     """0.55 + score/150 (score within 0..60), less 0.08 per warning (four at
     most) and 0.18 for a severe one, within 0.05..0.98; 0 for an empty text."""
     lift = F.least(F.greatest(score, F.lit(0)), F.lit(60)) / 150
     less = F.least(F.size(warnings), F.lit(4)) * F.lit(0.08)
     severe = F.when(has_severe(warnings), F.lit(0.18)).otherwise(F.lit(0.0))
     value = F.greatest(F.lit(0.05), F.least(F.lit(0.98), F.lit(0.55) + lift - less - severe))
-    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, value).otherwise(F.lit(0.0))
+    return F.when(length > 0, value).otherwise(F.lit(0.0))
 
 
 def quality(confidence_value: Column, warnings: Column | None = None) -> Column:

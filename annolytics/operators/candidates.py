@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from annolytics.functions import text as tx
 from annolytics.functions.hashing import md5_text
 from annolytics.plans.skew import top_rows
+from annolytics.plans.storage import settle
 
 ROTATED = "_rot90_"
 
@@ -26,26 +27,31 @@ def variant_orientation(variant: Column) -> Column:
     return F.when(is_rotated(variant), "horizontal").otherwise("vertical")
 
 
+def _digest() -> Column:
+    return md5_text(F.coalesce(F.col("text"), F.lit("")))
+
+
 def with_consensus(candidates: DataFrame) -> DataFrame:
     """``same_text``: unrotated candidates of the region with the same text, and
     the bonus: 8 each for an unrotated one (three at most), -8 for a rotated
     one that agrees with any.
 
-    Texts are compared through a digest, so only digests are shuffled, and the
-    counts combine before the shuffle.
+    Texts are compared through ``digest`` (made here unless present) and left
+    behind: only digests are shuffled, and the counts combine before the shuffle.
     """
-    keyed = candidates.withColumn("_text", md5_text(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = candidates if "digest" in candidates.columns else candidates.withColumn("digest", _digest())
+    keyed = keyed.drop("text")
     counts = (
         keyed.where(~is_rotated(F.col("variant")))
-        .groupBy("region_id", "_text").agg(F.count(F.lit(1)).alias("same_text"))
+        .groupBy("region_id", "digest").agg(F.count(F.lit(1)).alias("same_text"))
     )
-    joined = keyed.join(counts, ["region_id", "_text"], "left").withColumn(
+    joined = keyed.join(counts, ["region_id", "digest"], "left").withColumn(
         "same_text", F.coalesce(F.col("same_text"), F.lit(0)))
     bonus = (
         F.when(~is_rotated(F.col("variant")), F.least(F.col("same_text"), F.lit(3)) * 8)
         .when(F.col("same_text") > 0, -8).otherwise(0)
     )
-    return joined.withColumn("variant_consensus", bonus.cast("int")).drop("_text")
+    return joined.withColumn("variant_consensus", bonus.cast("int"))
 
 
 def with_plausibility(df: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = ()) -> DataFrame:
@@ -77,71 +83,72 @@ def analysed_plausibility(
 VERTICAL_BONUS = {"off": 0, "normal": 8, "strong": 14}
 
 
+def measure_candidates(
+    candidates: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = (), plausibility: bool = True,
+) -> DataFrame:
+    """Everything the score needs from a candidate's text, without the text: a
+    row-by-row pass where the data lies, before any shuffle."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    odd = f"[^{script[1:-1]}{tx.ORDINARY_MARKS}" + r"\p{L}\p{N}_]"
+    rated = with_plausibility(candidates, script, hints) if plausibility else candidates.withColumn("p_score", F.lit(0.0))
+    return rated.select(
+        "region_id", "ord", "variant", "error", "expected", _digest().alias("digest"), F.col("p_score").alias("plausible"),
+        F.length(text).alias("chars"), tx.count_chars(text, script).alias("script_chars"),
+        (tx.count_signs(text, "�?") + tx.count_matches(text, "ï¿½")).alias("bad_chars"),
+        tx.count_chars(text, odd).alias("odd_chars"), tx.has_replacement(text).alias("marked"),
+        tx.repeated_run(text).alias("run"),
+    )
+
+
 def score_candidates(
     candidates: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = (),
     vertical_preference: str = "normal", plausibility: bool = True,
 ) -> DataFrame:
-    """Candidates with ``score`` and its parts; an empty text scores -100.
+    """One slim row per candidate (region_id, ord) with ``score``, its parts and
+    its text measures; an empty text scores -100.
 
     Parts: script quality, layout fit, orientation bias, consensus,
     plausibility, and penalties for a low script share, runs and length.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    agreed = with_consensus(candidates)
-    if plausibility:
-        agreed = with_plausibility(agreed, script, hints)
-        plausible = F.col("p_score")
-    else:
-        plausible = F.lit(0.0)
-    length = F.length(text)
-    odd = f"[^{script[1:-1]}{tx.ORDINARY_MARKS}" + r"\p{L}\p{N}_]"
-    measured = agreed.withColumns({
-        "_len": length, "_script": tx.count_chars(text, script),
-        "_bad": tx.count_signs(text, "�?") + tx.count_matches(text, "ï¿½"),
-        "_odd": tx.count_chars(text, odd),
-    })
-    fits = variant_orientation(F.col("variant")) == F.col("expected")
+    # Settled, because the choice reads these slim rows several times and the
+    # texts behind them should be read once.
+    measured = with_consensus(settle(measure_candidates(candidates, script, hints, plausibility)))
+    facing = variant_orientation(F.col("variant"))
     bonus = VERTICAL_BONUS.get(vertical_preference, 8)
-    upright = F.when(variant_orientation(F.col("variant")) == "vertical", bonus).otherwise(-bonus)
     parts = {
-        "script_quality": F.col("_script") * F.lit(2.4) + F.least(F.col("_len"), F.lit(32)) * F.lit(0.8)
-        - F.col("_bad") * 14 - F.col("_odd") * 4,
-        "layout_fit": F.when(fits, 10).otherwise(-12),
-        "orientation_bias": F.when(F.col("expected") == "vertical", upright).otherwise(0),
-        "semantic_plausibility": plausible,
-        "penalty_low_script": F.when(F.col("_script") / F.greatest(F.lit(1), F.col("_len")) < 0.55, -12).otherwise(0),
-        "penalty_run": F.when(tx.repeated_run(text), -10).otherwise(0),
+        "script_quality": F.col("script_chars") * F.lit(2.4) + F.least(F.col("chars"), F.lit(32)) * F.lit(0.8)
+        - F.col("bad_chars") * 14 - F.col("odd_chars") * 4,
+        "layout_fit": F.when(facing == F.col("expected"), 10).otherwise(-12),
+        "orientation_bias": F.when(
+            F.col("expected") == "vertical", F.when(facing == "vertical", bonus).otherwise(-bonus)).otherwise(0),
+        "penalty_low_script": F.when(
+            F.col("script_chars") / F.greatest(F.lit(1), F.col("chars")) < 0.55, -12).otherwise(0),
+        "penalty_run": F.when(F.col("run"), -10).otherwise(0),
         "penalty_overlong": F.when(
-            F.col("_len") > 48, -F.least(F.lit(16.0), (F.col("_len") - 48) * F.lit(0.5))).otherwise(F.lit(0.0)),
-    }
-    scored = measured.withColumns(parts)
-    total = (
-        F.col("script_quality") + F.col("layout_fit") + F.col("variant_consensus")
-        + F.col("semantic_plausibility") + F.col("orientation_bias")
-        + F.col("penalty_low_script") + F.col("penalty_run") + F.col("penalty_overlong")
-    )
-    empty = F.col("_len") == 0
-    zeroed = {
-        name: F.when(empty, F.lit(0)).otherwise(F.col(name))
-        for name in (*parts, "variant_consensus") if name != "script_quality"
+            F.col("chars") > 48, -F.least(F.lit(16.0), (F.col("chars") - 48) * F.lit(0.5))).otherwise(F.lit(0.0)),
     }
+    added = (*parts, "variant_consensus", "plausible")
+    total = sum((F.col(name) for name in added), F.lit(0.0))
+    empty = F.col("chars") == 0
+    zeroed = {name: F.when(empty, F.lit(0)).otherwise(F.col(name)) for name in added if name != "script_quality"}
     return (
-        scored.withColumn("score", F.when(empty | F.col("error").isNotNull(), -100)
-                          .otherwise(F.bround(total, 0)).cast("int"))
-        .withColumns(zeroed)
-        .withColumn("script_quality", F.when(empty, F.lit(-100.0)).otherwise(F.round("script_quality", 2)))
-        .drop("_len", "_script", "_bad", "_odd", *(c for c in scored.columns if c.startswith("p_")))
+        measured.withColumns(parts)
+        .withColumn("score", F.when(empty | F.col("error").isNotNull(), -100).otherwise(F.bround(total, 0)).cast("int"))
+        .withColumns({**zeroed, "script_quality": F.when(empty, F.lit(-100.0)).otherwise(F.round("script_quality", 2))})
     )
 
 
+_MEASURES = ("ord", "variant", "score", "chars", "script_chars", "marked", "run")
+
+
 def choose_candidate(scored: DataFrame, margin: int = 15) -> DataFrame:
     """Best candidate per region, first on ties. A rotated winner gives way to
     the best unrotated one that is at most ``margin`` behind. Two partial
-    aggregates, no window, no gathered lists."""
+    aggregates over slim rows: no window, no gathered lists, no texts."""
     usable = F.col("error").isNull()
     first = F.struct(F.col("score"), -F.col("ord"))
-    value = F.struct("variant", "text", "score", "ord")
-    upright = usable & ~is_rotated(F.col("variant")) & (F.length(F.coalesce(F.col("text"), F.lit(""))) > 0)
+    value = F.struct(*_MEASURES)
+    upright = usable & ~is_rotated(F.col("variant")) & (F.col("chars") > 0)
     picked = scored.groupBy("region_id").agg(
         F.max_by(F.when(usable, value), F.when(usable, first)).alias("_best"),
         F.max_by(F.when(upright, value), F.when(upright, first)).alias("_plain"),
@@ -151,9 +158,10 @@ def choose_candidate(scored: DataFrame, margin: int = 15) -> DataFrame:
         is_rotated(F.col("_best.variant")) & F.col("_plain").isNotNull()
         & (F.col("_plain.score") >= F.col("_best.score") - margin)
     )
-    return picked.withColumn("_won", F.when(guarded, F.col("_plain")).otherwise(F.col("_best"))).select(
-        "region_id", "candidates", F.col("_won.variant").alias("variant"), F.col("_won.text").alias("text"),
-        F.col("_won.score").alias("score"), F.coalesce(guarded, F.lit(False)).alias("rotation_guarded"))
+    won = F.when(guarded, F.col("_plain")).otherwise(F.col("_best"))
+    return picked.select(
+        "region_id", "candidates", F.coalesce(guarded, F.lit(False)).alias("rotation_guarded"), won.alias("_w"),
+    ).select("region_id", "candidates", "rotation_guarded", "_w.*")
 
 
 def close_scores(scored: DataFrame, within: int = 3) -> DataFrame:
@@ -167,14 +175,21 @@ def recognise(
     candidates: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = (), margin: int = 15,
     vertical_preference: str = "normal",
 ) -> DataFrame:
-    """The whole choice: score, pick, warn, and rate each region."""
+    """The whole choice: score, pick, warn and rate each region, and fetch the
+    chosen text. Texts move once, in the last join."""
     scored = score_candidates(candidates, script, hints, vertical_preference)
     chosen = choose_candidate(scored, margin).join(close_scores(scored), "region_id")
-    warned = chosen.withColumn("warnings", tx.text_warnings(
-        F.coalesce(F.col("text"), F.lit("")), F.col("score"), F.col("close"), script))
-    rated = warned.withColumn("confidence", tx.confidence(F.col("text"), F.col("score"), F.col("warnings")))
-    return rated.withColumn("quality", F.when(
-        F.length(F.coalesce(F.col("text"), F.lit(""))) == 0, "bad").otherwise(
+    rated = rate_choice(chosen)
+    texts = candidates.select("region_id", "ord", "text")
+    return rated.join(texts, ["region_id", "ord"])
+
+
+def rate_choice(chosen: DataFrame) -> DataFrame:
+    """Warnings, confidence and quality of chosen candidates from their measures."""
+    warned = chosen.withColumn("warnings", tx.warnings_from(
+        F.col("script_chars"), F.col("chars"), F.col("marked"), F.col("run"), F.col("score"), F.col("close")))
+    rated = warned.withColumn("confidence", tx.confidence(F.col("chars"), F.col("score"), F.col("warnings")))
+    return rated.withColumn("quality", F.when(F.col("chars") == 0, "bad").otherwise(
         tx.quality(F.col("confidence"), F.col("warnings"))))
 
 

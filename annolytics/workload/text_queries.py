@@ -171,10 +171,10 @@ def score_candidates_job(t: Tables) -> DataFrame:
     chosen = cd.recognise(t.candidates, TEXT_SCRIPT, _HINTS)
     # RE2 has no back-references, so the run hint is left to the unit tests.
     shown = F.filter("warnings", lambda w: w != "repeated_character_run")
-    rated = tx.confidence(F.col("text"), F.col("score"), F.col("shown"))
+    rated = tx.confidence(F.col("chars"), F.col("score"), F.col("shown"))
     return chosen.withColumn("shown", shown).withColumn("rated", rated).select(
         "region_id", "variant", "score", F.array_join("shown", ",").alias("warnings"), F.round("rated", 6).alias("confidence"),
-        F.when(F.length("text") == 0, "bad").otherwise(tx.quality(F.col("rated"), F.col("shown"))).alias("quality"))
+        F.when(F.col("chars") == 0, "bad").otherwise(tx.quality(F.col("rated"), F.col("shown"))).alias("quality"))
 
 
 _WARN_SQL = f"""
@@ -216,7 +216,7 @@ select doc_id, round(conf, 6) as confidence, case when conf >= 0.78 and len(warn
   case when conf >= 0.78 then 'good' when conf >= 0.52 then 'warn' else 'bad' end as shown_quality from c
 """)
 def confidence_bucket(t: Tables) -> DataFrame:
-    rated = _warned(t).withColumn("c", tx.confidence(F.col("text"), F.col("score"), F.col("warn")))
+    rated = _warned(t).withColumn("c", tx.confidence(F.length("text"), F.col("score"), F.col("warn")))
     return rated.select("doc_id", F.round("c", 6).alias("confidence"), tx.quality(F.col("c"), F.col("warn")).alias("quality"),
                         tx.quality(F.col("c")).alias("shown_quality"))
 

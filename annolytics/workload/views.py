@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.plans.skew import ordered_index
+from annolytics.plans.storage import spread
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages "
         "benchmark labels conversations").split()
 
+# Tables whose queries spend their time inside each text.
+TEXTS = ("documents", "pages", "conversations")
+
 # Test texts are in Latin script. Letters become kana, or kana and ideographs,
 # so that the script operators work on whole tables.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -241,6 +245,7 @@ class Tables:
         if name not in self._made:
             if name in BASE:
                 made = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                made = spread(made) if name in TEXTS else made
             elif name in VIEWS:
                 made = VIEWS[name].frame(self)
             else:
