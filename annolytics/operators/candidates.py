@@ -194,15 +194,17 @@ def rate_choice(chosen: DataFrame) -> DataFrame:
 
 
 def raw_fallback(chosen: DataFrame, fallback: DataFrame, script: str = tx.SCRIPT) -> DataFrame:
-    """Regions left without text take the text of the plain crop, if any."""
-    plain = fallback.select("region_id", F.col("text").alias("_plain"))
+    """Regions left without text take the cleaned text of the plain crop, if any.
+    Cleaning and scoring happen before the join, once per fallback row."""
+    cleaned = fallback.select("region_id", tx.clean_text(F.col("text")).alias("_plain"))
+    plain = cleaned.withColumn("_base", tx.baseline_score(F.col("_plain"), script))
     empty = F.length(F.coalesce(F.col("text"), F.lit(""))) == 0
     used = empty & (F.length(F.coalesce(F.col("_plain"), F.lit(""))) > 0)
     return (
         chosen.join(plain, "region_id", "left")
         .withColumns({
-            "score": F.when(used, tx.baseline_score(tx.clean_text(F.col("_plain")), script)).otherwise(F.col("score")),
+            "score": F.when(used, F.col("_base")).otherwise(F.col("score")),
             "variant": F.when(used, "raw_fallback").otherwise(F.col("variant")),
-            "text": F.when(used, tx.clean_text(F.col("_plain"))).otherwise(F.col("text")),
-        }).drop("_plain")
+            "text": F.when(used, F.col("_plain")).otherwise(F.col("text")),
+        }).drop("_plain", "_base")
     )

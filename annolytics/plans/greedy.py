@@ -9,6 +9,7 @@ random orders), not the number of nodes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def take_greedily(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Da
     nodes = nodes.select(*keys, "node")
     done = nodes.join(blocked_once, [*keys, "node"], "left_anti").withColumn("taken", F.lit(True))
     open_nodes = settle(blocked_once)
-    done = settle(done)
-    newly = done
+    newly = settle(done)
+    decided_parts = [newly]
     while True:
         winners = newly.where("taken").select(*keys, F.col("node").alias("src"))
         dropped = (
@@ -46,6 +47,6 @@ def take_greedily(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Da
         fresh = open_nodes.join(waiting, [*keys, "node"], "left_anti").withColumn("taken", F.lit(True))
         newly = settle(fresh)
         open_nodes = settle(open_nodes.join(newly, [*keys, "node"], "left_anti"))
-        done = settle(done.unionByName(dropped).unionByName(newly))
+        decided_parts += [dropped, newly]
         if newly.isEmpty():
-            return done
+            return reduce(DataFrame.unionByName, decided_parts)

@@ -13,7 +13,6 @@ from annolytics.operators import candidates as cd
 from annolytics.operators import lexicon as lo
 from annolytics.operators import ordering as od
 from annolytics.sources import dimensions
-from annolytics.streaming.progress import answer_sessions  # noqa: F401
 from annolytics.workload.registry import query
 from annolytics.workload.views import AS_KANA, AS_MIXED, LETTERS, TEXT_SCRIPT, Tables
 
@@ -177,6 +176,24 @@ def score_candidates_job(t: Tables) -> DataFrame:
         F.when(F.col("chars") == 0, "bad").otherwise(tx.quality(F.col("rated"), F.col("shown"))).alias("quality"))
 
 
+@query("raw_fallback", f"""
+with e as (select region_id, case when n_chars % 2 = 0 then '' else text end as text from (select doc_id as region_id, text, n_chars from documents)),
+c as (select doc_id as region_id, regexp_replace(text, '[\\s\\p{{Z}}|｜]+', '', 'g') as plain from documents)
+select region_id, case when e.text = '' and c.plain <> '' then 'raw_fallback' else 'raw_upscaled' end as variant,
+  md5(case when e.text = '' and c.plain <> '' then c.plain else e.text end) as text,
+  cast(case when e.text = '' and c.plain <> '' then 3 * len(regexp_extract_all(c.plain, '{TEXT_SCRIPT}')) + length(c.plain)
+    - 8 * len(regexp_extract_all(c.plain, '[�?]')) else 5 end as int) as score
+from e join c using (region_id)
+""")
+def raw_fallback(t: Tables) -> DataFrame:
+    chosen = t.documents.select(
+        F.col("doc_id").alias("region_id"), F.when(F.col("n_chars") % 2 == 0, "").otherwise(F.col("text")).alias("text"),
+        F.lit(5).alias("score"), F.lit("raw_upscaled").alias("variant"))
+    plain = t.documents.select(F.col("doc_id").alias("region_id"), "text")
+    filled = cd.raw_fallback(chosen, plain, TEXT_SCRIPT)
+    return filled.select("region_id", "variant", md5_text(F.col("text")).alias("text"), "score")
+
+
 _WARN_SQL = f"""
 w as (select doc_id, case when length(text) = 0 then ['empty_ocr'] else list_filter([
   case when len(regexp_extract_all(text, '{TEXT_SCRIPT}')) = 0 then 'no_japanese_chars'

@@ -142,6 +142,16 @@ def test_page_text(spark):
     assert one(spark, mk.reading_blocks(F.lit(html))) == ["One&two  x", "three"]
 
 
+def test_section_choice(spark):
+    def section(level, line, index):
+        return F.struct(F.lit(level).alias("level"), F.lit(line).alias("line"), F.lit(index).alias("index"))
+
+    page = F.array(section(2, "Japanese", "1"), section(3, "Glyph origin", "2"), section(2, "<i>Chinese</i>", "3"),
+                   section(3, "Glyph <b>origins</b>", "4"), section(3, "Glyph origin", "5"))
+    assert one(spark, mk.wanted_section(page)) == "4"
+    assert one(spark, mk.wanted_section(F.slice(page, 1, 2))) is None
+
+
 def test_corrupt_state_falls_back(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"words":{"猫":{"seen":2,"correct":1}},"panels_completed":["p"]}')
     (tmp_path / "b.json").write_text("{broken")
