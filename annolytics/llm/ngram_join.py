@@ -11,12 +11,14 @@ several orders before its sets are compared.
   documents (shingles that recur within a window of some million), summed in
   one small shuffle; the table used is bounded and any table gives whole results.
 * The first order makes candidates with one shuffle of (token, set) rows. Equal
-  sets are one node, so exact copies cost nothing.
-* Candidates are verified in two steps. First each set meets only the smallest
-  node of each of its tokens, which is linear even in a group of a million near
-  copies and joins most of it into one component. Then pairs of *different*
-  components that share a token are taken, all of them, so no link between
-  components is lost.
+  sets are one node, so exact copies cost nothing. Its prefixes are longer by
+  one token in 32, and a pair must share that many and one more, so pairs that
+  meet in a stray passage end there.
+* Candidates are verified in two steps. While a token joins many components, as in
+  a large group of near copies, its sets meet only a few hubs, other ones in
+  every round: that is linear and soon joins the group into one component. Then
+  pairs of *different* components that share enough tokens are taken, all of
+  them, so no link between components is lost.
 * The other orders are tested on the sets of a candidate pair, then the sets
   are intersected.
 
@@ -48,6 +50,11 @@ WINDOW = 4_000_000
 RECURS = 4
 # Largest table of frequent shingles that orders the rest (12 bytes each).
 FREQUENT = 1 << 17
+# One token in this many is added to the first order's prefixes; so many more must be shared.
+LONGER = 32
+# Hubs that a crowded token's nodes meet in a round, and rounds before the rest is taken pair by pair.
+HUBS = 8
+ROUNDS = 8
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -106,12 +113,14 @@ def _ranks(tokens: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarra
     return rank
 
 
-def _prefix(tokens: np.ndarray, order: int, frequent, similarity: Fraction) -> np.ndarray:
+def _prefix(tokens: np.ndarray, order: int, frequent, similarity: Fraction, more: int = 0) -> np.ndarray:
     n = len(tokens)
-    size = n + (-n * similarity.numerator // similarity.denominator) + 1
-    if n == 0 or size >= n:
-        return tokens
-    return tokens[np.argpartition(_ranks(tokens, order, frequent), size - 1)[:size]]
+    size = n + (-n * similarity.numerator // similarity.denominator) + 1 + more
+    ranks = _ranks(tokens, order, frequent)
+    if size < n:
+        some = np.argpartition(ranks, size - 1)[:size]
+        tokens, ranks = tokens[some], ranks[some]
+    return tokens[np.argsort(ranks)]
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -196,7 +205,7 @@ def similarity_classes(
 
     def describe(batches):
         for rows, sets in _sets(batches, width):
-            first = [_prefix(s, 0, shared.value, similarity).view(np.int64) for s in sets]
+            first = [_prefix(s, 0, shared.value, similarity, len(s) // LONGER).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             yield pa.record_batch(
                 [rows.column(0), rows.column(1), pa.array([_node(s) for s in sets], pa.int64()),
@@ -208,40 +217,83 @@ def similarity_classes(
     documents = described.select("doc_id", "node", "n")
 
     # Candidates of the first order: tokens that two different sets have in their prefix.
-    rows = described.select(F.explode("tokens").alias("token"), "node", "n").repartition("token")
+    rows = described.select("node", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
     tokens = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    rows = keep(rows.join(tokens.select("token", "least"), "token").distinct(), "candidates")
-    chosen = described.groupBy("node").agg(F.min("row").alias("row"))
-    chosen = keep(chosen.join(rows.select("node").distinct(), "node", "left_semi"), "chosen")
+    rows = keep(rows.join(tokens.select("token"), "token").distinct(), "candidates")
+    chosen = described.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("row", "n", "tokens")).alias("x"))
+    chosen = keep(chosen.select("node", "x.*"), "chosen")
+    top, bottom = similarity.numerator, similarity.denominator
 
     def named(pairs: DataFrame) -> DataFrame:
-        """Pairs with the rows whose texts stand for their sets."""
-        for side in ("a", "b"):
-            pairs = pairs.join(chosen.select(F.col("node").alias(side), F.col("row").alias(f"{side}_text")), side)
-        return keep(pairs, "pairs")
+        """Pairs that share enough of their prefixes, with the rows whose texts stand for their sets.
 
-    # Each set against the smallest node of each of its tokens.
-    star = rows.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep(_verified(named(star), texts, shared, width, similarity, orders), "links")
-    label = components(links)
-
-    # All pairs of different components that share a token.
-    labelled = (
-        rows.select("token", "node", "n", "least").join(label, "node", "left")
-        .select("token", "node", "n", "least", F.coalesce("component", "node").alias("component"))
-    )
-    split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    split = labelled.join(split.select("token"), "token", "left_semi")
-    other = split.select("token", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    top, bottom = similarity.numerator, similarity.denominator
-    rest = (
-        split.select("token", F.col("node").alias("a"), F.col("n").alias("a_n"), "least", "component").join(other, "token")
-        .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")) & (F.col("a") != F.col("least")))
-        .where(f"{bottom} * least(a_n, b_n) >= {top} * greatest(a_n, b_n)")
-        .select("a", "b").distinct()
-    )
-    more = _verified(named(rest), texts, shared, width, similarity, orders)
-    links = keep(links.unionByName(more), "links")
+        Of sets with o tokens in common at most the smaller prefix's rest lies
+        beyond both prefixes, so these share the required o without that rest.
+        """
+        for side in ("a", "b"):
+            pairs = pairs.join(chosen.select(
+                F.col("node").alias(side), F.col("row").alias(f"{side}_text"), F.col("n").alias(f"{side}_n"),
+                F.col("tokens").alias(f"{side}_tokens")), side)
+        needed = F.expr(f"ceil({top} * (a_n + b_n) / {top + bottom}) - greatest(a_n - size(a_tokens), b_n - size(b_tokens))")
+        pairs = pairs.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= needed)
+        return keep(pairs.select("a", "b", "a_text", "b_text"), "pairs")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b) of one row per shared token (a, a_n, b, b_n) that fit in size and share enough."""
+        return (
+            pairs.where(f"{bottom} * least(a_n, b_n) >= {top} * greatest(a_n, b_n)")
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("a_n", "b_n")).alias("n"))
+            .where(f"shared > n div {LONGER}").select("a", "b")
+        )
+
+    def split(label: DataFrame | None) -> DataFrame:
+        """(token, node, n, pos, component, cross, nodes) of tokens that join different
+        components; ``cross`` counts the pairs of nodes such a token would make."""
+        found = rows.withColumn("component", F.col("node"))
+        if label is not None:
+            found = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = found.select("token", "node", "n", "pos", "component")
+        each = found.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
+            F.sum("k").alias("nodes"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        each = each.select("token", "nodes", ((F.col("nodes") * F.col("nodes") - F.col("own")) / 2).alias("cross")).where("cross > 0")
+        return keep(found.join(each, "token"), "split")
+
+    # While some token joins many components, its nodes meet a few hubs each.
+    links, label = None, None
+    crossing = split(None)
+    for turn in range(ROUNDS):
+        crowded = crossing.where(F.col("cross") > HUBS * F.col("nodes"))
+        if crowded.isEmpty():
+            break
+        # Sets made of crowded tokens alone stand in the middle of their group; most hubs are such.
+        middle = crowded.groupBy("node").agg((F.count(F.lit(1)) / F.max("n")).alias("middle"))
+        crowded = crowded.join(middle, "node")
+        chance = [F.pmod(F.xxhash64("node", F.lit(turn * HUBS + k)), F.lit(1000)) / 1000 for k in range(HUBS)]
+        draw = [
+            F.max(F.struct((F.col("middle") * (1 - 0.05 * k * u) if 2 * k < HUBS else u).alias("by"), "node", "n", "component"))
+            for k, u in enumerate(chance)]
+        hubs = crowded.groupBy("token").agg(F.array(*draw).alias("hubs"))
+        met = crowded.join(hubs, "token").select("node", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub"))
+        star = near(met.where("component <> hub.component").select(
+            F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")))
+        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = keep(_verified(named(star), texts, shared, width, similarity, orders), "links")
+        if more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        label = components(links)
+        crossing = split(label)
+
+    # All pairs of different components that share enough tokens. The smaller of two linked sets
+    # has one in a shorter prefix: what they share is at least 2 s / (1 + s) of it.
+    left, right = (
+        crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("component").alias(f"{side}_c"))
+        for side in ("a", "b"))
+    left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1 + a_n div {LONGER}")
+    rest = near(left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))"))
+    more = keep(_verified(named(rest), texts, shared, width, similarity, orders), "links")
+    links = more if links is None else links.unionByName(more)
     label = components(links)
 
     placed = (

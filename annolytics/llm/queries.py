@@ -7,32 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.llm import line_dedup, mixing, ngram_join
+from annolytics.llm import html_main_text, line_dedup, mixing, ngram_join, sentencepiece_spans, topk_search, toxicity
+
+# A parameter of the encoding query: the SentencePiece model it encodes with.
+MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(MODEL)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similarity_classes(_table(spark, folder, "documents"))
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main_text.extract(_table(spark, folder, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     quality = mixing.quality_weights(_table(spark, folder, "labels"))
     rows = mixing.mix(_table(spark, folder, "documents"), quality)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.top_products(_table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.drop_repeated_lines(_table(spark, folder, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_spans.encoded_digests(_table(spark, folder, "documents"), model_path())
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    built = (op1_ngram_jaccard_join, op3_source_mix, op7_line_dedup)
+    built = (
+        op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op6_topk_search, op7_line_dedup, op9_sentencepiece, op10_toxicity)
     return {build.__name__: build for build in built}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op6_topk_search": topk_search.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
