@@ -14,9 +14,9 @@ several orders before its sets are compared.
   sets are one node, so exact copies cost nothing. Its prefixes are longer by
   one token in 32, and a pair must share that many and one more, so pairs that
   meet in a stray passage end there.
-* Candidates are verified in two steps. While a token joins many components, as in
-  a large group of near copies, its sets meet only a few hubs, other ones in
-  every round: that is linear and soon joins the group into one component. Then
+* Candidates are verified in two steps. Where a token joins very many components, as
+  in a large group of near copies, its sets first meet a few hubs from the middle
+  of the group: that is linear and joins most of it into one component. Then
   pairs of *different* components that share enough tokens are taken, all of
   them, so no link between components is lost.
 * The other orders are tested on the sets of a candidate pair, then the sets
@@ -52,9 +52,11 @@ RECURS = 4
 FREQUENT = 1 << 17
 # One token in this many is added to the first order's prefixes; so many more must be shared.
 LONGER = 32
-# Hubs that a crowded token's nodes meet in a round, and rounds before the rest is taken pair by pair.
+# Pairs per node from which a token counts as crowded, hubs that its nodes meet in a
+# round, and rounds before the rest is taken pair by pair.
+CROWD = 128
 HUBS = 8
-ROUNDS = 8
+ROUNDS = 2
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -218,13 +220,20 @@ def similarity_classes(
 
     # Candidates of the first order: tokens that two different sets have in their prefix.
     rows = described.select("node", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
-    tokens = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    rows = keep(rows.join(tokens.select("token"), "token").distinct(), "candidates")
-    chosen = described.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("row", "n", "tokens")).alias("x"))
-    chosen = keep(chosen.select("node", "x.*"), "chosen")
+    # Both sides read one exchange: the bounds on n and pos hold always, and keep its columns alike.
+    tokens = rows.groupBy("token").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("n"), F.min("pos").alias("pos"))
+    tokens = tokens.where("least < most and n > 0 and pos >= 0").select("token")
+    rows = keep(rows.join(tokens, "token").distinct(), "candidates")
+    # Of each set its prefix tokens that others share, and a row whose text stands for it.
+    found = rows.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))
+    chosen = keep(found.join(described.groupBy("node").agg(F.min("row").alias("row")), "node"), "chosen")
     top, bottom = similarity.numerator, similarity.denominator
 
+    def beyond(n: str) -> str:
+        """Tokens of a set after its prefix."""
+        return f"greatest(0, ceil({top} * {n} / {bottom}) - 1 - {n} div {LONGER})"
+
     def named(pairs: DataFrame) -> DataFrame:
         """Pairs that share enough of their prefixes, with the rows whose texts stand for their sets.
 
@@ -235,7 +244,7 @@ def similarity_classes(
             pairs = pairs.join(chosen.select(
                 F.col("node").alias(side), F.col("row").alias(f"{side}_text"), F.col("n").alias(f"{side}_n"),
                 F.col("tokens").alias(f"{side}_tokens")), side)
-        needed = F.expr(f"ceil({top} * (a_n + b_n) / {top + bottom}) - greatest(a_n - size(a_tokens), b_n - size(b_tokens))")
+        needed = F.expr(f"ceil({top} * (a_n + b_n) / {top + bottom}) - greatest({beyond('a_n')}, {beyond('b_n')})")
         pairs = pairs.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= needed)
         return keep(pairs.select("a", "b", "a_text", "b_text"), "pairs")
 
@@ -259,16 +268,15 @@ def similarity_classes(
         each = each.select("token", "nodes", ((F.col("nodes") * F.col("nodes") - F.col("own")) / 2).alias("cross")).where("cross > 0")
         return keep(found.join(each, "token"), "split")
 
-    # While some token joins many components, its nodes meet a few hubs each.
+    # Where a token joins very many components, its nodes meet a few hubs first. Sets made of
+    # shared tokens alone stand in the middle of their group; most hubs are such.
     links, label = None, None
     crossing = split(None)
     for turn in range(ROUNDS):
-        crowded = crossing.where(F.col("cross") > HUBS * F.col("nodes"))
+        crowded = crossing.where(F.col("cross") > CROWD * F.col("nodes"))
         if crowded.isEmpty():
             break
-        # Sets made of crowded tokens alone stand in the middle of their group; most hubs are such.
-        middle = crowded.groupBy("node").agg((F.count(F.lit(1)) / F.max("n")).alias("middle"))
-        crowded = crowded.join(middle, "node")
+        crowded = crowded.join(chosen.select("node", (F.size("tokens") / F.col("n")).alias("middle")), "node")
         chance = [F.pmod(F.xxhash64("node", F.lit(turn * HUBS + k)), F.lit(1000)) / 1000 for k in range(HUBS)]
         draw = [
             F.max(F.struct((F.col("middle") * (1 - 0.05 * k * u) if 2 * k < HUBS else u).alias("by"), "node", "n", "component"))

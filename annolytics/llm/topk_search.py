@@ -188,10 +188,10 @@ def top_products(vectors: DataFrame, queries: Column, key: str = "vec_id", vecto
 
 ORACLE = """
 with v as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
-    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
     from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
 ), r as (
     select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s
