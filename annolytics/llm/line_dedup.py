@@ -36,36 +36,51 @@ def _hash(line: Column) -> Column:
     return F.when(F.length(key) >= LEAST_CHARS, F.unhex(F.md5(key)))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped), one row per row of ``docs``."""
-    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, gone): the hashes of the lines that each document loses."""
     lines = (
-        whole.where("doc_id is not null")
-        .select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-        .select("doc_id", _hash(F.col("line")).alias("hash")).where("hash is not null")
+        docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.explode(_lines(F.col(f"`{text}`"))).alias("line"))
+        .where("doc_id is not null").select("doc_id", _hash(F.col("line")).alias("hash")).where("hash is not null")
     )
     shared = (
         lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last").select("hash", "first")
     )
-    dropped = (
+    return (
         lines.join(shared, "hash").where("doc_id > first")
         .groupBy("doc_id").agg(F.collect_set("hash").alias("gone"))
     )
-    line = F.split("text", "\n", -1)
-    left = F.filter("all", lambda x: ~F.coalesce(F.array_contains("gone", _hash(x)), F.lit(False)))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
+
+
+def _left(text: Column, gone: Column) -> Column:
+    """The lines of ``text`` that stay, in order."""
+    left = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(gone, _hash(x)), F.lit(False)))
+    return F.when(gone.isNull(), _lines(text)).otherwise(left)
+
+
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped), one row per row of ``docs``."""
+    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return (
-        whole.join(dropped, "doc_id", "left")
-        .select("doc_id", "text", "gone", line.alias("all"))
-        .select(
-            "doc_id", F.size("all").cast("long").alias("n_lines"),
-            F.when(F.col("gone").isNull(), F.col("all")).otherwise(left).alias("left"))
-        .select(
-            "doc_id", F.array_join("left", "\n").alias("text"), "n_lines",
-            (F.col("n_lines") - F.size("left")).alias("n_dropped"))
+        whole.join(repeated_lines(whole), "doc_id", "left")
+        .select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), _left(F.col("text"), F.col("gone")).alias("left"))
+        .select("doc_id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_dropped"))
     )
 
 
+def with_kept_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, ``text`` without the repeated lines."""
+    names = docs.columns
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(_left(F.col("text"), F.col("_gone")), "\n"))
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    return rows.select(*[text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names])
+
+
 ORACLE = """
 with l as (
     select doc_id, generate_subscripts(s, 1) as pos, unnest(s) as line

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.llm import html_main_text, line_dedup, mixing, ngram_join, sentencepiece_spans, topk_search, toxicity
+from annolytics.llm import (
+    html_main_text,
+    line_dedup,
+    mixing,
+    ngram_join,
+    personal_data,
+    sentencepiece_spans,
+    topk_search,
+    toxicity,
+    vector_dedup,
+)
 
 # A parameter of the encoding query: the SentencePiece model it encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -37,6 +47,14 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(_table(spark, folder, "documents")))
+
+
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.link_classes(_table(spark, folder, "embeddings"))
+
+
 def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_products(_table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
@@ -57,7 +75,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = (
-        op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op6_topk_search, op7_line_dedup, op9_sentencepiece, op10_toxicity)
+        op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op4_personal_data, op5_vector_dedup, op6_topk_search,
+        op7_line_dedup, op9_sentencepiece, op10_toxicity)
     return {build.__name__: build for build in built}
 
 
