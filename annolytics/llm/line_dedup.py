@@ -3,45 +3,53 @@
 Lines are exploded, normalised and hashed; documents are counted per hash by
 their least and greatest key, so a line that every document holds is combined
 before the shuffle. Only (hash, key) pairs move to find what to drop; then each
-document loses its lines in place and keeps the order of the rest.
+document loses its lines in place and keeps the order of the rest. Lines are
+cut and hashed as flat arrays over Arrow batches of whole texts.
 
 Null or empty texts are one empty line. Lines whose key is shorter than
-``least_chars`` code points always stay. Rows with the same ``doc_id`` count as
+``LEAST_CHARS`` code points always stay. Rows with the same ``doc_id`` count as
 one document, each keeps its row. Rows without ``doc_id`` lose nothing and make
-no other line drop. Hashes have 128 bits, so different lines do not meet.
+no other line drop. Hashes have 64 bits: of n different lines about
+n * n / 2 ** 65 pairs would be taken for one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import SPACES
+from annolytics.llm.shared import keep, small_batches
+from annolytics.llm.words import Words, slices, split_lines
 
 LEAST_CHARS = 10
-LEAST_DOCUMENTS = 2
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TRIMMED = " \t\n\x0b\x0c\r"
 
-
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(_TRIMMED)), _UPPER, _LOWER)
-
-
-def _hash(line: Column) -> Column:
-    """128 bits of a long enough line's key, else null."""
-    key = line_key(line)
-    return F.when(F.length(key) >= LEAST_CHARS, F.unhex(F.md5(key)))
+def _line_hashes(lines: Words) -> np.ndarray:
+    """Hash of the key of each line, 0 for keys that are too short."""
+    chars = np.concatenate([[0], np.cumsum((lines.data & 0xC0) != 0x80)])
+    start, end = lines.start, lines.end
+    hashes = lines.hashes(start, end).view(np.int64)
+    return np.where(chars[end] - chars[start] >= LEAST_CHARS, hashes, 0)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): the hashes of the lines that each document loses."""
-    lines = (
-        docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.explode(_lines(F.col(f"`{text}`"))).alias("line"))
-        .where("doc_id is not null").select("doc_id", _hash(F.col("line")).alias("hash")).where("hash is not null")
-    )
+    small_batches(docs.sparkSession)
+
+    def explode(batches):
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                lines = split_lines(texts)
+                hashes = _line_hashes(lines)
+                owner = np.repeat(np.arange(len(texts)), lines.counts)
+                long = hashes != 0
+                ids = batch.column(0).slice(first, len(texts)).take(pa.array(owner[long]))
+                yield pa.record_batch([ids, pa.array(hashes[long])], ["doc_id", "hash"])
+
+    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    lines = keep(whole.where("doc_id is not null").mapInArrow(explode, "doc_id long, hash long"), "lines")
     shared = (
         lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last").select("hash", "first")
@@ -52,33 +60,56 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
-
-
-def _left(text: Column, gone: Column) -> Column:
-    """The lines of ``text`` that stay, in order."""
-    left = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(gone, _hash(x)), F.lit(False)))
-    return F.when(gone.isNull(), _lines(text)).otherwise(left)
+def _cut(texts: pa.Array, gone: list) -> tuple[list[str], list[int], list[int]]:
+    """(text, lines, dropped lines) of each text without its lines in ``gone``."""
+    kept, counts, dropped = [], [], []
+    for first, part in slices(texts):
+        lines = split_lines(part)
+        hashes = None
+        for row, text in enumerate(part.to_pylist()):
+            begin, end = lines.bounds[row], lines.bounds[row + 1]
+            counts.append(int(end - begin))
+            if gone[first + row] is None:
+                kept.append(text or "")
+                dropped.append(0)
+                continue
+            hashes = _line_hashes(lines) if hashes is None else hashes
+            out = np.isin(hashes[begin:end], np.array(gone[first + row], np.int64))
+            kept.append("\n".join(line for line, go in zip((text or "").split("\n"), out, strict=True) if not go))
+            dropped.append(int(out.sum()))
+    return kept, counts, dropped
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_dropped), one row per row of ``docs``."""
-    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return (
-        whole.join(repeated_lines(whole), "doc_id", "left")
-        .select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), _left(F.col("text"), F.col("gone")).alias("left"))
-        .select("doc_id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_dropped"))
-    )
+    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            kept, counts, dropped = _cut(batch.column(1), batch.column(2).to_pylist())
+            yield pa.record_batch(
+                [batch.column(0), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
+                ["doc_id", "text", "n_lines", "n_dropped"])
+
+    rows = whole.join(repeated_lines(whole), "doc_id", "left").select("doc_id", "text", "gone")
+    return rows.mapInArrow(cut, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def with_kept_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, ``text`` without the repeated lines."""
-    names = docs.columns
+    """``docs`` with all its columns, ``text`` without the repeated lines; a null text stays null."""
+    names, place = docs.columns, docs.columns.index("text")
     gone = repeated_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(_left(F.col("text"), F.col("_gone")), "\n"))
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return rows.select(*[text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names])
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(place)
+            kept, _, _ = _cut(texts, batch.column(len(names)).to_pylist())
+            kept = pa.array([k if t else t for k, t in zip(kept, texts.to_pylist(), strict=True)], texts.type)
+            columns = [kept if i == place else batch.column(i) for i in range(len(names))]
+            yield pa.record_batch(columns, names)
+
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    return rows.mapInArrow(cut, docs.schema)
 
 
 ORACLE = """

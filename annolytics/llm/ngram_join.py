@@ -12,9 +12,9 @@ several orders before its sets are compared.
   one small shuffle; the table used is bounded and any table gives whole results.
 * The first order makes candidates with one shuffle of (token, set) rows. Equal
   sets are one node, so exact copies cost nothing. Its prefixes are longer by
-  one token in 32, and a pair must share that many and one more, so pairs that
+  one token in 16, and a pair must share that many and one more, so pairs that
   meet in a stray passage end there.
-* Candidates are verified in two steps. Where a token joins very many components, as
+* Candidates are verified in two steps. Where a token joins many components, as
   in a large group of near copies, its sets first meet a few hubs from the middle
   of the group: that is linear and joins most of it into one component. Then
   pairs of *different* components that share enough tokens are taken, all of
@@ -36,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.llm.shared import Bitmap, components, keep, small_batches
@@ -51,12 +51,12 @@ RECURS = 4
 # Largest table of frequent shingles that orders the rest (12 bytes each).
 FREQUENT = 1 << 17
 # One token in this many is added to the first order's prefixes; so many more must be shared.
-LONGER = 32
+LONGER = 16
 # Pairs per node from which a token counts as crowded, hubs that its nodes meet in a
 # round, and rounds before the rest is taken pair by pair.
-CROWD = 128
+CROWD = 8
 HUBS = 8
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -234,18 +234,17 @@ def similarity_classes(
         """Tokens of a set after its prefix."""
         return f"greatest(0, ceil({top} * {n} / {bottom}) - 1 - {n} div {LONGER})"
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs that share enough of their prefixes, with the rows whose texts stand for their sets.
+    # What two linked sets share in their prefixes: of the tokens they have in common at most
+    # the smaller prefix's rest lies beyond both.
+    needed = f"ceil({top} * (a_n + b_n) / {top + bottom}) - greatest({beyond('a_n')}, {beyond('b_n')})"
 
-        Of sets with o tokens in common at most the smaller prefix's rest lies
-        beyond both prefixes, so these share the required o without that rest.
-        """
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of their prefixes, with the rows whose texts stand for their sets."""
         for side in ("a", "b"):
             pairs = pairs.join(chosen.select(
                 F.col("node").alias(side), F.col("row").alias(f"{side}_text"), F.col("n").alias(f"{side}_n"),
                 F.col("tokens").alias(f"{side}_tokens")), side)
-        needed = F.expr(f"ceil({top} * (a_n + b_n) / {top + bottom}) - greatest({beyond('a_n')}, {beyond('b_n')})")
-        pairs = pairs.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= needed)
+        pairs = pairs.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.expr(needed))
         return keep(pairs.select("a", "b", "a_text", "b_text"), "pairs")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -257,18 +256,20 @@ def similarity_classes(
         )
 
     def split(label: DataFrame | None) -> DataFrame:
-        """(token, node, n, pos, component, cross, nodes) of tokens that join different
-        components; ``cross`` counts the pairs of nodes such a token would make."""
+        """(token, node, n, pos, component, k, cross, nodes) of tokens that join different
+        components; ``cross`` counts the pairs of nodes such a token would make,
+        ``k`` the prefix tokens that a node shares with any other."""
         found = rows.withColumn("component", F.col("node"))
         if label is not None:
             found = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = found.select("token", "node", "n", "pos", "component")
+        shares = F.count(F.lit(1)).over(Window.partitionBy("node"))
+        found = found.select("token", "node", "n", "pos", "component", shares.alias("k"))
         each = found.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
             F.sum("k").alias("nodes"), F.sum(F.col("k") * F.col("k")).alias("own"))
         each = each.select("token", "nodes", ((F.col("nodes") * F.col("nodes") - F.col("own")) / 2).alias("cross")).where("cross > 0")
         return keep(found.join(each, "token"), "split")
 
-    # Where a token joins very many components, its nodes meet a few hubs first. Sets made of
+    # Where a token joins many components, its nodes meet a few hubs first. Sets made of
     # shared tokens alone stand in the middle of their group; most hubs are such.
     links, label = None, None
     crossing = split(None)
@@ -296,10 +297,12 @@ def similarity_classes(
     # All pairs of different components that share enough tokens. The smaller of two linked sets
     # has one in a shorter prefix: what they share is at least 2 s / (1 + s) of it.
     left, right = (
-        crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("component").alias(f"{side}_c"))
+        crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("k").alias(f"{side}_k"),
+            F.col("component").alias(f"{side}_c"))
         for side in ("a", "b"))
     left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1 + a_n div {LONGER}")
-    rest = near(left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))"))
+    rest = left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))")
+    rest = near(rest.where(f"least(a_k, b_k) >= {needed}"))
     more = keep(_verified(named(rest), texts, shared, width, similarity, orders), "links")
     links = more if links is None else links.unionByName(more)
     label = components(links)

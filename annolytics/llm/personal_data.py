@@ -102,16 +102,16 @@ def _valid(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value), by kind as listed, then by start."""
-    parts = []
-    for kind in KINDS:
-        spans = F.filter(_spans(text, PATTERNS[kind]), lambda s, kind=kind: _valid(kind, s["value"]))
-        named = F.transform(spans, lambda s, kind=kind: F.struct(
+    def of(kind: str) -> Column:
+        spans = F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+        named = F.transform(spans, lambda s: F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        if NEEDS[kind]:
-            none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-            named = F.when(F.contains(text, F.lit(NEEDS[kind])), named).otherwise(none)
-        parts.append(named)
-    return F.concat(*parts)
+        if NEEDS[kind] is None:
+            return named
+        none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+        return F.when(F.contains(text, F.lit(NEEDS[kind])), named).otherwise(none)
+
+    return F.concat(*map(of, KINDS))
 
 
 def _neighbours(text: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
@@ -129,7 +129,6 @@ def _neighbours(text: Column, start: Column, end: Column) -> tuple[Column, Colum
 
 # Tokens that could identify somebody: at least four digits or an at sign, between white space.
 _CANDIDATE = r"(?<!\S)(?=\S*(?:@|[0-9]\S*[0-9]\S*[0-9]\S*[0-9]))\S+"
-_EDGES = r"^[\p{Punct}&&[^+]]+|[\p{Punct}]+$"
 
 
 def _candidates(text: Column) -> Column:
@@ -223,6 +222,10 @@ def digest(found: DataFrame) -> DataFrame:
     both = F.array_sort(F.transform(
         F.concat("base", F.coalesce("added", F.array())),
         lambda s: F.struct(F.array_position(order, s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *map(count, KINDS),
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(both).alias("spans"))

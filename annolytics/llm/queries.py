@@ -14,6 +14,7 @@ from annolytics.llm import (
     ngram_join,
     personal_data,
     sentencepiece_spans,
+    substring_dedup,
     topk_search,
     toxicity,
     vector_dedup,
@@ -64,6 +65,11 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_spans.encoded_digests(_table(spark, folder, "documents"), model_path())
 
@@ -76,7 +82,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = (
         op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op4_personal_data, op5_vector_dedup, op6_topk_search,
-        op7_line_dedup, op9_sentencepiece, op10_toxicity)
+        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity)
     return {build.__name__: build for build in built}
 
 

@@ -43,8 +43,9 @@ class Bitmap:
         self.words = words
 
     @classmethod
-    def of(cls, keys: DataFrame, key: str) -> Bitmap:
-        bit = F.pmod(F.xxhash64(F.col(key)), F.lit(cls.BITS)).alias("bit")
+    def of(cls, keys: DataFrame, key: str, hashed: bool = False) -> Bitmap:
+        """``hashed`` says that the keys are hashes whose low bits will do."""
+        bit = (F.col(key).bitwiseAND(F.lit(cls.BITS - 1)) if hashed else cls.place(key)).alias("bit")
         parts = (
             keys.select(bit)
             .groupBy(F.shiftright("bit", 6).alias("word"))
@@ -61,6 +62,9 @@ class Bitmap:
         """The column to hand to :meth:`has` along with the rows."""
         return F.pmod(F.xxhash64(F.col(key)), F.lit(Bitmap.BITS))
 
+    def has_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        return self.has(hashes.view(np.int64) & (self.BITS - 1))
+
     def has(self, places: np.ndarray) -> np.ndarray:
         return (self.words[places >> 6] >> (places & 63)) & 1 == 1
 

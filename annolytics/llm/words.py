@@ -119,6 +119,27 @@ def split_words(texts: pa.Array, lower: bool, hashed: bool = True) -> Words:
     return Words(data, offsets, start, end, np.searchsorted(start, offsets, "left"), sums)
 
 
+def split_lines(texts: pa.Array) -> Words:
+    """The lines of each text (at least one) as spans without white space at
+    their ends, in bytes with A-Z in lower case."""
+    data, offsets = flat(texts)
+    data = _LOWER[data]
+    breaks = np.flatnonzero(data == 0x0A)
+    first = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    last = np.sort(np.concatenate([offsets[1:], breaks]))
+    # The nearest byte inside at or after each place, and the nearest before it.
+    inside = np.flatnonzero(~_SPACE[data])
+    after = np.searchsorted(inside, first, "left")
+    before = np.searchsorted(inside, last, "left") - 1
+    full = before >= after
+    start, end = first.copy(), first.copy()
+    start[full], end[full] = inside[after[full]], inside[before[full]] + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data) + 1)[:len(data)], out=sums[1:])
+    counts = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(offsets) - 1) + 1
+    return Words(data, offsets, start, end, np.concatenate([[0], np.cumsum(counts)]), sums)
+
+
 _STEPS = [pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) for k in range(64)]
 
 
