@@ -26,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import keep, small_batches
+from annolytics.llm.shared import Bitmap, keep, small_batches
 from annolytics.llm.words import slices, split_words
 
 SAMPLE = 30_000
 FEATURES = 4_096
 FACTORS = 8
-STEPS = 400
+STEPS = 200
 FOLDS = 5
-# A term counts as telling from this many standard deviations, and this many documents.
+# A term is telling if it is this many standard deviations off in this many documents,
 TELLING = 5.0
 SEEN = 4
+# and change the odds of the label at least so many times.
+LIFT = 3.0
+# Terms that are counted together before their counts are passed on.
+COUNTED = 2_000_000
 # Bytes of the word beginnings that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 
@@ -95,6 +99,132 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -40, 40))))
 
 
+def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Machine:
+    """Full-batch Adam on the logistic loss, with ridge penalties. Deterministic."""
+    n, k = len(terms), factors
+    if not len(labels) or labels.min() == labels.max():
+        return Machine(terms[:0], -40.0, np.zeros(0), np.zeros((0, k)))
+    lengths = np.array([len(r) for r in rows])
+    place = np.concatenate(rows)
+    full = np.flatnonzero(lengths)
+    row_starts = np.cumsum(lengths[full]) - lengths[full]
+    owner = np.repeat(full, lengths[full])
+    order = np.argsort(place, kind="stable")
+    used, column_starts = np.unique(place[order], return_index=True)
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), *values.shape[1:]))
+        if len(full):
+            out[full] = np.add.reduceat(values, row_starts)
+        return out
+
+    def by_term(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, *values.shape[1:]))
+        if len(used):
+            out[used] = np.add.reduceat(values[order], column_starts)
+        return out
+
+    rng = np.random.default_rng(5)
+    rate = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
+    state = {"b": np.array([np.log(rate / (1 - rate))]), "w": np.zeros(n), "v": rng.normal(0, 0.05, (n, k))}
+    moments = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in state.items()}
+    ridge = {"b": 0.0, "w": 2e-5, "v": 1e-4}
+    for step in range(1, steps + 1):
+        v = state["v"][place]
+        sums = by_row(v)
+        total = state["b"][0] + by_row(state["w"][place]) + 0.5 * ((sums ** 2).sum(1) - by_row((v ** 2).sum(1)))
+        error = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels) / len(rows)
+        each = error[owner]
+        slope = {"b": np.array([error.sum()]), "w": by_term(each), "v": by_term(each[:, None] * (sums[owner] - v))}
+        for name, x in state.items():
+            g = slope[name] + ridge[name] * x
+            m, s = moments[name]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.999
+            s += 0.001 * g * g
+            x -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
+    return Machine(terms, float(state["b"][0]), state["w"], state["v"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
+    """A machine from the labelled rows of ``docs`` that are not held out."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    marks = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Texts without a label go before the join, by a filter of fixed size.
+    held = spark.sparkContext.broadcast(Bitmap.of(marks, "doc_id"))
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.has(batch.column(2).to_numpy()))).select([0, 1])
+
+    picked = texts.withColumn("place", Bitmap.place("doc_id")).mapInArrow(pick, "doc_id long, text string")
+    known = keep(picked.join(marks, "doc_id").select("doc_id", "toxic", "text"), "known")
+    row = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows, toxic = row[0], row[1]
+    if toxic in (0, rows):
+        return fit(np.zeros(0, np.int64), [], np.zeros(0))
+
+    def total(terms: list[np.ndarray], toxic: list[np.ndarray]) -> pa.RecordBatch:
+        term, kind = np.unique(np.concatenate(terms), return_inverse=True)
+        marks = np.concatenate(toxic)
+        return pa.record_batch(
+            [pa.array(term), pa.array(np.bincount(kind, minlength=len(term)).astype(np.int64)),
+             pa.array(np.bincount(kind, marks, len(term)).astype(np.int64))], ["term", "n", "p"])
+
+    def count(batches):
+        terms, toxic, size = [], [], 0
+        for batch in batches:
+            for mark, each in zip(batch.column(0).to_pylist(), term_sets(batch.column(1)), strict=True):
+                terms.append(each)
+                toxic.append(np.full(len(each), mark))
+                size += len(each)
+                if size > COUNTED:
+                    yield total(terms, toxic)
+                    terms, toxic, size = [], [], 0
+        if terms:
+            yield total(terms, toxic)
+
+    share = toxic / rows
+    counted = known.select("toxic", "text").mapInArrow(count, "term long, n long, p long").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"))
+    spread = F.sqrt(F.col("n") * share * (1 - share) + 1)
+    odds = F.abs(F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5)) - float(np.log(share / (1 - share))))
+    told = (
+        counted.where((F.col("n") >= SEEN) & (odds >= float(np.log(LIFT))))
+        .select("term", F.abs((F.col("p") - F.col("n") * share) / spread).alias("z"))
+        .where(F.col("z") >= TELLING).orderBy(F.desc("z"), "term").limit(features).toArrow()
+    )
+    terms = np.sort(told["term"].to_numpy())
+    machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
+
+    def reduce(batches):
+        for batch in batches:
+            places = [machine.places(each) for each in term_sets(batch.column(1))]
+            ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate(places).astype(np.int32))], ["toxic", "places"])
+
+    # About `sample` rows by hash, then at most that many.
+    part = int(min(1.0, sample / rows) * 1_000_000)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < part).select("toxic", "text")
+    drawn = drawn.mapInArrow(reduce, "toxic int, places array<int>").limit(sample).toArrow()
+    places = [np.array(x, np.int64) for x in drawn["places"].to_pylist()]
+    return fit(terms, places, drawn["toxic"].to_numpy().astype(float))
+
+
+def score(self, places: np.ndarray) -> float:
+        factors = self.factors[places]
+        pairs = 0.5 * (np.sum(factors.sum(0) ** 2) - np.sum(factors ** 2))
+        total = self.bias + self.weights[places].sum() + pairs
+        return float(1.0 / (1.0 + np.exp(-np.clip(total, -40, 40))))
+
+
 def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Machine:
     """Full-batch Adam on the logistic loss, with ridge penalties. Deterministic."""
     n, k = len(terms), factors
