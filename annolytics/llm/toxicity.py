@@ -218,96 +218,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return fit(terms, places, drawn["toxic"].to_numpy().astype(float))
 
 
-def score(self, places: np.ndarray) -> float:
-        factors = self.factors[places]
-        pairs = 0.5 * (np.sum(factors.sum(0) ** 2) - np.sum(factors ** 2))
-        total = self.bias + self.weights[places].sum() + pairs
-        return float(1.0 / (1.0 + np.exp(-np.clip(total, -40, 40))))
-
-
-def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Machine:
-    """Full-batch Adam on the logistic loss, with ridge penalties. Deterministic."""
-    n, k = len(terms), factors
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    place = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    rng = np.random.default_rng(5)
-    rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6))
-    if not len(labels) or labels.min() == labels.max():
-        return Machine(terms[:0], -40.0, np.zeros(0), np.zeros((0, k)))
-    state = {"b": np.array([np.log(rate / (1 - rate))]), "w": np.zeros(n), "v": rng.normal(0, 0.05, (n, k))}
-    moments = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in state.items()}
-    ridge = {"b": 0.0, "w": 2e-5, "v": 1e-4}
-    for step in range(1, steps + 1):
-        v = state["v"][place]
-        sums = np.stack([np.bincount(owner, v[:, f], len(rows)) for f in range(k)], 1)
-        squares = np.bincount(owner, (v ** 2).sum(1), len(rows))
-        total = state["b"][0] + np.bincount(owner, state["w"][place], len(rows)) + 0.5 * ((sums ** 2).sum(1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels) / len(rows)
-        each = error[owner]
-        slope = {
-            "b": np.array([error.sum()]), "w": np.bincount(place, each, n),
-            "v": np.stack([np.bincount(place, each * (sums[owner, f] - v[:, f]), n) for f in range(k)], 1),
-        }
-        for name, x in state.items():
-            g = slope[name] + ridge[name] * x
-            m, s = moments[name]
-            m *= 0.9
-            m += 0.1 * g
-            s *= 0.999
-            s += 0.001 * g * g
-            x -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
-    return Machine(terms, float(state["b"][0]), state["w"], state["v"])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
-    """A machine from the labelled rows of ``docs`` that are not held out."""
-    small_batches(docs.sparkSession)
-    marks = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def describe(batches):
-        for batch in batches:
-            sets = list(term_sets(batch.column(2)))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            terms = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, terms)], ["doc_id", "toxic", "terms"])
-
-    known = texts.join(marks, "doc_id").select("doc_id", "toxic", "text")
-    known = keep(known.mapInArrow(describe, "doc_id long, toxic int, terms array<long>"), "terms")
-    row = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows, toxic = row[0], row[1]
-    if toxic in (0, rows):
-        return fit(np.zeros(0, np.int64), [], np.zeros(0))
-    share = toxic / rows
-    counted = known.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p"))
-    spread = F.sqrt(F.col("n") * share * (1 - share) + 1)
-    told = (
-        counted.where(F.col("n") >= SEEN).select("term", F.abs((F.col("p") - F.col("n") * share) / spread).alias("z"))
-        .where(F.col("z") >= TELLING).orderBy(F.desc("z"), "term").limit(features).toArrow()
-    )
-    terms = np.sort(told["term"].to_numpy())
-    machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
-
-    def reduce(batches):
-        for batch in batches:
-            places = [machine.places(x.values.to_numpy()) if x.values is not None else np.zeros(0) for x in batch.column(1)]
-            ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            flat = (np.concatenate(places) if places else np.zeros(0)).astype(np.int32)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["toxic", "places"])
-
-    # About `sample` rows by hash, then at most that many.
-    share = min(1.0, sample / rows)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = drawn.select("toxic", "terms").mapInArrow(reduce, "toxic int, places array<int>").limit(sample).toArrow()
-    places = [np.array(x, np.int64) for x in drawn["places"].to_pylist()]
-    return fit(terms, places, drawn["toxic"].to_numpy().astype(float))
-
-
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, held_out, score, predicted), one row per row of ``docs``."""
     spark = docs.sparkSession

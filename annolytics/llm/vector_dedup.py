@@ -212,6 +212,7 @@ def _width_links(nodes: DataFrame, count: int, threshold: float) -> DataFrame:
 
 def _decided(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, rows: int = 100_000):
     """The pairs whose cosine of the original components reaches the threshold."""
+    a, b = (x / 2.0 ** np.floor(np.log2(np.abs(x).max(1, keepdims=True))) for x in (a, b))  # exact, and no overflow
     sizes_a, sizes_b = np.sqrt((a ** 2).sum(1)), np.sqrt((b ** 2).sum(1))
     good = np.zeros(len(i), bool)
     for start in range(0, len(i), rows):
