@@ -38,7 +38,7 @@ def _positive(value: Column) -> Column:
 
 
 def area(r: Rect) -> Column:
-    return _positive(r.x2 - r.x1) * _positive(r.y2 - r.y1)
+    return _positive(r.x2 - r.x1).cast("bigint") * _positive(r.y2 - r.y1)
 
 
 def center(r: Rect) -> tuple[Column, Column]:
@@ -48,14 +48,14 @@ def center(r: Rect) -> tuple[Column, Column]:
 def overlap(a: Rect, b: Rect) -> Column:
     wide = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
     tall = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
-    return _positive(wide) * _positive(tall)
+    return _positive(wide).cast("bigint") * _positive(tall)
 
 
 def touching_overlap(a: Rect, b: Rect) -> Column:
     """Overlap area, 0 for rectangles that touch, -1 for rectangles apart."""
     wide = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
     tall = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
-    return F.when((wide < 0) | (tall < 0), F.lit(-1)).otherwise(wide * tall)
+    return F.when((wide < 0) | (tall < 0), F.lit(-1).cast("bigint")).otherwise(wide.cast("bigint") * tall)
 
 
 def contains(outer: Rect, inner: Rect) -> Column:

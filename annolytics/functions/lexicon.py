@@ -98,12 +98,13 @@ def flatten_glosses(meanings: Column) -> Column:
 
 
 def normalized_entry(
-    variants: Column, meanings: Column, text: Column, reading: Column, max_variants: int = 6, max_senses: int = 6,
+    variants: Column, meanings: Column, text: Column, reading: Column, max_variants: int | None = None, max_senses: int | None = None,
 ) -> Column:
     """Entry shaped for a word; null when no meaning has a gloss.
 
-    Matching variants are kept when there are any, else all of them. Six
-    variants and six senses are shown, which is the entry's report size.
+    Matching variants are kept when there are any, else all of them. A report
+    may show the first ``max_variants`` and ``max_senses`` only; ``glosses``
+    always holds those of all senses.
     """
     hits = F.filter(variants, lambda v: variant_matches(v, text, reading))
     chosen = F.when(F.size(hits) > 0, hits).otherwise(variants)
@@ -112,18 +113,21 @@ def normalized_entry(
         F.transform(meanings, lambda m: F.struct(ordered_distinct(
             F.coalesce(m["glosses"], F.array().cast("array<string>"))).alias("glosses"))),
         lambda s: F.size(s["glosses"]) > 0)
+
+    def shown(items: Column, most: int | None) -> Column:
+        return items if most is None else F.slice(items, 1, most)
+
     entry = F.struct(
         F.lit("jmdict").alias("source"),
         F.when(F.size(hits) > 0, "exact").otherwise("candidate").alias("match"),
         match_score(variants, text, reading).cast("int").alias("score"),
-        F.transform(F.slice(chosen, 1, max_variants), lambda v: F.struct(
+        F.transform(shown(chosen, max_variants), lambda v: F.struct(
             F.coalesce(v["written"], F.lit("")).alias("written"), _pronounced(v).alias("reading_hiragana"),
             _tags(v).alias("priorities"))).alias("variants"),
         tags.alias("priority_tags"),
         ordered_distinct(F.transform(tags, priority_label)).alias("priority_labels"),
-        F.slice(senses, 1, max_senses).alias("senses"),
-        ordered_distinct(F.flatten(F.transform(
-            F.slice(senses, 1, max_senses), lambda s: s["glosses"]))).alias("glosses"),
+        shown(senses, max_senses).alias("senses"),
+        ordered_distinct(F.flatten(F.transform(senses, lambda s: s["glosses"]))).alias("glosses"),
     )
     return F.when(F.size(senses) > 0, entry)
 

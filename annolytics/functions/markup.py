@@ -35,9 +35,11 @@ def reading_blocks(html: Column) -> Column:
     return F.filter(F.transform(blocks, _plain), lambda b: F.length(b) > 0)
 
 
-def section_text(html: Column, blocks: int = 5, length: int = 3000) -> Column:
-    """Report text of a page: its first blocks, up to a length."""
-    return F.substring(F.array_join(F.slice(reading_blocks(html), 1, blocks), "\n\n"), 1, length)
+def section_text(html: Column, blocks: int | None = None, length: int | None = None) -> Column:
+    """Text of a page; a report may take its first blocks, up to a length."""
+    found = reading_blocks(html)
+    text = F.array_join(found if blocks is None else F.slice(found, 1, blocks), "\n\n")
+    return text if length is None else F.substring(text, 1, length)
 
 
 def wanted_section(sections: Column, chapter: str = "chinese", titles: tuple[str, ...] = ("glyph origin", "glyph origins")) -> Column:
@@ -60,16 +62,18 @@ def wanted_section(sections: Column, chapter: str = "chinese", titles: tuple[str
     return F.aggregate(sections, start, step, lambda s: s["found"])
 
 
-# Characters a stroke path may hold, and limits of a document.
+# Characters a stroke path may hold.
 PATH_PATTERN = r"^[MmLlHhVvCcSsQqTtAaZzEe0-9.,+\-\s]+$"
-MAX_PATHS, MAX_PATH_LENGTH = 64, 12_000
 
 
-def stroke_paths(xml: Column) -> Column:
-    """Safe path data of an SVG document, the first 64."""
-    paths = F.transform(F.xpath(xml, F.lit("//*[local-name()='path']/@d")), lambda d: F.btrim(d))
-    safe = F.filter(paths, lambda d: (F.length(d) <= MAX_PATH_LENGTH) & d.rlike(PATH_PATTERN))
-    return F.slice(safe, 1, MAX_PATHS)
+def stroke_paths(xml: Column, paths: int | None = None, length: int | None = None) -> Column:
+    """Safe path data of an SVG document; a report may take the first ``paths``
+    of those no longer than ``length``."""
+    found = F.transform(F.xpath(xml, F.lit("//*[local-name()='path']/@d")), lambda d: F.btrim(d))
+    safe = F.filter(found, lambda d: d.rlike(PATH_PATTERN))
+    if length is not None:
+        safe = F.filter(safe, lambda d: F.length(d) <= length)
+    return safe if paths is None else F.slice(safe, 1, paths)
 
 
 def stroke_components(xml: Column, character: Column) -> Column:
@@ -83,5 +87,4 @@ def stroke_components(xml: Column, character: Column) -> Column:
         return F.struct(element.alias("element"), position.alias("position"))
 
     kept = F.filter(F.transform(groups, pair), lambda p: (F.length(p["element"]) > 0) & (p["element"] != character))
-    return F.transform(F.array_distinct(kept), lambda p: F.concat_ws(
-        "|", F.substring(p["element"], 1, 16), F.substring(p["position"], 1, 24)))
+    return F.transform(F.array_distinct(kept), lambda p: F.concat_ws("|", p["element"], p["position"]))

@@ -77,10 +77,18 @@ def computed_text(df: DataFrame, default: bool = True) -> DataFrame:
     return df.where(is_computed(default) & has_text())
 
 
+def last_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: of several the last one wins, by ``ord`` where there is
+    one and by all columns after it, so that reruns agree."""
+    packed = F.struct(*(["ord"] if "ord" in df.columns else []), *[c for c in df.columns if c != "ord"])
+    kept = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(packed).alias("_last"))
+    return kept.select(*[F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
 def merge_translation(annotations: DataFrame, by_region: DataFrame, by_position: DataFrame) -> DataFrame:
     """Attach translations by region id, else by position, else ''."""
-    named = by_region.select(*KEYS, F.col("translated").alias("_named"), F.lit(True).alias("_hit"))
-    placed = by_position.select("panel_id", "ord", F.col("translated").alias("_placed"))
+    named = last_per_key(by_region.select(*KEYS, "translated"), KEYS).select(*KEYS, F.col("translated").alias("_named"), F.lit(True).alias("_hit"))
+    placed = last_per_key(by_position.select("panel_id", "ord", "translated"), ["panel_id", "ord"]).select("panel_id", "ord", F.col("translated").alias("_placed"))
     return (
         annotations.drop("translated")
         .join(named, KEYS, "left").join(placed, ["panel_id", "ord"], "left")
@@ -92,6 +100,7 @@ def merge_translation(annotations: DataFrame, by_region: DataFrame, by_position:
 
 def merge_enrichment(annotations: DataFrame, stage: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Stage columns win where the stage has a value for the same region."""
+    stage = last_per_key(stage.select(*KEYS, *[c for c in columns if c not in KEYS]), KEYS)
     news = stage.select(*KEYS, *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = annotations.join(news, KEYS, "left")
     merged = {
@@ -132,7 +141,7 @@ def vocabulary(annotations: DataFrame, enrichment: DataFrame, translations: Data
     return (
         shown.select(*KEYS, "ord", F.btrim("text").alias("text"))
         .join(enrichment.select(*KEYS, "reading", "token_count", "glossary"), KEYS, "left")
-        .join(translations.select(*KEYS, F.col("translated").alias("_meaning")), KEYS, "left")
+        .join(last_per_key(translations.select(*KEYS, "translated"), KEYS).withColumnRenamed("translated", "_meaning"), KEYS, "left")
         .withColumn("meaning", F.coalesce(
             F.nullif(F.col("_meaning"), F.lit("")), F.col("glossary"), F.lit("")))
         .withColumn("reading", F.coalesce(F.col("reading"), F.lit("")))

@@ -30,7 +30,8 @@ def distinct_words(tokens: DataFrame) -> DataFrame:
 
 def best_entry_per_variant(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One entry per key and variant list: highest score, first on ties."""
-    packed = F.max_by(F.struct(*entries.columns), F.struct(F.col("score"), -F.col("ord")))
+    last = [-F.col("entry_id")] if dict(entries.dtypes).get("entry_id") in ("int", "bigint") else []
+    packed = F.max_by(F.struct(*entries.columns), F.struct(F.col("score"), -F.col("ord"), *last))
     kept = entries.groupBy(*keys, F.to_json("variants").alias("_v")).agg(packed.alias("_e"))
     return kept.select("_e.*")
 
@@ -71,7 +72,7 @@ def rank_entries(candidates: DataFrame, n: int = 8) -> DataFrame:
         F.col("entry.priority_tags").alias("priority_tags"))
     unique = best_entry_per_variant(flat, WORD)
     counts = unique.groupBy(*WORD).agg(F.count(F.lit(1)).alias("candidate_count"))
-    exact = top_rows(unique.where(F.col("match") == "exact"), WORD, [F.col("score").desc(), "ord"], n, "place")
+    exact = top_rows(unique.where(F.col("match") == "exact"), WORD, [F.col("score").desc(), "ord", "entry_id"], n, "place")
     return exact.join(counts, WORD)
 
 

@@ -128,6 +128,12 @@ def candidate_score(t: Tables) -> DataFrame:
     return cd.score_candidates(t.candidates, TEXT_SCRIPT, _HINTS).select("region_id", "ord", "score", "script_quality")
 
 
+def _run_sql(text: str) -> str:
+    """Whether ``text`` holds six equal characters in a row, in DuckDB."""
+    return f"""len(list_filter(list_zip(string_split({text}, ''), range(len(string_split({text}, '')))), lambda p:
+      p[2] > 4 and p[1] <> chr(10) and replace(substring({text}, p[2] - 4, 6), p[1], '') = '')) > 0"""
+
+
 _CHOSEN = """
 u as (select * from scored where error is null),
 best as (select region_id, arg_max(struct_pack(v := variant, t := text, s := score), struct_pack(s := score, o := -ord)) as b from u group by all),
@@ -160,6 +166,7 @@ a as (select region_id, w.v as variant, w.t as text, w.s as score, near, length(
 c as (select *, case when len = 0 then ['empty_ocr'] else list_filter([
   case when scr = 0 then 'no_japanese_chars' when scr / greatest(1, len) < 0.55e0 then 'low_japanese_ratio' end,
   case when len <= 2 then 'very_short_text' end, case when contains(text, '?') or contains(text, 'ï¿½') then 'replacement_or_question_marks' end,
+  case when {_run_sql('text')} then 'repeated_character_run' end,
   case when near then 'close_ocr_variant_scores' end, case when score < 8 then 'low_ocr_score' end], lambda x: x is not null) end as warn from a),
 d as (select *, case when len = 0 then 0e0 else greatest(0.05e0, least(0.98e0, 0.55e0 + least(greatest(score, 0), 60) / 150 - least(len(warn), 4) * 0.08e0
   - case when list_has_any(warn, ['empty_ocr', 'no_japanese_chars', 'low_ocr_score']) then 0.18e0 else 0e0 end)) end as conf from c)
@@ -168,12 +175,10 @@ select region_id, variant, score, array_to_string(warn, ',') as warnings, round(
 """)
 def score_candidates_job(t: Tables) -> DataFrame:
     chosen = cd.recognise(t.candidates, TEXT_SCRIPT, _HINTS)
-    # RE2 has no back-references, so the run hint is left to the unit tests.
-    shown = F.filter("warnings", lambda w: w != "repeated_character_run")
-    rated = tx.confidence(F.col("chars"), F.col("score"), F.col("shown"))
-    return chosen.withColumn("shown", shown).withColumn("rated", rated).select(
-        "region_id", "variant", "score", F.array_join("shown", ",").alias("warnings"), F.round("rated", 6).alias("confidence"),
-        F.when(F.col("chars") == 0, "bad").otherwise(tx.quality(F.col("rated"), F.col("shown"))).alias("quality"))
+    rated = tx.confidence(F.col("chars"), F.col("score"), F.col("warnings"))
+    return chosen.withColumn("rated", rated).select(
+        "region_id", "variant", "score", F.array_join("warnings", ",").alias("warnings"), F.round("rated", 6).alias("confidence"),
+        F.when(F.col("chars") == 0, "bad").otherwise(tx.quality(F.col("rated"), F.col("warnings"))).alias("quality"))
 
 
 @query("raw_fallback", f"""
@@ -199,14 +204,14 @@ w as (select doc_id, case when length(text) = 0 then ['empty_ocr'] else list_fil
   case when len(regexp_extract_all(text, '{TEXT_SCRIPT}')) = 0 then 'no_japanese_chars'
        when len(regexp_extract_all(text, '{TEXT_SCRIPT}')) / length(text) < 0.55e0 then 'low_japanese_ratio' end,
   case when length(text) <= 2 then 'very_short_text' end, case when contains(text, '?') then 'replacement_or_question_marks' end,
+  case when {_run_sql('text')} then 'repeated_character_run' end,
   case when n_chars % 3 = 0 then 'close_ocr_variant_scores' end, case when n_chars % 100 < 8 then 'low_ocr_score' end], lambda x: x is not null) end as warn, n_chars % 100 as score from documents)
 """
 
 
 def _warned(t: Tables) -> DataFrame:
     hints = tx.text_warnings(F.col("text"), F.col("n_chars") % 100, F.col("n_chars") % 3 == 0, TEXT_SCRIPT)
-    return t.documents.withColumn("warn", F.filter(hints, lambda w: w != "repeated_character_run")).withColumn(
-        "score", F.col("n_chars") % 100)
+    return t.documents.withColumn("warn", hints).withColumn("score", F.col("n_chars") % 100)
 
 
 @query("text_warnings", f"with {_WARN_SQL} select doc_id, array_to_string(warn, ',') as warnings from w")
@@ -214,7 +219,7 @@ def text_warnings(t: Tables) -> DataFrame:
     return _warned(t).select("doc_id", F.array_join("warn", ",").alias("warnings"))
 
 
-@query("repeated_runs")
+@query("repeated_runs", f"select doc_id, {_run_sql('text')} as has_run from documents")
 def repeated_runs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.repeated_run(F.col("text")).alias("has_run"))
 
@@ -732,7 +737,7 @@ select page_id, len(bs) as blocks, md5(array_to_string(bs, chr(10))) as whole, s
 def html_section_text(t: Tables) -> DataFrame:
     read = t.pages.withColumn("b", mk.reading_blocks(F.col("html")))
     return read.select("page_id", F.size("b").alias("blocks"), md5_text(F.array_join("b", "\n")).alias("whole"),
-                       mk.section_text(F.col("html")).alias("text"))
+                       mk.section_text(F.col("html"), blocks=5, length=3000).alias("text"))
 
 
 _SVG = ("concat('<svg xmlns=\"http://www.w3.org/2000/svg\" xmlns:kvg=\"http://example.org/kvg\"><g kvg:element=\"', source, '\"><g kvg:element=\"', language, "
