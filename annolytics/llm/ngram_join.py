@@ -55,7 +55,7 @@ LONGER = 16
 # Pairs per node from which a token counts as crowded, hubs that its nodes meet in a
 # round, and rounds before the rest is taken pair by pair.
 CROWD = 8
-HUBS = 8
+HUBS = 3
 ROUNDS = 1
 
 
@@ -247,12 +247,13 @@ def similarity_classes(
         pairs = pairs.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.expr(needed))
         return keep(pairs.select("a", "b", "a_text", "b_text"), "pairs")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) of one row per shared token (a, a_n, b, b_n) that fit in size and share enough."""
+    def near(pairs: DataFrame, more: int) -> DataFrame:
+        """Distinct (a, b) of one row per shared token (a, a_n, b, b_n) that fit in size; with
+        ``more`` they share one token and one in ``more`` of the smaller set."""
         return (
             pairs.where(f"{bottom} * least(a_n, b_n) >= {top} * greatest(a_n, b_n)")
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("a_n", "b_n")).alias("n"))
-            .where(f"shared > n div {LONGER}").select("a", "b")
+            .where("true" if not more else f"shared > n div {more}").select("a", "b")
         )
 
     def split(label: DataFrame | None) -> DataFrame:
@@ -285,7 +286,7 @@ def similarity_classes(
         hubs = crowded.groupBy("token").agg(F.array(*draw).alias("hubs"))
         met = crowded.join(hubs, "token").select("node", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub"))
         star = near(met.where("component <> hub.component").select(
-            F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")))
+            F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")), LONGER)
         star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = keep(_verified(named(star), texts, shared, width, similarity, orders), "links")
         if more.isEmpty():
@@ -300,9 +301,9 @@ def similarity_classes(
         crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("k").alias(f"{side}_k"),
             F.col("component").alias(f"{side}_c"))
         for side in ("a", "b"))
-    left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1 + a_n div {LONGER}")
+    left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1")
     rest = left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))")
-    rest = near(rest.where(f"least(a_k, b_k) >= {needed}"))
+    rest = near(rest.where(f"least(a_k, b_k) >= {needed}"), 0)
     more = keep(_verified(named(rest), texts, shared, width, similarity, orders), "links")
     links = more if links is None else links.unionByName(more)
     label = components(links)
