@@ -3,8 +3,9 @@
 Vectors are scaled to length one and turned to the principal axes of a bounded
 sample, greatest variance first; the turn keeps all products. A tree over the
 leading axes deals them into tiles of bounded size: two vectors whose cosine
-reaches the threshold differ by at most ``sqrt(2 - 2 t)`` on every axis, so a
-vector meets its own tile and those whose box lies that near, and no others.
+reaches the threshold lie at most ``sqrt(2 - 2 t)`` apart, so a vector meets its
+own tile and those later ones whose box lies that near, and no others. Each pair
+is met once.
 
 Within a tile products are summed over the leading axes first. What the rest
 can add is at most the product of the two suffix lengths, so pairs that cannot
@@ -12,10 +13,10 @@ reach the threshold any more stop there; the few that stay are summed on, and
 the last of them are decided by the cosine of the original components.
 
 Exact copies of a vector are one node with a count. A tile's result is one
-count per vector and one edge per vector to the smallest node it meets in the
+count per vector and one edge per vector to the smallest node it reaches in the
 tile, however many pairs the tile holds, so groups of copies stay linear. A tile
 that many vectors fall into (they cannot be parted by any axis) is dealt into
-blocks that meet block by block.
+blocks that meet block by block, and a block is compared strip by strip.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing; so do vectors of different lengths. Rows without ``vec_id`` keep their
@@ -25,17 +26,23 @@ row with null ids. Rows that share a ``vec_id`` are one vector each.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import components, keep
+from annolytics.llm.shared import components, keep, small_batches
 from annolytics.llm.topk_search import usable
+from annolytics.llm.words import mix
 
 COSINE = 0.95
 # Rows of the sample that the axes and the tree are fitted on.
 SAMPLE_ROWS = 20_000
-TILE_ROWS = 1_024
+TILE_ROWS = 4_096
+# Rows that meet a block together, and those of them that are compared at a time.
+GROUP_ROWS = 8_192
+STRIP_ROWS = 256
+# Rows of one Arrow batch that is dealt out.
+DEALT_ROWS = 4_096
 # Leading axes are summed in steps of this many.
 STEP = 16
 # What rounding may do to a sum of products of unit vectors.
@@ -67,10 +74,10 @@ class Tree:
         return here
 
     def tiles(self, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(point, tile, own) for every tile within ``reach`` of a point on each cut axis."""
+        """(point, tile, own) for a point's own tile and every later one whose box is within ``reach``."""
         found = []
 
-        def walk(node: int, some: np.ndarray, own: np.ndarray) -> None:
+        def walk(node: int, some: np.ndarray, own: np.ndarray, gaps: np.ndarray) -> None:
             cut = self.cuts[node]
             if not len(some):
                 return
@@ -78,14 +85,21 @@ class Tree:
                 found.append((some, np.full(len(some), node), own))
                 return
             axis, at, left, right = cut
-            value = points[some, axis]
-            low = value < at + reach
-            walk(left, some[low], own[low] & (value[low] < at))
-            high = value >= at - reach
-            walk(right, some[high], own[high] & (value[high] >= at))
-
-        walk(0, np.arange(len(points)), np.ones(len(points), bool))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            beyond = points[some, axis] - at
+            for child, gap, here in ((left, beyond, beyond < 0), (right, -beyond, beyond >= 0)):
+                wider = gaps.copy()
+                wider[:, axis] = np.maximum(wider[:, axis], gap)
+                near = (wider ** 2).sum(1) <= reach ** 2
+                walk(child, some[near], own[near] & here[near], wider[near])
+
+        walk(0, np.arange(len(points)), np.ones(len(points), bool), np.zeros(points.shape))
+        if not found:
+            return (np.zeros(0, int),) * 3
+        point, tile, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        home = np.zeros(len(points), int)
+        home[point[own]] = tile[own]
+        later = tile >= home[point]
+        return point[later], tile[later], own[later]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -112,14 +126,19 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float, step: int = STEP) ->
     return i, j
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a column of lists of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def link_classes(vectors: DataFrame, threshold: float = COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
     spark = vectors.sparkSession
-    x = F.transform(F.col(f"`{vector}`"), lambda v: v.cast("double"))
+    # Single precision stays so while it moves; sums are in double precision.
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    x = F.col(f"`{vector}`").cast("array<float>" if kind == "float" else "array<double>")
     fine = usable(F.col(f"`{vector}`")) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.when(fine, x).alias("v"))
     rows = keep(rows.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
@@ -149,89 +168,120 @@ def link_classes(vectors: DataFrame, threshold: float = COSINE, key: str = "vec_
 
 def _width_links(nodes: DataFrame, count: int, threshold: float) -> DataFrame:
     """(node, links, edges) per node and tile: vectors it links to there, copies counted, and
-    the smallest of them and the last below it as edges of a forest."""
+    the smallest node it reaches there."""
     spark = nodes.sparkSession
+    small_batches(spark, "1m")
     drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_ROWS / count)))
-    sample = _unit(_matrix(drawn.limit(SAMPLE_ROWS).select("v").toPandas()["v"])) if count else np.zeros((0, 1))
+    sample = drawn.limit(SAMPLE_ROWS).select("v").toArrow()["v"]
+    axes, tree = None, None
     if len(sample):
-        _, _, axes = np.linalg.svd(sample.T @ sample)
-        tree = Tree(sample @ axes.T, count, TILE_ROWS)
-    else:
-        axes, tree = None, None
-    shared = spark.sparkContext.broadcast((axes, tree))
+        units = _unit(_matrix(sample))
+        _, _, axes = np.linalg.svd(units.T @ units)
+        tree = Tree(units @ axes.T, count, TILE_ROWS)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    shared = spark.sparkContext.broadcast((axes, tree))
 
-    def deal(batches):
+    def met(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         axes, tree = shared.value
-        for part in batches:
-            units = _unit(_matrix(part["v"]))
-            if axes is None:
-                turned, (point, tile, own) = units, (np.arange(len(part)), np.zeros(len(part), int), np.ones(len(part), bool))
-            else:
-                turned = units @ axes.T
-                point, tile, own = tree.tiles(turned, reach)
-            yield pd.DataFrame({
-                "node": part["node"].to_numpy()[point], "copies": part["copies"].to_numpy()[point], "tile": tile, "own": own,
-                "u": [turned[p] for p in point], "v": [part["v"].iloc[p] for p in point]})
-
-    dealt = keep(nodes.select("node", "v", "copies").mapInPandas(
-        deal, "node long, copies long, tile int, own boolean, u array<double>, v array<double>"), "dealt")
-    # Residents of a tile in blocks; every visitor meets every block of the tile.
-    sizes = dealt.groupBy("tile").agg(F.ceil(F.count_if("own") / TILE_ROWS).alias("blocks"), F.ceil(F.count(F.lit(1)) / (4 * TILE_ROWS)).alias("groups"))
-    sizes = sizes.where("blocks > 0")
-    dealt = dealt.join(sizes, "tile")
-    hashed = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))
-    grouped = F.pmod(F.xxhash64("node", F.lit(6)), F.col("groups"))
-    residents = dealt.where("own").select(
-        "tile", hashed.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "node", "copies", "u", "v", F.lit(True).alias("own"))
-    visitors = dealt.select(
-        "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), grouped.alias("group"), "node", "copies", "u", "v", F.lit(False).alias("own"))
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        own = part["own"].to_numpy()
-        have, ask = part[own], part[~own]
-        empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "edges": pd.Series(dtype=object)})
-        if not len(have) or not len(ask):
-            return empty
-        i, j = similar(_matrix(ask["u"]), _matrix(have["u"]), threshold)
-        mine, other = ask["node"].to_numpy(), have["node"].to_numpy()
-        apart = mine[i] != other[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            return empty
-        i, j = _decided(_matrix(ask["v"]), _matrix(have["v"]), i, j, threshold)
-        if not len(i):
-            return empty
-        links = np.bincount(i, have["copies"].to_numpy()[j], len(ask)).astype(np.int64)
-        parents = _forest(mine, other, i, j)
-        rows = np.flatnonzero(links)
-        return pd.DataFrame({"node": mine[rows], "links": links[rows], "edges": [[int(parents[mine[r]])] for r in rows]})
+        if axes is None:
+            return np.arange(len(vectors)), np.zeros(len(vectors), int), np.ones(len(vectors), bool)
+        return tree.tiles(_unit(_matrix(vectors)) @ axes.T, reach)
+
+    def count_rows(batches):
+        for batch in batches:
+            _, tile, own = met(batch.column(0))
+            tiles, place = np.unique(tile, return_inverse=True)
+            yield pa.record_batch(
+                [pa.array(tiles.astype(np.int32)), pa.array(np.bincount(place, own, len(tiles)).astype(np.int64)),
+                 pa.array(np.bincount(place, minlength=len(tiles)).astype(np.int64))], ["tile", "residents", "rows"])
+
+    # One row per tile; tiles are bounded by the sample. Residents of a tile come in blocks, those
+    # that meet them in groups.
+    sizes = nodes.select("v").mapInArrow(count_rows, "tile int, residents long, rows long").groupBy("tile").agg(
+        F.ceil(F.sum("residents") / TILE_ROWS).alias("blocks"), F.ceil(F.sum("rows") / GROUP_ROWS).alias("groups")).toArrow()
+    blocks, groups = (np.zeros((max(sizes["tile"].to_pylist(), default=0) + 1), np.int64) for _ in range(2))
+    blocks[sizes["tile"].to_numpy()], groups[sizes["tile"].to_numpy()] = sizes["blocks"].to_numpy(), sizes["groups"].to_numpy()
+    dealing = spark.sparkContext.broadcast((blocks, groups))
 
-    return residents.unionByName(visitors).groupBy("tile", "block", "group").applyInPandas(compare, "node long, links long, edges array<long>")
+    def deal(batches):
+        blocks, groups = dealing.value
+        for batch in batches:
+            point, tile, own = met(batch.column(1))
+            node = batch.column(0).to_numpy()[point]
+            for resident in (True, False):
+                some = np.flatnonzero(own) if resident else np.arange(len(tile))
+                here = tile[some]
+                times = groups[here] if resident else blocks[here]
+                at = np.repeat(np.arange(len(some)), times)
+                every = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                one = (mix(node[some], 5 if resident else 6) % np.maximum(blocks[here] if resident else groups[here], 1).astype(np.uint64)).astype(np.int64)[at]
+                block, group = (one, every) if resident else (every, one)
+                for first in range(0, len(at), DEALT_ROWS):
+                    part = slice(first, first + DEALT_ROWS)
+                    rows = batch.take(pa.array(point[some[at[part]]]))
+                    yield pa.record_batch(
+                        [pa.array(here[at[part]].astype(np.int32)), pa.array(block[part]), pa.array(group[part]), *rows.columns[:1], rows.column(2),
+                         rows.column(1), pa.array(own[some[at[part]]]), pa.array(np.full(len(rows), resident))],
+                        ["tile", "block", "group", "node", "copies", "v", "own", "resident"])
+
+    kind = nodes.schema["v"].dataType.simpleString()
+    dealt = nodes.select("node", "v", "copies").mapInArrow(
+        deal, f"tile int, block long, group long, node long, copies long, v {kind}, own boolean, resident boolean")
+
+    def compare(part: pa.Table) -> pa.Table:
+        resident = part["resident"].to_numpy()
+        have, ask = part.filter(pa.array(resident)), part.filter(pa.array(~resident))
+        node, links, label = _links(have, ask, shared.value[0], threshold)
+        rows = np.flatnonzero(links)
+        edges = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32), pa.array(node[label[rows]]))
+        return pa.table([pa.array(node[rows]), pa.array(links[rows]), edges], ["node", "links", "edges"])
+
+    return dealt.groupBy("tile", "block", "group").applyInArrow(compare, "node long, links long, edges array<long>")
+
+
+def _links(have: pa.Table, ask: pa.Table, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes in order, links of each, place of the smallest node that each reaches) of the rows
+    of ``ask`` against those of ``have``. A pair that lives in one tile meets twice and counts once."""
+    mine, other = ask["node"].to_numpy(), have["node"].to_numpy()
+    node, places = np.unique(np.concatenate([mine, other]), return_inverse=True)
+    links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    if not len(mine) or not len(other):
+        return node, links, label
+    a, b = _matrix(ask["v"]), _matrix(have["v"])
+    turned_a, turned_b = (_unit(x) if axes is None else _unit(x) @ axes.T for x in (a, b))
+    own = ask["own"].to_numpy()
+    copies_a, copies_b = ask["copies"].to_numpy(), have["copies"].to_numpy()
+    for first in range(0, len(mine), STRIP_ROWS):
+        i, j = similar(turned_a[first:first + STRIP_ROWS], turned_b, threshold)
+        i = i + first
+        once = ~own[i] | (mine[i] < other[j])
+        i, j = _decided(a, b, i[once], j[once], threshold)
+        p, q = places[i], places[len(mine) + j]
+        np.add.at(links, p, copies_b[j])
+        np.add.at(links, q, copies_a[i])
+        label = _joined(label, p, q)
+    return node, links, label
 
 
 def _decided(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, rows: int = 100_000):
     """The pairs whose cosine of the original components reaches the threshold."""
-    a, b = (x / 2.0 ** np.floor(np.log2(np.abs(x).max(1, keepdims=True))) for x in (a, b))  # exact, and no overflow
-    sizes_a, sizes_b = np.sqrt((a ** 2).sum(1)), np.sqrt((b ** 2).sum(1))
     good = np.zeros(len(i), bool)
     for start in range(0, len(i), rows):
-        p, q = i[start:start + rows], j[start:start + rows]
-        good[start:start + rows] = np.einsum("ij,ij->i", a[p], b[q]) / (sizes_a[p] * sizes_b[q]) >= threshold
+        x, y = a[i[start:start + rows]], b[j[start:start + rows]]
+        x, y = (v / 2.0 ** np.floor(np.log2(np.abs(v).max(1, keepdims=True))) for v in (x, y))  # exact, and no overflow
+        good[start:start + rows] = np.einsum("ij,ij->i", x, y) / (np.sqrt((x ** 2).sum(1)) * np.sqrt((y ** 2).sum(1))) >= threshold
     return i[good], j[good]
 
 
-def _forest(mine: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[int, int]:
-    """For each node of the linked pairs the smallest node its links reach here."""
-    nodes, places = np.unique(np.concatenate([mine[i], other[j]]), return_inverse=True)
-    a, b = places[:len(i)], places[len(i):]
-    label = np.arange(len(nodes))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = least[least]
-        if np.array_equal(least, label):
-            break
-        label = least
-    return dict(zip(nodes.tolist(), nodes[label].tolist(), strict=True))
+def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest place that each place reaches) after the links p - q."""
+    while len(p):
+        x, y = label[p], label[q]
+        apart = x != y
+        p, q = p[apart], q[apart]
+        least, most = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        label = label.copy()
+        np.minimum.at(label, most, least)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+    return label

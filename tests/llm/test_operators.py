@@ -240,7 +240,11 @@ def test_personal_data_learns_contexts(spark):
     assert all(got[i].spans.startswith("phone:") and "," not in got[i].spans for i in range(20))
 
 
-def test_vector_dedup(spark):
+@pytest.mark.parametrize("tile", [vector_dedup.TILE_ROWS, 100])
+def test_vector_dedup(spark, monkeypatch, tile):
+    """One tile, and many with several blocks and groups each."""
+    monkeypatch.setattr(vector_dedup, "TILE_ROWS", tile)
+    monkeypatch.setattr(vector_dedup, "GROUP_ROWS", 2 * tile)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
     vectors = [(b + rng.normal(scale=0.08, size=16)).tolist() for b in base for _ in range(60)]
