@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             yield batch.filter(pa.array(held.value.has(batch.column(2).to_numpy()))).select([0, 1])
 
     picked = texts.withColumn("place", Bitmap.place("doc_id")).mapInArrow(pick, "doc_id long, text string")
-    known = keep(picked.join(marks, "doc_id").select("doc_id", "toxic", "text"), "known")
+    # A merge at every size: the labels grow with the documents, so they are never broadcast whole.
+    known = keep(picked.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", "text"), "known")
     row = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows, toxic = row[0], row[1]
     if toxic in (0, rows):
