@@ -317,3 +317,30 @@ def similarity_classes(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+ORACLE = """
+with recursive d as (
+    select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i, len(words) as n
+    from (select doc_id, list_filter(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents)
+), g as (
+    select doc_id, i, n, concat_ws(' ', word, lead(word, 1) over w, lead(word, 2) over w, lead(word, 3) over w, lead(word, 4) over w) as shingle
+    from d window w as (partition by doc_id order by i)
+), s as (
+    select distinct doc_id, shingle from g where i <= n - 4 or (n < 5 and i = 1)
+), t as (
+    select doc_id, shingle, count(*) over (partition by doc_id) as n from s
+), p as (
+    select a.doc_id as a, b.doc_id as b from t a join t b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r as (
+    select doc_id, doc_id as other from documents
+    union
+    select r.doc_id, p.b from r join p on p.a = r.other
+)
+select c.doc_id, coalesce(z.n, 0) as n_shingles, c.component_id
+from (select doc_id, min(other) as component_id from r group by doc_id) c
+left join (select doc_id, count(*) as n from s group by doc_id) z using (doc_id)
+"""

@@ -87,4 +87,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op6_topk_search": topk_search.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op6_topk_search": topk_search.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}

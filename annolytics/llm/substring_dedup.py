@@ -384,3 +384,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     still = part(False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("intervals"))
     return moved.unionByName(still).mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<int>")
+
+
+ORACLE = """
+with d as (
+    select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i, len(words) as n
+    from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents)
+), g as (
+    select doc_id, i, n, word, md5(string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 34 following)) as h from d
+), x as (
+    select doc_id, i, word, i <= n - 34 and count(*) over (partition by h, i <= n - 34) > 1 as again from g
+), m as (
+    select doc_id, i, word, coalesce(bool_or(again) over (partition by doc_id order by i rows between 34 preceding and current row), false) as gone from x
+), o as (
+    select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept
+    from m group by doc_id
+)
+select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents left join o using (doc_id)
+"""

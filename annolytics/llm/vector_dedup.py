@@ -285,3 +285,22 @@ def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         while not np.array_equal(label[label], label):
             label = label[label]
     return label
+
+
+ORACLE = """
+with recursive v as (
+    select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p as (
+    select a.vec_id as a, b.vec_id as b from v a join v b
+    on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95
+), r as (
+    select vec_id, vec_id as other from embeddings
+    union
+    select r.vec_id, p.b from r join p on p.a = r.other
+)
+select e.vec_id, coalesce(d.n_links, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select vec_id, min(other) as component_id from r group by vec_id) c using (vec_id)
+left join (select a, count(*) as n_links from p group by a) d on d.a = e.vec_id
+"""
