@@ -63,8 +63,8 @@ def dictionary_candidates(words: DataFrame, dictionary: DataFrame, script: str =
     )
 
 
-def rank_entries(candidates: DataFrame, n: int = 8) -> DataFrame:
-    """The best ``n`` exact entries of each word by score, with the number of
+def rank_entries(candidates: DataFrame, n: int | None = None) -> DataFrame:
+    """The exact entries of each word by score, the best ``n`` if given, with the number of
     candidate entries. Entries with equal shown variants count once."""
     flat = candidates.select(
         *WORD, "entry_id", "ord", F.col("entry.score").alias("score"), F.col("entry.match").alias("match"),
@@ -77,7 +77,7 @@ def rank_entries(candidates: DataFrame, n: int = 8) -> DataFrame:
 
 
 def lookup_words(words: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One row per word: its ranked entries (at most eight, by construction), or none."""
+    """One row per word: its ranked entries, or none."""
     gathered = ranked.groupBy(*WORD).agg(
         F.array_sort(F.collect_list(F.struct(
             "place", "entry_id", "score", "variants", "glosses", "priority_tags"))).alias("entries"),
@@ -106,18 +106,19 @@ def attach_lookup(tokens: DataFrame, lookup: DataFrame) -> DataFrame:
     }).drop("_s", "_r", "_a", "_l", "_b")
 
 
-def merge_rank_entries(remote: DataFrame, local: DataFrame, keys: Sequence[str] = WORD, n: int = 4) -> DataFrame:
+def merge_rank_entries(remote: DataFrame, local: DataFrame, keys: Sequence[str] = WORD, n: int | None = None) -> DataFrame:
     """Union of two entry tables with canonical sources, one entry per variant
-    list, best ``n`` by score; remote entries come first on ties."""
+    list, by score, the best ``n`` if given; remote entries come first on ties,
+    then the smaller ``ord``, then the variants' text."""
     columns = [*keys, "ord", "source", "score", "variants", "glosses"]
     both = (
         remote.select(*columns, F.lit(0).alias("_side"))
         .unionByName(local.select(*columns, F.lit(1).alias("_side")))
         .withColumn("source", lx.canonical_source(F.col("source")))
     )
-    best = F.max_by(F.struct(*columns, "_side"), F.struct("score", -F.col("_side"), -F.col("ord")))
-    unique = both.groupBy(*keys, F.to_json("variants").alias("_v")).agg(best.alias("_e")).select("_e.*")
-    return top_rows(unique, keys, [F.col("score").desc(), "_side", "ord"], n, "place").drop("_side")
+    best = F.max_by(F.struct(*columns, "_side"), F.struct("score", -F.col("_side"), -F.col("ord"), "source", F.to_json("glosses")))
+    unique = both.groupBy(*keys, F.to_json("variants").alias("_v")).agg(best.alias("_e")).select("_e.*", "_v")
+    return top_rows(unique, keys, [F.col("score").desc(), "_side", "ord", "_v"], n, "place").drop("_side", "_v")
 
 
 def reading_lookup(readings: DataFrame, characters: DataFrame) -> DataFrame:

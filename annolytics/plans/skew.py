@@ -16,6 +16,8 @@ Both branches are exact and together hold every row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ from annolytics.plans.storage import settle
 WINDOW_ROWS = 2_000_000
 # Rows of one key that may be gathered into one array for an ordered fold.
 FOLD_ROWS = 2_000
-# Rows of a checked table that may be broadcast.
+# Rows and bytes (as JSON) of a checked table that may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _CHUNK = "_chunk"
 
@@ -50,13 +53,21 @@ def heavy_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame |
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` only if a count shows that it is small.
+    """Broadcast ``df`` only if its rows and bytes, summed per task, are few.
 
-    Beyond the bound the join is left to Spark, which shuffles both sides and
+    Beyond the bounds the join is left to Spark, which shuffles both sides and
     splits skewed partitions at run time.
     """
-    rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    row = F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(row)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which null equals null, so that rows without a key are a group too."""
+    other = table.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in table.columns])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    return df.join(other, same, how).drop(*(f"_key_{k}" for k in keys))
 
 
 def split_groups(df: DataFrame, keys: Sequence[str], limit: int | None) -> tuple[DataFrame, DataFrame | None]:
@@ -68,7 +79,7 @@ def split_groups(df: DataFrame, keys: Sequence[str], limit: int | None) -> tuple
     if heavy is None:
         return df, None
     heavy = small_side(heavy)
-    return df.join(heavy, list(keys), "left_anti"), df.join(heavy, list(keys), "left_semi")
+    return join_groups(df, heavy, keys, "left_anti"), join_groups(df, heavy, keys, "left_semi")
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -107,8 +118,7 @@ def ordered_index(
     carried = small_side(_carry(totals, keys, "_total", "_before"))
     local = F.row_number().over(_chunk_window(keys, order))
     spread = (
-        rows.withColumn("_local", local)
-        .join(carried, [*keys, _CHUNK])
+        join_groups(rows.withColumn("_local", local), carried, [*keys, _CHUNK])
         .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_local", "_before", _CHUNK)
     )
@@ -132,8 +142,7 @@ def running_total(
     carried = small_side(_carry(totals, keys, "_total", "_before"))
     local = F.sum("_value").over(_chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     spread = (
-        rows.withColumn("_local", local)
-        .join(carried, [*keys, _CHUNK])
+        join_groups(rows.withColumn("_local", local), carried, [*keys, _CHUNK])
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_local", "_before", "_value", _CHUNK)
     )
@@ -166,18 +175,19 @@ def with_previous(
         )
     )
     spread = (
-        marked.join(lifted, [*keys, _CHUNK])
+        join_groups(marked, lifted, [*keys, _CHUNK])
         .withColumn(name, F.coalesce("_here", "_earlier"))
         .drop("_here", "_earlier", _CHUNK)
     )
     return result.unionByName(spread)
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, name: str) -> DataFrame:
-    """First ``n`` rows per key, numbered. Spark limits each key to ``n`` rows
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int | None, name: str) -> DataFrame:
+    """First ``n`` rows per key (all without ``n``), numbered. Spark limits each key to ``n`` rows
     per task before the shuffle (window group limit), so a hot key stays small."""
     window = Window.partitionBy(*keys).orderBy(*by(order))
-    return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+    numbered = df.withColumn(name, F.row_number().over(window))
+    return numbered if n is None else numbered.where(F.col(name) <= n)
 
 
 def ordered_text(

@@ -493,7 +493,7 @@ ranked as (select text, reading, entry_id, score, count(*) over (partition by te
 
 @query("rank_entries", f"with {_LOOKUP}, {_RANKED} select text, reading, entry_id, score, cast(place as int) as place, candidate_count from ranked where place <= 8")
 def rank_entries(t: Tables) -> DataFrame:
-    ranked = lo.rank_entries(lo.dictionary_candidates(_lookup_words(t), _entries(t)))
+    ranked = lo.rank_entries(lo.dictionary_candidates(_lookup_words(t), _entries(t)), 8)
     return ranked.select("text", "reading", "entry_id", "score", "place", "candidate_count")
 
 
@@ -540,7 +540,7 @@ def merge_rank_entries(t: Tables) -> DataFrame:
         return numbered.select("key", "ord", F.lit(source).alias("source"), (F.col("ord") % score).alias("score"),
                                F.array(F.struct(F.col(column).alias("written"))).alias("variants"), F.array("gloss").alias("glosses"))
 
-    merged = lo.merge_rank_entries(side("kanjiapi.dev:/words", 50, "written"), side("local:extended", 60, "pronounced"), ["key"])
+    merged = lo.merge_rank_entries(side("kanjiapi.dev:/words", 50, "written"), side("local:extended", 60, "pronounced"), ["key"], 4)
     return merged.select("key", F.col("variants")[0]["written"].alias("written"), "source", "score", "place")
 
 

@@ -62,6 +62,35 @@ def test_ordered_helpers(frame, helper):
     assert collected(make(10**6), "panel_id", "ord", "v") == collected(make(5), "panel_id", "ord", "v")
 
 
+def test_rows_without_a_key_are_a_hot_key_too(spark):
+    nulls = spark.range(50).selectExpr("cast(null as int) as k", "cast(id as int) as ord")
+    frame = nulls.unionByName(spark.range(5).selectExpr("1 as k", "cast(id as int) as ord"))
+    ordinary, heavy = skew.split_groups(frame, ["k"], 10)
+    assert (ordinary.count(), heavy.count()) == (5, 50)
+    made = {
+        "index": lambda limit: skew.ordered_index(frame, ["k"], ["ord"], "v", limit),
+        "total": lambda limit: skew.running_total(frame, ["k"], ["ord"], F.col("ord"), "v", limit),
+        "previous": lambda limit: skew.with_previous(frame, ["k"], ["ord"], ["ord"], "v", limit),
+    }
+    for name, make in made.items():
+        hot = collected(make(10), "k", "ord", "v")
+        assert len(hot) == 55 and hot == collected(make(10**6), "k", "ord", "v"), name
+
+
+def test_only_tables_of_few_rows_and_bytes_are_broadcast(spark, monkeypatch):
+    table = spark.range(10).selectExpr("id", "repeat('x', 100) as t")
+
+    def hinted():
+        return "ResolvedHint" in skew.small_side(table)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted()
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1000)
+    assert not hinted()
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 9)
+    assert not hinted()
+
+
 @pytest.mark.parametrize("limit", [500, 8])
 def test_duels(frame, rows, limit):
     expected = {}
