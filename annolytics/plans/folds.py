@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.plans.skew import FOLD_ROWS, ordered_index, split_groups
+from annolytics.plans.skew import FOLD_ROWS, join_groups, ordered_index, split_groups
 from annolytics.plans.storage import settle
 
 Rule = Callable[[Column, Column], Column]
@@ -78,7 +78,7 @@ def first_fit(
             .groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
         )
         folded = settle(
-            chunk.join(groups, keys)
+            join_groups(chunk, groups, keys)
             .withColumn("_f", _fold(F.col("nodes"), F.col("groups"), matches, absorb, opened))
         )
         result = result.unionByName(assigned(folded))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annolytics.functions.hashing import file_name
 
 # Media suffixes.
+MEDIA_SUFFIXES = ("jpg", "jpeg", "png")
 MEDIA_GLOB = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
 
 
@@ -20,6 +21,14 @@ def media_files(spark: SparkSession, root: str, glob: str = MEDIA_GLOB) -> DataF
     return files.select("path", file_name(F.col("path")).alias("filename"), F.col("length").alias("size"))
 
 
+def listed_media(listing: DataFrame, suffixes: Iterable[str] = MEDIA_SUFFIXES) -> DataFrame:
+    """path, filename and size of those rows of a listing (path, size) whose file
+    name has one of the suffixes, in upper or lower case. Null paths are dropped."""
+    named = listing.select("path", file_name(F.col("path")).alias("filename"), "size")
+    ending = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
+    return named.where(ending.isin(*suffixes))
+
+
 def media_catalog(spark: SparkSession, roots: Mapping[str, str], glob: str = MEDIA_GLOB) -> DataFrame:
     """Files of several roots (kind -> folder), tagged with their kind."""
     parts = [media_files(spark, root, glob).withColumn("kind", F.lit(kind)) for kind, root in roots.items()]

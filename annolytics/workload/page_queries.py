@@ -24,12 +24,6 @@ def _page() -> tuple[Column, Column]:
 
 # -- media and naming ---------------------------------------------------------
 
-@query("scan_media_catalog")
-def scan_media_catalog(t: Tables) -> DataFrame:
-    found = media.media_catalog(t.spark, {"original": t.folder}, "*.parquet")
-    return media.sorted_catalog(found).select("filename", "size", "kind")
-
-
 _PAGE_FILES = """
   select page_id, url as path, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) as filename,
          cast(length(html) as bigint) as size, url like 'https%' as original from pages
@@ -43,6 +37,15 @@ def _page_files(t: Tables) -> DataFrame:
         F.length("html").cast("bigint").alias("size"), F.col("url").like("https%").alias("original"))
 
 
+@query("scan_media_catalog", f"""
+with f as ({_PAGE_FILES})
+select regexp_replace(path, '[?#].*$', '') as path, filename, size from f where lower(filename) like '%.html'
+""")
+def scan_media_catalog(t: Tables) -> DataFrame:
+    listing = _page_files(t).select(F.regexp_replace("path", "[?#].*$", "").alias("path"), "size")
+    return media.listed_media(listing, ["html"])
+
+
 @query("union_catalogs", f"""
 with f as ({_PAGE_FILES}),
 k as (select path, filename, size, case when original then 'original' else 'uploaded' end as kind from f)
@@ -664,7 +667,29 @@ def split_by_gap(t: Tables) -> DataFrame:
     return od.split_by_gap(lines, ["panel_id"]).select("panel_id", "ord", "sub_block")
 
 
-@query("cluster_scattered_lines")
+_CLUSTER = "struct(n bigint, font double, vx double, vy double, d double, fx double, fy double, x1 double, y1 double, x2 double, y2 double)"
+
+
+@query("cluster_scattered_lines", f"""
+with recursive l as (select panel_id, ord, x1 as p1, y1 as q1, x2 as p2, y2 as q2, cast(font_size as double) as f, cast(x1 + y1 as double) as e,
+    cast(width as double) as u, cast(line_count as double) as v, row_number() over (partition by panel_id order by x1 + y1, ord) as i from placed_boxes),
+r as (select distinct panel_id, 0::bigint as i, []::{_CLUSTER}[] as cs, []::bigint[] as spots from placed_boxes
+  union all
+  select panel_id, i,
+    case when hit > 0 then list_transform(cs, lambda b, k: case when k = hit then
+      cast(row(b.n + 1, (b.font * b.n + f) / (b.n + 1), b.vx + u, b.vy + v, e, p1, q1, p1, q1, p2, q2) as {_CLUSTER}) else b end)
+    else list_append(cs, cast(row(1, f, u, v, e, p1, q1, p1, q1, p2, q2) as {_CLUSTER})) end,
+    list_append(spots, case when hit > 0 then hit else len(cs) + 1 end)
+  from (select l.*, r.cs, r.spots, coalesce(list_position(list_transform(r.cs, lambda b:
+      (least(b.x2, l.p2) > greatest(b.x1, l.p1) and least(b.y2, l.q2) > greatest(b.y1, l.q1))
+      or (b.font / (l.f + 1e-10) <= 1.3e0 and 1e0 / (b.font / (l.f + 1e-10) + 1e-300) <= 1.3e0
+        and abs((b.vx * l.u + b.vy * l.v) / (sqrt(b.vx * b.vx + b.vy * b.vy) * sqrt(l.u * l.u + l.v * l.v) + 1e-10)) >= 0.866e0
+        and l.e - b.d <= (b.font * b.n + l.f) / (b.n + 1) * 2
+        and sqrt((l.p1 - b.fx) * (l.p1 - b.fx) + (l.q1 - b.fy) * (l.q1 - b.fy)) <= (b.font * b.n + l.f) / (b.n + 1) * 2.5e0)), true), 0) as hit
+    from r join l on l.panel_id = r.panel_id and l.i = r.i + 1)),
+s as (select panel_id, arg_max(spots, i) as spots from r group by panel_id)
+select l.panel_id, l.ord, s.spots[l.i] as cluster from l join s using (panel_id)
+""")
 def cluster_scattered_lines(t: Tables) -> DataFrame:
     lines = t.placed_boxes.select(
         "panel_id", "ord", "x1", "y1", "x2", "y2", "font_size", (F.col("x1") + F.col("y1")).cast("double").alias("distance"),

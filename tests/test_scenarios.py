@@ -273,3 +273,18 @@ def test_box_state(spark):
     assert (shaped[1].x, shaped[1].width, shaped[1].vertical, shaped[1].forced_orientation) == (0, 1, True, None)
     assert shaped[2].vertical and shaped[2].forced_orientation == "vertical"
     assert shaped[1].region_id.startswith("region_") and len(shaped[1].region_id) == 17
+
+
+def test_media_of_folders_and_listings(spark, tmp_path):
+    from annolytics.sources import media
+
+    for name in ("a.jpg", "b.PNG", "c.txt", "deep/d.jpeg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    found = media.media_catalog(spark, {"original": str(tmp_path)})
+    assert {(r.filename, r.size, r.kind) for r in found.collect()} == {
+        (n, 5, "original") for n in ("a.jpg", "b.PNG", "d.jpeg")}
+    listing = spark.createDataFrame(
+        [("x/a.JPG", 1), ("x/b.jpg.txt", 2), ("x/jpg", 3), (None, 4), ("c.png", 5), ("c.png", 5)], "path string, size long")
+    assert sorted((r.filename, r.size) for r in media.listed_media(listing).collect()) == [("a.JPG", 1), ("c.png", 5), ("c.png", 5)]
+    assert media.listed_media(listing.limit(0)).count() == 0
