@@ -506,9 +506,9 @@ def normalize_entry(t: Tables) -> DataFrame:
     return ranked.select("text", "reading", "entry_id", F.array_join("glosses", "/").alias("glosses"))
 
 
-@query("flatten_meanings", "select entry_id, concat(reverse(written), '/to ', written) as glosses from dictionary")
+@query("flatten_meanings", f"with {_LOOKUP} select entry_id, concat(reverse(written), '/to ', written) as glosses from e")
 def flatten_meanings(t: Tables) -> DataFrame:
-    return _entries(t).where("ord = 1").select("entry_id", F.array_join(lx.flatten_glosses(F.col("meanings")), "/").alias("glosses"))
+    return _entries(t).select("entry_id", F.array_join(lx.flatten_glosses(F.col("meanings")), "/").alias("glosses"))
 
 
 @query("best_entry_per_variant", """
