@@ -5,14 +5,16 @@ that say what they are (navigation, headers, footers, sidebars, notices,
 adverts, forms, comments of readers, scripts and styles) give no line. Over the
 rest the text lengths are summed in sliding windows of lines; where the sums
 surge above the threshold a text body begins, where they dive to nothing it
-ends, and the lines between are kept. If the page names its article, the lines
-outside it are left out before.
+ends, and the lines between are kept.
 
 * The threshold is relative to the page (a share of its greatest window), so
   short and long pages behave alike; a body's own short lines stay in it, since
   a dive needs a whole window without text.
 * Of several bodies the one with most text is kept, with every other that
   reaches a share of it.
+* An article that the page names is evidence, no filter: if it holds at least
+  as much text as the bodies outside it, it is the main text, with every line
+  of it. Otherwise it is a card or teaser, and the bodies of all lines decide.
 
 Character references are decoded once. White space inside a block becomes one
 space, ends are trimmed, empty blocks give no line, blocks are joined by one
@@ -182,13 +184,13 @@ def body_lines(sizes: np.ndarray, window: int = WINDOW, surge: float = SURGE_SHA
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    named = any(inside for _, inside, _ in found)
-    if named:
-        found = [line for line in found if line[1]]
     texts = [line[0] for line in found]
-    sizes = np.array([len(t) for t in texts])
-    # Inside a named article every line is text, however little.
-    kept = body_lines(sizes, surge=0.0) if named else body_lines(sizes)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    inside = np.array([line[1] for line in found], bool)
+    kept = body_lines(sizes)
+    # An article with most of the text is the main text, with its shortest lines.
+    if inside.any() and sizes[inside].sum() >= sizes[kept & ~inside].sum():
+        kept = inside
     for at in range(len(found) - 1, 0, -1):  # a body's headings stand right before it
         kept[at - 1] |= kept[at] & found[at - 1][2]
     return "\n".join(t for t, good in zip(texts, kept, strict=True) if good)

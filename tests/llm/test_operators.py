@@ -127,6 +127,16 @@ def test_main_text_without_article():
     assert lines[0] == "Top" and len(lines) == 6
 
 
+def test_main_text_beside_an_article_that_is_a_card():
+    paragraphs = [f"{'text ' * 40}{i}" for i in range(5)]
+    main = "<main>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</main>"
+    card = "<article><a href=x>Read more</a></article>"
+    for page in (main + card, card + main):
+        assert set(paragraphs) <= set(html_main_text.main_text(page).split("\n"))
+    whole = "<div><p>one line</p></div><article><h1>T</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<p>x</p></article><div><p>two</p></div>"
+    assert html_main_text.main_text(whole).split("\n") == ["T", *paragraphs, "x"]
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 2), (2, None, None, 3)], "page_id long, url string, html string, text long")
     got = {r.page_id: r for r in html_main_text.extract(pages).collect()}
