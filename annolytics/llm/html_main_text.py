@@ -2,16 +2,19 @@
 
 Markup is stripped to lines: one per block of the page, in page order. Blocks
 that say what they are (navigation, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, scripts and styles) give no line. Over the
-rest the text lengths are summed in sliding windows of lines; where the sums
+adverts, forms, comments of readers, scripts and styles) give no line; a form
+with most of the page's text is the page, not a form. Over the rest the text lengths are summed in sliding windows of lines; where the sums
 surge above the threshold a text body begins, where they dive to nothing it
 ends, and the lines between are kept.
 
 * The threshold is relative to the page (a share of its greatest window), so
   short and long pages behave alike; a body's own short lines stay in it, since
   a dive needs a whole window without text.
-* Of several bodies the one with most text is kept, with every other that
-  reaches a share of it.
+* A line counts a bounded length for the threshold, so one huge block sets none
+  that ordinary paragraphs miss.
+* Of several bodies the one with most text is kept, by bounded and by whole
+  lengths, with every other that reaches a share of it or stands in the same
+  element as a kept one. Lines between kept bodies of one container stay too.
 * An article that the page names is evidence, no filter: if it holds at least
   as much text as the bodies outside it, it is the main text, with every line
   of it. Otherwise it is a card or teaser, and the bodies of all lines decide.
@@ -38,6 +41,8 @@ from annolytics.llm.shared import small_batches
 WINDOW = 3
 SURGE_SHARE = 0.05
 BODY_SHARE = 0.3
+# What one line counts at most (code points) where surges are decided.
+LINE = 400
 
 # Fixed values of HTML: elements that begin a block of their own.
 BLOCKS = frozenset("""
@@ -52,9 +57,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 # Elements that never hold main text.
 ASIDE = frozenset("""
-head nav header footer aside form menu script style noscript iframe template textarea select button svg canvas object
-video audio dialog title figcaption map datalist
+head nav header footer aside menu script style noscript iframe template textarea select button svg canvas object
+video audio dialog title map datalist
 """.split())
+# Elements that hold blocks of text, below the page itself.
+CONTAINERS = frozenset("article center details div fieldset form main section table td th".split())
 # Words in class, id or role that mark a block as no main text.
 MARKED = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|"
@@ -88,23 +95,31 @@ def _marked(name: str, attributes: str) -> bool:
     for values in _NAMES.finditer(attributes):
         value = next(v for v in values.groups() if v is not None)
         value = _LAYOUT.sub("", _CAMEL.sub("-", value).lower().replace("_", "-"))
+        if name == "form":  # whether a form is the page is said by its text
+            value = value.replace("form", "")
         if MARKED.search(value):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, heading) of each block that may hold main text."""
-    found: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[int]]:
+    """(text, inside an article, heading, container) of each block that may hold
+    main text, and the container around each container; 0 is the page."""
+    found: list[tuple[str, bool, bool, int]] = []
+    forms: list[int] = []  # the form around each line, or 0
+    outer_of = [0]
     held: list[str] = []
-    open_: list[tuple[str, bool | None, bool]] = []  # element, no main text (None: headings only), article
+    # element, no main text (None: headings only), article, container, form
+    open_: list[tuple[str, bool | None, bool, int, int]] = []
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                heading = any(name in HEADINGS for name, _, _ in open_[-3:])
-                found.append((text, bool(open_) and open_[-1][2], heading))
+                heading = any(x[0] in HEADINGS for x in open_[-3:])
+                _, _, article, container, form = open_[-1] if open_ else ("", False, False, 0, 0)
+                found.append((text, article, heading, container))
+                forms.append(form)
             held.clear()
 
     def text(part: str) -> None:
@@ -138,7 +153,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         attributes = tag.group(3) or ""
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
-        outer = open_[-1] if open_ else ("", False, False)
+        outer = open_[-1] if open_ else ("", False, False, 0, 0)
         article = outer[2] or name == "article"
         aside = outer[1]
         if name == "header" and outer[2] and aside is False:
@@ -147,47 +162,83 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             aside = True
         elif aside is None and name in HEADINGS:
             aside = False
-        open_.append((name, aside, article))
+        container, form = outer[3], outer[4]
+        if name in CONTAINERS:
+            outer_of.append(container)
+            container = len(outer_of) - 1
+            if name == "form":
+                form = form or container
+        open_.append((name, aside, article, container, form))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             inner, at = (page[at:end.start()], end.end()) if end else (page[at:], len(page))
             text(inner)
             open_.pop()
     flush()
-    return found
+    # A form is no main text, unless it is the page.
+    held_by: dict[int, int] = {}
+    for line, form in zip(found, forms, strict=True):
+        held_by[form] = held_by.get(form, 0) + len(line[0])
+    total = sum(held_by.values())
+    good = {form for form, size in held_by.items() if not form or 2 * size > total}
+    return [line for line, form in zip(found, forms, strict=True) if form in good], outer_of
 
 
-def body_lines(sizes: np.ndarray, window: int = WINDOW, surge: float = SURGE_SHARE, share: float = BODY_SHARE) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the window sums.
-
-    ``sizes`` are the text lengths of the lines.
-    """
+def _bodies(sizes: np.ndarray, window: int, surge: float) -> list[tuple[int, int]]:
+    """(first, last) line of each run between a surge and a dive of the window sums."""
     n = len(sizes)
-    keep = np.zeros(n, bool)
-    if not n or not sizes.sum():
-        return keep
     padded = np.concatenate([np.zeros(window - 1), sizes, np.zeros(window - 1)])
     sums = np.convolve(padded, np.ones(window), "valid")  # sums[i] ends at line i
     high = (sums >= surge * sums.max()) & (sums > 0)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
-    bodies = []
-    for first, last in zip(edges[::2], edges[1::2], strict=True):
-        # A surge at `first` is text in that line; a dive after `last` ended a window before.
-        start, end = min(first, n - 1), min(last - 1, n - 1)
-        bodies.append((start, end, sizes[start:end + 1].sum()))
-    most = max(size for _, _, size in bodies)
-    for start, end, size in bodies:
-        if size >= share * most:
-            keep[start:end + 1] = True
+    # A surge at `first` is text in that line; a dive after `last` ended a window before.
+    return [(min(first, n - 1), min(last - 1, n - 1)) for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
+def _around(one: int, other: int, outer_of: list[int]) -> int:
+    """Least container around both; a container's number is above that of the one around it."""
+    while one != other:
+        if one > other:
+            one = outer_of[one]
+        else:
+            other = outer_of[other]
+    return one
+
+
+def body_lines(
+    sizes: np.ndarray, places: list[int], outer_of: list[int],
+    window: int = WINDOW, surge: float = SURGE_SHARE, share: float = BODY_SHARE,
+) -> np.ndarray:
+    """Which lines belong to the bodies with most text.
+
+    ``sizes`` are the text lengths of the lines, ``places`` their containers.
+    """
+    keep = np.zeros(len(sizes), bool)
+    if not len(sizes) or not sizes.sum():
+        return keep
+    bounded = np.minimum(sizes, LINE)
+    bodies = _bodies(bounded, window, surge)
+    whole = [sizes[start:end + 1].sum() for start, end in bodies]
+    level = [bounded[start:end + 1].sum() for start, end in bodies]
+    # The container of a body is that of its longest line.
+    homes = [places[start + int(sizes[start:end + 1].argmax())] for start, end in bodies]
+    good = [w >= share * max(whole) or v >= share * max(level) for w, v in zip(whole, level, strict=True)]
+    kept_homes = {home for home, is_good in zip(homes, good, strict=True) if is_good}
+    kept = [body for body, home in zip(bodies, homes, strict=True) if home in kept_homes]
+    at = [home for home in homes if home in kept_homes]
+    for turn, (start, end) in enumerate(kept):
+        keep[start:end + 1] = True
+        if turn and (_around(at[turn - 1], at[turn], outer_of) or at[turn - 1] == at[turn]):
+            keep[kept[turn - 1][1]:start] = True
     return keep
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
+    found, outer_of = lines(page or "")
     texts = [line[0] for line in found]
     sizes = np.array([len(t) for t in texts], np.int64)
     inside = np.array([line[1] for line in found], bool)
-    kept = body_lines(sizes)
+    kept = body_lines(sizes, [line[3] for line in found], outer_of)
     # An article with most of the text is the main text, with its shortest lines.
     if inside.any() and sizes[inside].sum() >= sizes[kept & ~inside].sum():
         kept = inside

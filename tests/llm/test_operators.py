@@ -137,6 +137,18 @@ def test_main_text_beside_an_article_that_is_a_card():
     assert html_main_text.main_text(whole).split("\n") == ["T", *paragraphs, "x"]
 
 
+def test_main_text_with_one_huge_block():
+    paragraphs = [f"{'text ' * 60}{i}" for i in range(20)]
+    huge = "word " * 12_000
+    p = [f"<p>{x}</p>" for x in paragraphs]
+    page = f"<div>{''.join(p[:10])}<p>{huge}</p>{''.join(p[10:])}</div>"
+    assert html_main_text.main_text(page).split("\n") == [*paragraphs[:10], huge.strip(), *paragraphs[10:]]
+    assert html_main_text.main_text(f"<form id=aspnetForm>{page}</form><form>Mail <input></form>").count("\n") == 20
+    apart = f"<div>{''.join(p[:10])}{'<p>-</p>' * 8}<p>{huge}</p>{'<p>-</p>' * 8}<p>{'end ' * 30}</p></div>"
+    assert html_main_text.main_text(apart).count("\n") == 27
+    assert html_main_text.main_text(f"<div>{p[0]}<figure><img><figcaption>Caption</figcaption></figure>{p[1]}</div>").split("\n")[1] == "Caption"
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 2), (2, None, None, 3)], "page_id long, url string, html string, text long")
     got = {r.page_id: r for r in html_main_text.extract(pages).collect()}
