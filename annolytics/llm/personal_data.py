@@ -3,7 +3,8 @@
 The base patterns give entities that are certain by their form: mail addresses,
 IP addresses, card numbers that pass their check digit, phone numbers. They are
 the seeds of a bootstrap. A pattern is what stands next to an entity: its two
-words before, or the word before and the word after. An instance is an entity
+words before, or the word before and the word after; where a text begins, its
+beginning stands for the missing word. An instance is an entity
 or any other token that could identify somebody (one with digits or an at sign)
 in such a place. Patterns and instances form a graph that Spark scores in turns:
 
@@ -11,9 +12,10 @@ in such a place. Patterns and instances form a graph that Spark scores in turns:
   trusted, and counts only with enough different seeds of one kind;
 * an instance is as sure as its patterns together, one being enough.
 
-Instances of sure patterns become trusted and support further patterns. After
-the last turn the trusted ones that are no base entity are spans of their own,
-of the kind their patterns have. Base spans always stay.
+Instances of sure patterns become trusted and support further patterns, until a
+turn finds no more. Then every token with a trusted value that is no base
+entity is a span of its own, of the kind its patterns have, whatever stands
+around it. Base spans always stay.
 
 Everything is built-in functions: places of matches come from the lengths of
 the pieces between them, so no Python runs on the rows. Every pass is over
@@ -50,7 +52,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 # A bootstrap pattern needs so many different seeds of its kind, and this share of trusted instances.
 SEEDS = 5
 SURE = 0.8
-TURNS = 3
+# Turns after which the bootstrap must have settled; it fails if it has not.
+TURNS = 200
 # Code points around a match in which its neighbours are looked for.
 REACH = 80
 
@@ -115,7 +118,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _neighbours(text: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
-    """(second word before, word before, word after) within reach, lower case, "" where there is none."""
+    """(second word before, word before, word after) within reach, lower case, "" where there is none; "^" is the text's beginning."""
     first = F.greatest(start - REACH, F.lit(0))
     before = F.filter(F.split(F.lower(F.substr(text, first + 1, start - first)), r"\s+"), lambda w: w != "")
     after = F.filter(F.split(F.lower(F.substr(text, end + 1, F.lit(REACH))), r"\s+"), lambda w: w != "")
@@ -124,7 +127,10 @@ def _neighbours(text: Column, start: Column, end: Column) -> tuple[Column, Colum
     def word(words: Column, at: Column) -> Column:
         return F.when((at >= 1) & (at <= F.size(words)), F.get(words, at - 1)).otherwise(F.lit(""))
 
-    return word(before, n - 1), word(before, n), word(after, F.lit(1))
+    def begins(there: Column, missing: Column) -> Column:
+        return F.when((first == 0) & missing, F.lit("^")).otherwise(there)
+
+    return begins(word(before, n - 1), n == 1), begins(word(before, n), n == 0), word(after, F.lit(1))
 
 
 # Tokens that could identify somebody: at least four digits or an at sign, between white space.
@@ -175,13 +181,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds: int =
             F.transform(F.coalesce(F.filter("tokens", clear), F.array()), lambda t: placed(none, t)),
         ).alias("spans")), "spans")
 
-    entities = (
-        marked.select("doc_id", "tie", F.explode("spans").alias("s")).select("doc_id", "tie", "s.*")
-        .select("doc_id", "tie", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))
-    )
+    entities = marked.select("doc_id", "tie", F.explode("spans").alias("s")).select("doc_id", "tie", "s.*")
     # Edges of the graph: which value stands in which pattern, once each.
-    edges = keep(entities.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-    trusted = keep(edges.where("kind is not null").select("value", "kind").distinct(), "trusted")
+    edges = keep(
+        entities.select("kind", "value", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
+    trusted = keep(entities.where("kind is not null").select("value", "kind").distinct(), "trusted")
     for _ in range(turns):
         known = edges.drop("kind").join(trusted.withColumnRenamed("kind", "of"), "value", "left")
         votes = known.groupBy("pattern").agg(
@@ -199,8 +204,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds: int =
         if found.isEmpty():
             break
         trusted = trusted.unionByName(found)
+    else:
+        raise RuntimeError(f"contexts still give new values after {turns} turns")
     # A trusted value counts where a sure pattern surrounds it, or anywhere it stands as a token.
-    extra = entities.where("kind is null").drop("kind", "pattern").distinct().join(trusted, "value")
+    extra = entities.where("kind is null").drop("kind", "patterns").distinct().join(trusted, "value")
     extra = extra.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct(
         F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "start", "end", "kind", "value"))).alias("more"))
     extra = extra.select(

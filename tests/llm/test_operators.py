@@ -262,6 +262,30 @@ def test_personal_data_learns_contexts(spark):
     assert all(got[i].spans.startswith("phone:") and "," not in got[i].spans for i in range(20))
 
 
+def test_personal_data_where_texts_begin(spark):
+    rows = [(i, f"{text(i, 6)} call me at +1 (274) 555-{9000 + i} today {text(i + 50, 4)}", "s") for i in range(20)]
+    rows += [(50 + i, f"+1 (275) 555-{9000 + i} rang {text(i + 90, 4)}", "s") for i in range(20)]
+    rows += [
+        (100, "please call me at 0274-555-1234 today or so", "s"), (101, "0274-555-1234", "s"),
+        (102, "0274-555-1234 again and again", "s"), (103, "0275-555-1234 rang at noon", "s"), (104, "20250101 items sold", "s")]
+    got = {r.doc_id: r for r in personal_data.digest(personal_data.find(documents(spark, rows))).collect()}
+    assert [got[i].spans for i in (100, 101, 102, 103, 104)] == ["phone:18:31", "phone:0:13", "phone:0:13", "phone:0:13", ""]
+
+
+def test_personal_data_learns_until_nothing_is_new(spark):
+    """Each context is sure only by the value that the one before it gave."""
+    seeds = [f"+1 (274) 555-{9000 + i}" for i in range(5)]
+    found = [f"0274-555-{1000 + k}" for k in range(6)]
+    contexts = [[*(seeds if k == 0 else [*seeds[:4], found[k - 1]]), found[k]] for k in range(6)]
+    rows = [
+        (10 * k + i, f"{'abcdef'[i] * 3} lead{'uvwxyz'[k]} word{'uvwxyz'[k]} {value} {'abcdef'[i] * 2}{'uvwxyz'[k]}", "s")
+        for k, values in enumerate(contexts) for i, value in enumerate(values)]
+    got = {r.doc_id: r.spans for r in personal_data.digest(personal_data.find(documents(spark, rows))).collect()}
+    assert all(got[i].startswith("phone:16:") for i, _, _ in rows), got
+    with pytest.raises(RuntimeError, match="after 3 turns"):
+        personal_data.find(documents(spark, rows), turns=3)
+
+
 @pytest.mark.parametrize("tile", [vector_dedup.TILE_ROWS, 100])
 def test_vector_dedup(spark, monkeypatch, tile):
     """One tile, and many with several blocks and groups each."""
