@@ -36,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.llm.shared import Bitmap, components, keep, small_batches
@@ -148,13 +148,20 @@ def _linked(x: np.ndarray, y: np.ndarray, frequent, similarity: Fraction, orders
 
 def _distinct_sets(keys: pa.Array, texts: pa.Array, width: int) -> dict[int, np.ndarray]:
     """Set of each distinct fingerprint in ``keys`` whose text really has it."""
-    first = {key: row for row, key in reversed(list(enumerate(keys.to_pylist())))}
-    taken = texts.take(pa.array(list(first.values()), pa.int64()))
-    found = {}
-    for start, part in slices(taken):
-        for at, tokens in enumerate(shingle_sets(split_words(part, lower=True), width), start):
-            found[at] = tokens
-    return {key: found[at] for at, key in enumerate(first) if _node(found[at]) == key}
+    rows: dict[int, list[int]] = {}
+    for row, key in enumerate(keys.to_pylist()):
+        rows.setdefault(key, []).append(row)
+    found, turn = {}, 0
+    while rows:  # once, unless a text stands for a set that is not its own
+        taken = texts.take(pa.array([of[turn] for of in rows.values()], pa.int64()))
+        sets = {}
+        for start, part in slices(taken):
+            for at, tokens in enumerate(shingle_sets(split_words(part, lower=True), width), start):
+                sets[at] = tokens
+        found |= {key: sets[at] for at, key in enumerate(rows) if _node(sets[at]) == key}
+        turn += 1
+        rows = {key: of for key, of in rows.items() if key not in found and turn < len(of)}
+    return found
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, width: int, similarity: Fraction, orders: int) -> DataFrame:
@@ -191,6 +198,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, width: int, similarity
     return found.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _row(key: str, text: str) -> Column:
+    """Name of a row, the same for rows of equal key and text only."""
+    return F.xxhash64(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
+
+
 def similarity_classes(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
     similarity: Fraction = SIMILARITY, orders: int = ORDERS,
@@ -199,10 +211,32 @@ def similarity_classes(
 
     ``component_id`` is the smallest key that chains of links reach.
     """
+    return _classes(docs, text, key, width, similarity, orders).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without copies: of each class the row with the least key
+    (of rows that share it, one), and every row without shingles."""
+    classes = _classes(docs, text, key, WIDTH, SIMILARITY, ORDERS).where("n_shingles > 0").select("doc_id", "row", "head")
+    classes = keep(
+        classes.groupBy("doc_id", "row").agg(F.max(F.col("row") != F.col("head.row")).alias("gone"), F.count(F.lit(1)).alias("copies"))
+        .where("gone or copies > 1").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "gone"), "copies")
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")) & (_row(key, text) == F.col("_row"))
+    single = docs.join(classes, same, "left_anti")
+    repeated = classes.where("not gone")
+    if repeated.isEmpty():
+        return single
+    first = docs.join(repeated, same).groupBy("_doc", "_row").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_first"))
+    return single.unionByName(first.select("_first.*"))
+
+
+def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fraction, orders: int) -> DataFrame:
+    """The rows of :func:`similarity_classes` with ``row``, the row's name, and ``head``,
+    the (none, doc_id, row) that stands for its class."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    texts = texts.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text")
+    texts = docs.select(
+        F.col(f"`{key}`").cast("long").alias("doc_id"), _row(key, text).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
 
     def describe(batches):
@@ -216,7 +250,7 @@ def similarity_classes(
                 ["doc_id", "row", "node", "n", "tokens"])
 
     described = keep(texts.mapInArrow(describe, "doc_id long, row long, node long, n long, tokens array<long>"), "sets")
-    documents = described.select("doc_id", "node", "n")
+    documents = described.select("doc_id", "row", "node", "n")
 
     # Candidates of the first order: tokens that two different sets have in their prefix.
     rows = described.select("node", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
@@ -312,10 +346,13 @@ def similarity_classes(
         documents.join(label, "node", "left")
         .withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     )
-    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = placed.where("n > 0").groupBy("component").agg(
+        F.min("doc_id").alias("component_id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
     return placed.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "row", "head",
     )
 
 

@@ -6,7 +6,7 @@ again in between. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier rejects go;
 2. line dedup: repeated lines go from the texts of all but the first document;
-3. n-gram join: of each group of near copies the document with the smallest id stays;
+3. n-gram join: of each group of near copies the document with the smallest id stays, once;
 4. source mix: documents appear as often as the mix of sources takes them;
 5. encoding: token counts and digests of every row that is left.
 
@@ -39,9 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.similarity_classes(docs)
-    copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

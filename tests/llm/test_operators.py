@@ -99,6 +99,29 @@ def test_ngram_join_with_a_large_group_of_near_copies(spark):
     assert Counter(map(tuple, ngram_join.similarity_classes(docs).collect())) == classes([(i, t) for i, t, _ in rows])
 
 
+def repeated_ids(spark):
+    """Rows that share a doc_id: different texts, each with a near copy elsewhere, and equal rows."""
+    near = [" ".join([*text(20 + i, 60).split()[:58], "other", "end"]) for i in range(4)]
+    rows = [(50, text(20 + i, 60), "s") for i in range(4)] + [(60 + i, near[i], "s") for i in range(4)]
+    rows += [(10, near[3], "s"), (70, text(30, 40), "a"), (70, text(30, 40), "a"), (None, text(30, 40), "s")]
+    rows += [(None, text(31, 40), "s"), (None, text(31, 40), "s"), (71, "", "s"), (71, "", "s")]
+    return documents(spark, rows), [(i, t) for i, t, _ in rows]
+
+
+def test_ngram_join_of_different_texts_under_one_id(spark):
+    docs, rows = repeated_ids(spark)
+    assert Counter(map(tuple, ngram_join.similarity_classes(docs).collect())) == classes(rows)
+
+
+def test_one_of_each_class(spark):
+    docs, _ = repeated_ids(spark)
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    near = " ".join([*text(23, 60).split()[:58], "other", "end"])
+    want = [(50, text(20 + i, 60)) for i in range(3)] + [(10, near), (70, text(30, 40)), (None, text(31, 40)), (71, ""), (71, "")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similarity_classes(awkward(spark).where("false")).count() == 0
     assert ngram_join.similarity_classes(awkward(spark).where("doc_id in (4, 5)")).count() == 2
