@@ -19,9 +19,12 @@ def panels_completed_once(answers: DataFrame) -> DataFrame:
     return done.dropDuplicates(["panel_id"])
 
 
-def daily_stage_durations(trace: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Stage timing per scan, stage and day; a day is final once the watermark passes it."""
-    timed = trace.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+def daily_stage_durations(trace: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+    """Stage timing per scan, stage and day; a day is final once the watermark passes it,
+    or never without ``delay`` (run in update mode)."""
+    timed = trace.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay is not None:
+        timed = timed.withWatermark("ts", delay)
     summed = stage_durations(timed, [F.window("ts", "1 day").alias("day"), "scan_id", "stage"])
     return summed.withColumn("day", F.col("day.start"))
 

@@ -47,6 +47,30 @@ def run_updating(stream: DataFrame, keys: list[str], timeout: int = 600) -> Data
     return updates.groupBy(*keys).agg(latest).select("_row.*")
 
 
+def run_complete(stream: DataFrame, timeout: int = 600) -> DataFrame:
+    """Drain an aggregate whose every batch gives the whole result; the last one counts.
+
+    For results that are still open when the stream ends, where update mode does
+    not serve (session windows). The state keeps every key.
+    """
+    spark = stream.sparkSession
+    target = fresh_dir(spark, "stream")
+    last = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/data/batch={number}")
+        last[:] = [number]
+
+    query = (
+        stream.writeStream.outputMode("complete").foreachBatch(store)
+        .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    )
+    finish(query, timeout)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{target}/data/batch={last[0]}")
+
+
 def finish(query, timeout: int) -> None:
     if not query.awaitTermination(timeout):
         query.stop()

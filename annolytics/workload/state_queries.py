@@ -423,6 +423,15 @@ def stream_stage_durations(t: Tables) -> DataFrame:
     return _timed(closed).withColumn("day_us", F.unix_micros("day")).drop("day")
 
 
+@query("stream_stage_durations_open", f"""
+select epoch_us(date_trunc('day', ts)) as day_us, scan_id, stage, {_STAGES_SQL} from trace group by all
+""")
+def stream_stage_durations_open(t: Tables) -> DataFrame:
+    """With the days that the watermark has not passed."""
+    days = runs.run_updating(pr.daily_stage_durations(_stream(t, "trace"), delay=None), ["day", "scan_id", "stage"])
+    return _timed(days).withColumn("day_us", F.unix_micros("day")).drop("day")
+
+
 _SESSIONS = """
 g as (select *, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from answers window w as (partition by learner_id order by ts, event_id)),
 s as (select *, sum(new) over (partition by learner_id order by ts, event_id) as s from g),
@@ -443,3 +452,11 @@ select learner_id, epoch_us(a) as started_us, epoch_us(b) as ended_us, answers,
 """)
 def stream_answer_sessions(t: Tables) -> DataFrame:
     return _timed(runs.run_appending(pr.answer_sessions(_stream(t, "answers"), delay="1 hour")))
+
+
+@query("stream_answer_sessions_open", f"""
+with {_SESSIONS} select learner_id, epoch_us(a) as started_us, epoch_us(b) as ended_us, answers, known from sessions
+""", local=("sessions",))
+def stream_answer_sessions_open(t: Tables) -> DataFrame:
+    """With the sessions that the watermark has not passed."""
+    return _timed(runs.run_complete(pr.answer_sessions(_stream(t, "answers"))))
