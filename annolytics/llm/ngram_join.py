@@ -24,7 +24,8 @@ several orders before its sets are compared.
 
 Null or empty texts, and texts of white space, have no shingles and link with
 nothing. Rows that repeat, or share a ``doc_id``, are rows like any other: one
-result row each. A null ``doc_id`` keeps its row; its component is the least
+result row each. The result is classes: links inside a component are not all
+established, so there is no number of links per document. A null ``doc_id`` keeps its row; its component is the least
 doc_id it reaches, or null. Other columns of the input are ignored, whatever
 they are called.
 """
