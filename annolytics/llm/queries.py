@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.llm import (
+    byte_bpe,
     html_main_text,
     line_dedup,
     mixing,
@@ -22,6 +23,8 @@ from annolytics.llm import (
 
 # A parameter of the encoding query: the SentencePiece model it encodes with.
 MODEL = "piece_bpe_32k.model"
+# Parameters of the byte-level query: the rank file and, from the same package, its pattern.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,10 +82,25 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
 
 
+def ranks_and_pattern() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = ranks_and_pattern()
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, folder, "documents"), *ranks), *ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = (
         op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op4_personal_data, op5_vector_dedup, op6_topk_search,
-        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity)
+        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity, op12_byte_bpe)
     return {build.__name__: build for build in built}
 
 
