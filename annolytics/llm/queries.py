@@ -13,13 +13,16 @@ from annolytics.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    oracles,
     personal_data,
+    prefix_trie,
     sentencepiece_spans,
     substring_dedup,
     topk_search,
     toxicity,
     vector_dedup,
 )
+from annolytics.llm.shared import keep
 
 # A parameter of the encoding query: the SentencePiece model it encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -97,14 +100,20 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = keep(prefix_trie.paths(_table(spark, folder, "conversations")), "paths")
+    donor = F.col("conv_id") - F.col("conv_id") % 5
+    return prefix_trie.build(prefix_trie.with_heads_of(own, donor, F.crc32(F.col("conv_id").cast("string")) % 9))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = (
         op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op4_personal_data, op5_vector_dedup, op6_topk_search,
-        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity, op12_byte_bpe)
+        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity, op11_prefix_trie, op12_byte_bpe)
     return {build.__name__: build for build in built}
 
 
 def llm_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op6_topk_search": topk_search.ORACLE,
-        "op7_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+        "op7_line_dedup": line_dedup.ORACLE, "op11_prefix_trie": oracles.PREFIX_TRIE, "op8_substring_dedup": substring_dedup.ORACLE}
