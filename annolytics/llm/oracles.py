@@ -42,3 +42,73 @@ select f.least as conv_id, f.d::bigint as depth, p.least as parent_conv_id, f.n:
 from full_ f join sums s on s.node = f.node and s.d = f.d left join ends e on e.node = f.node and e.d = f.d
 left join nodes p on p.node = f.above and p.d = f.d - 1
 """
+
+
+# A state's best way to the end is one text, its cost in nine digits and then its audit, so ``least`` decides.
+_STATES = range(1, 5)  # nothing yet, after system, after user, after assistant
+_GIVEN = {1: 3, 2: 3, 3: 4, 4: 3}
+
+
+def _step(value: str, cost: str, letter: str) -> str:
+    return f"lpad((substr({value}, 1, 9)::bigint + {cost})::varchar, 9, '0') || '{letter}' || substr({value}, 10)"
+
+
+def _inserts(values: str) -> str:
+    """The list of values with up to two inserts before each."""
+    once = "[" + ", ".join(f"least({values}[{s}], {_step(f'{values}[{_GIVEN[s]}]', '3', 'I')})" for s in _STATES) + "]"
+    twice = "[" + ", ".join(f"least(v[{s}], {_step(f'w[{_GIVEN[s]}]', '3', 'I')})" for s in _STATES) + "]"
+    return f"list_transform([{once}], lambda w: {twice.replace('v[', values + '[')})[1]"
+
+
+def _row_options(state: int) -> str:
+    kept = {1: (("s", 2), ("u", 3)), 2: (("u", 3),), 3: (("a", 4),), 4: (("u", 3),)}[state]
+    keeps = " ".join(f"when '{i}' then {_step(f'v[{to}]', 'late', 'K')}" for i, to in kept)
+    stays = f"case when stays then case initial {keeps} end end"
+    rerole = f"case when stays then {_step(f'v[{_GIVEN[state]}]', '3 + late', 'R')} end"
+    return f"least({_step(f'v[{state}]', '4', 'D')}, {stays}, {rerole})"
+
+
+_END = "['000000000', '900000000', '900000000', '000000000']"
+
+CONVERSATION_REPAIR = f"""
+with recursive {CRC_TABLE},
+source as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {crc32("coalesce(conv_id::text, ' ') || ':' || coalesce(turn::text, ' ')")} % 20 as kind from conversations, crc_table),
+damaged as (select conv_id, turn, case kind when 4 then 'user' else role end as role,
+  case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from source, range(2) as c(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+seen as (select *, row_number() over (partition by conv_id, role, text order by i) as nth,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as shown from placed),
+faulty as (select *, case when shown = '' then 'blank' when nth > 1 then 'duplicate'
+  when right(shown, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, left(role, 1) as initial from seen),
+rows_ as materialized (select *, fault not in ('blank', 'duplicate') as stays, case fault when 'truncated' then 3 else 0 end as late,
+  initial || lead(initial) over (partition by conv_id order by i) as pair from faulty),
+measures as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+  count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from rows_ group by conv_id),
+ways as (
+  select conv_id, n + 1 as i, list_transform([{_END}], lambda v: {_inserts("v")})[1] as v from measures
+  union all
+  select w.conv_id, w.i - 1, list_transform([[{", ".join(f"({_row_options(s)})" for s in _STATES)}]], lambda o: {_inserts("o")})[1]
+  from ways w join rows_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i - 1),
+best as materialized (select conv_id, substr(v[1], 1, 9)::bigint as cost, substr(v[1], 10) as audit from ways where i = 1),
+-- The edits in order: p letters done, i rows read, q the state, line what the last edit wrote.
+walk as (
+  select conv_id, audit, 0::bigint as p, 0::bigint as i, 1 as q, null::varchar as line from best
+  union all
+  select w.conv_id, w.audit, w.p + 1, w.i + (letter <> 'I')::int,
+    case letter when 'D' then w.q when 'K' then case r.initial when 's' then 2 when 'u' then 3 else 4 end else given end,
+    case letter when 'K' then r.role || ':' || r.text when 'R' then written || r.text when 'I' then written end
+  from (select *, substr(audit, p + 1, 1) as letter, case q when 3 then 4 else 3 end as given,
+          case q when 3 then 'assistant:' else 'user:' end as written from walk where p < length(audit)) w
+  left join rows_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1),
+texts as (select conv_id, string_agg(line, chr(10) order by p) as text from walk where line is not null group by conv_id)
+select o.conv_id, coalesce(m.gaps, 0)::bigint as gaps, coalesce(m.blank, 0)::bigint as blank, coalesce(m.duplicate, 0)::bigint as duplicate,
+  coalesce(m.truncated, 0)::bigint as truncated, coalesce(m.illegal, 0)::bigint as illegal, coalesce(b.cost, 0)::bigint as cost,
+  coalesce(b.audit, '') as audit, sha256(coalesce(t.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join measures m on m.conv_id is not distinct from o.conv_id left join best b on b.conv_id is not distinct from o.conv_id
+left join texts t on t.conv_id is not distinct from o.conv_id
+"""

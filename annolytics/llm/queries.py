@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolytics.llm import (
     byte_bpe,
+    conversation_repair,
     html_main_text,
     line_dedup,
     mixing,
@@ -22,6 +23,8 @@ from annolytics.llm import (
     toxicity,
     vector_dedup,
 )
+from annolytics.llm.digests import joined_sha256
+from annolytics.llm.prefix_trie import NO_ENDS as EMPTY_SHA256
 from annolytics.llm.shared import keep
 
 # A parameter of the encoding query: the SentencePiece model it encodes with.
@@ -106,14 +109,27 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.build(prefix_trie.with_heads_of(own, donor, F.crc32(F.col("conv_id").cast("string")) % 9))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.turns(_table(spark, folder, "conversations"))
+    report, lines = conversation_repair.repair(conversation_repair.damaged(rows))
+    lines = lines.select("key", "position", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = joined_sha256(lines, "key", ["position"], "line", "\n")
+    every = rows.select("key", "conv_id").distinct()
+    full = every.join(report.drop("conv_id"), "key", "left").join(digests, "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return full.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("sha256", F.lit(EMPTY_SHA256)).alias("repaired_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = (
         op1_ngram_jaccard_join, op2_main_text, op3_source_mix, op4_personal_data, op5_vector_dedup, op6_topk_search,
-        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity, op11_prefix_trie, op12_byte_bpe)
+        op7_line_dedup, op8_substring_dedup, op9_sentencepiece, op10_toxicity, op11_prefix_trie, op12_byte_bpe, op13_conversation_repair)
     return {build.__name__: build for build in built}
 
 
 def llm_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op6_topk_search": topk_search.ORACLE,
-        "op7_line_dedup": line_dedup.ORACLE, "op11_prefix_trie": oracles.PREFIX_TRIE, "op8_substring_dedup": substring_dedup.ORACLE}
+        "op7_line_dedup": line_dedup.ORACLE, "op11_prefix_trie": oracles.PREFIX_TRIE,
+        "op13_conversation_repair": oracles.CONVERSATION_REPAIR, "op8_substring_dedup": substring_dedup.ORACLE}
