@@ -41,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds. Possessive forms and the guards
 # before them find the same matches without going back over long runs.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -57,9 +57,17 @@ TURNS = 200
 # Code points around a match in which its neighbours are looked for.
 REACH = 80
 
+# Matches of one text that are placed together.
+BLOCK = 128
+
 _DIGITS = r"[^0-9]"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -67,15 +75,30 @@ def _spans(text: Column, pattern: str) -> Column:
     pairs = F.arrays_zip(
         F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g)).alias("gap"), found.alias("value"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda state, x: F.struct(
-            (state["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(state["spans"], F.array(F.struct(
-                (state["at"] + x["gap"]).alias("start"),
-                (state["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans")),
-        lambda state: state["spans"])
-    return F.when(F.size(found) > 0, step).otherwise(empty)
+
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(at.alias("at"), empty.alias("spans")),
+            lambda state, x: F.struct(
+                (state["at"] + x["gap"] + F.length(x["value"])).alias("at"),
+                F.concat(state["spans"], F.array(F.struct(
+                    (state["at"] + x["gap"]).alias("start"),
+                    (state["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans")),
+            lambda state: state["spans"])
+
+    # Appending copies what is there, so matches go in blocks: widths of whole blocks are summed
+    # first, and each block is placed from its own beginning.
+    def blocks(matches: Column) -> Column:
+        count = F.floor((F.size(matches) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda b: F.slice(matches, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        widths = F.transform(parts, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["value"])))
+        begins = F.aggregate(
+            widths, F.array(F.lit(0)), lambda sums, w: F.concat(sums, F.array(F.element_at(sums, F.lit(-1)) + w)))
+        return F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), placed))
+
+    return _once(pairs, lambda p: F.when(F.size(p) > 0, _once(blocks(p), joined)).otherwise(empty))
 
 
 def _ip_is_valid(value: Column) -> Column:
@@ -117,11 +140,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _neighbours(text: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``REACH`` code points: cutting at a place of a text counts from its beginning each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{REACH}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, first: Column, length: Column) -> Column:
+    """``length`` code points, ``REACH`` at most, from place ``first``."""
+    at = F.floor(first / REACH).cast("int")
+    two = F.concat(*(F.coalesce(F.get(pieces, at + k), F.lit("")) for k in range(2)))
+    return F.substr(two, first - at * REACH + 1, length)
+
+
+def _neighbours(pieces: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
     """(second word before, word before, word after) within reach, lower case, "" where there is none; "^" is the text's beginning."""
     first = F.greatest(start - REACH, F.lit(0))
-    before = F.filter(F.split(F.lower(F.substr(text, first + 1, start - first)), r"\s+"), lambda w: w != "")
-    after = F.filter(F.split(F.lower(F.substr(text, end + 1, F.lit(REACH))), r"\s+"), lambda w: w != "")
+    before = F.filter(F.split(F.lower(_cut(pieces, first, start - first)), r"\s+"), lambda w: w != "")
+    after = F.filter(F.split(F.lower(_cut(pieces, end, F.lit(REACH))), r"\s+"), lambda w: w != "")
     n = F.size(before)
 
     def word(words: Column, at: Column) -> Column:
@@ -158,14 +193,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds: int =
 
     # One pass over the texts: base entities, other candidates, and their neighbours.
     marked = rows.select(
-        "doc_id", F.xxhash64("text").alias("tie"), "text", base_spans(F.col("text")).alias("base"),
+        "doc_id", F.xxhash64("text").alias("tie"), _pieces(F.col("text")).alias("pieces"), base_spans(F.col("text")).alias("base"),
         F.when(F.rlike("text", F.lit("[0-9@]")), _candidates(F.col("text"))).alias("tokens"))
 
     def clear(token: Column) -> Column:
         return ~F.exists("base", lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
 
     def placed(kind: Column, s: Column) -> Column:
-        two, one, after = _neighbours(F.col("text"), s["start"], s["end"])
+        two, one, after = _neighbours(F.col("pieces"), s["start"], s["end"])
         return F.struct(
             kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
             F.filter(F.array(
