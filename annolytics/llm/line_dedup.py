@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import keep, small_batches
+from annolytics.llm.shared import keep, small_batches, spare_names
 from annolytics.llm.words import Words, slices, split_lines
 
 LEAST_CHARS = 10
@@ -98,7 +98,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def with_kept_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, ``text`` without the repeated lines; a null text stays null."""
     names, place = docs.columns, docs.columns.index("text")
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
+    doc, lost = spare_names(docs, "_doc", "_gone")
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(doc), F.col("gone").alias(lost))
 
     def cut(batches):
         for batch in batches:
@@ -108,7 +109,7 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
             columns = [kept if i == place else batch.column(i) for i in range(len(names))]
             yield pa.record_batch(columns, names)
 
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
     return rows.mapInArrow(cut, docs.schema)
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import WORD, keep
+from annolytics.llm.shared import WORD, keep, spare_names
 from annolytics.plans.skew import ordered_index
 
 WEIGHTS = (1, 2, 3)
@@ -131,10 +131,11 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. The document
     that meets its source's budget is kept whole; untaken ones go."""
+    doc, tie, own, times, nth = spare_names(docs, "_doc", "_tie", "_t", "_times", "_n")
     taken = mix(docs, quality).where("taken > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")
-    ).groupBy("_doc", "_tie").agg(F.max("_times").alias("_times"))
+        F.col("doc_id").alias(doc), F.col("tie").alias(tie), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times)
+    ).groupBy(doc, tie).agg(F.max(times).alias(times))
     names = docs.columns
-    rows = docs.withColumn("_t", F.xxhash64(F.col("text"))).join(
-        taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_tie")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{n}`" for n in names])
+    rows = docs.withColumn(own, F.xxhash64(F.col("text"))).join(
+        taken, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(tie)))
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[f"`{n}`" for n in names])

@@ -14,9 +14,9 @@ several orders before its sets are compared.
   sets are one node, so exact copies cost nothing. Its prefixes are longer by
   one token in 16, and a pair must share that many and one more, so pairs that
   meet in a stray passage end there.
-* Candidates are verified in two steps. Where a token joins many components, as
-  in a large group of near copies, its sets first meet a few hubs from the middle
-  of the group: that is linear and joins most of it into one component. Then
+* Candidates are verified in two steps. The sets of a token first meet a few hubs
+  of its own, from the middle of the group where there is one: that is linear at any
+  size and joins most of a large group of near copies into one component. Then
   pairs of *different* components that share enough tokens are taken, all of
   them, so no link between components is lost.
 * The other orders are tested on the sets of a candidate pair, then the sets
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolytics.llm.shared import Bitmap, components, keep, small_batches
+from annolytics.llm.shared import Bitmap, components, keep, small_batches, spare_names
 from annolytics.llm.words import mix, shingle_sets, slices, split_words
 
 WIDTH = 5
@@ -53,9 +53,7 @@ RECURS = 4
 FREQUENT = 1 << 17
 # One token in this many is added to the first order's prefixes; so many more must be shared.
 LONGER = 16
-# Pairs per node from which a token counts as crowded, hubs that its nodes meet in a
-# round, and rounds before the rest is taken pair by pair.
-CROWD = 8
+# Hubs that the nodes of a token meet in a round, and rounds before the rest is taken pair by pair.
 HUBS = 3
 ROUNDS = 1
 
@@ -218,17 +216,18 @@ def similarity_classes(
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without copies: of each class the row with the least key
     (of rows that share it, one), and every row without shingles."""
+    doc, name, least = spare_names(docs, "_doc", "_row", "_first")
     classes = _classes(docs, text, key, WIDTH, SIMILARITY, ORDERS).where("n_shingles > 0").select("doc_id", "row", "head")
     classes = keep(
         classes.groupBy("doc_id", "row").agg(F.max(F.col("row") != F.col("head.row")).alias("gone"), F.count(F.lit(1)).alias("copies"))
-        .where("gone or copies > 1").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "gone"), "copies")
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")) & (_row(key, text) == F.col("_row"))
-    single = docs.join(classes, same, "left_anti")
-    repeated = classes.where("not gone")
+        .where("gone or copies > 1").select(F.col("doc_id").alias(doc), F.col("row").alias(name), "gone"), "copies")
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (_row(key, text) == F.col(name))
+    single = docs.join(classes.select(doc, name), same, "left_anti")
+    repeated = classes.where("not gone").select(doc, name)
     if repeated.isEmpty():
         return single
-    first = docs.join(repeated, same).groupBy("_doc", "_row").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_first"))
-    return single.unionByName(first.select("_first.*"))
+    first = docs.join(repeated, same).groupBy(doc, name).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(least))
+    return single.unionByName(first.select(f"{least}.*"))
 
 
 def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fraction, orders: int) -> DataFrame:
@@ -305,15 +304,13 @@ def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fract
         each = each.select("token", "nodes", ((F.col("nodes") * F.col("nodes") - F.col("own")) / 2).alias("cross")).where("cross > 0")
         return keep(found.join(each, "token"), "split")
 
-    # Where a token joins many components, its nodes meet a few hubs first. Sets made of
-    # shared tokens alone stand in the middle of their group; most hubs are such.
+    # The nodes of a token meet a few hubs of it first. Sets made of shared tokens alone stand in the middle of their group; most hubs are such.
     links, label = None, None
     crossing = split(None)
     for turn in range(ROUNDS):
-        crowded = crossing.where(F.col("cross") > CROWD * F.col("nodes"))
-        if crowded.isEmpty():
+        if crossing.isEmpty():
             break
-        crowded = crowded.join(chosen.select("node", (F.size("tokens") / F.col("n")).alias("middle")), "node")
+        crowded = crossing.join(chosen.select("node", (F.size("tokens") / F.col("n")).alias("middle")), "node")
         chance = [F.pmod(F.xxhash64("node", F.lit(turn * HUBS + k)), F.lit(1000)) / 1000 for k in range(HUBS)]
         draw = [
             F.max(F.struct((F.col("middle") * (1 - 0.05 * k * u) if 2 * k < HUBS else u).alias("by"), "node", "n", "component"))

@@ -32,6 +32,17 @@ def own_rows(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(name) for name in names])
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened until ``df`` has no such column."""
+    taken, found = {name.lower() for name in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 class Bitmap:
     """Fixed-size membership filter over 64-bit keys. It may say yes wrongly,
     never no; with more keys than bits it lets everything pass. Its size does
