@@ -12,6 +12,7 @@ from annolytics.functions.hashing import lookup_key, md5_text
 from annolytics.operators import candidates as cd
 from annolytics.operators import lexicon as lo
 from annolytics.operators import ordering as od
+from annolytics.operators import tokens as tk
 from annolytics.sources import dimensions
 from annolytics.workload.registry import query
 from annolytics.workload.views import AS_KANA, AS_MIXED, LETTERS, TEXT_SCRIPT, Tables
@@ -336,15 +337,63 @@ def unicode_metadata(t: Tables) -> DataFrame:
 
 # -- tokens ---------------------------------------------------------------------
 
-@query("tokenize", f"""
+@query("script_tokens", f"""
 with w as (select conv_id, turn, regexp_extract_all({_MIXED_DOC}, '{_RUN}') as ts from conversations)
 select conv_id, turn, cast(i - 1 as int) as pos, ts[i] as surface from w, unnest(range(1, len(ts) + 1)) as u(i)
 """)
-def tokenize(t: Tables) -> DataFrame:
+def script_tokens(t: Tables) -> DataFrame:
     runs = tx.script_runs(F.expr(_MIXED_DOC))
     return t.conversations.select("conv_id", "turn", F.posexplode(runs).alias("pos", "surface"))
 
 
+# Clauses of the turns without spaces, and a dictionary of the words that recur: cheaper the more often.
+_CLAUSE = r"[.\n,]+"
+
+
+@query("tokenize", r"""
+with recursive clauses as (select conv_id, turn, i - 1 as clause, replace(lower(cs[i]), ' ', '') as line from (
+    select conv_id, turn, regexp_split_to_array(text, '[.\n,]+') as cs from conversations), unnest(range(1, len(cs) + 1)) as u(i)),
+distinct_lines as materialized (select distinct trim(line) as line, length(trim(line)) as n from clauses where trim(line) <> ''),
+lexicon_words as (select w as surface, 2000 - 100 * least(count(*), 10) as cost from (
+    select unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) as w from conversations) group by w having count(*) > 1 and length(w) <= 40),
+places as (select line, n, p from distinct_lines, unnest(range(0, n)) as u(p)),
+runs as (select line, n, p, p + length(regexp_extract(substr(line, cast(p + 1 as int)), '^(?:[㐀-鿿]+|[ぁ-ゟ]+|[゠-ヿ]+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}])')) as e from places),
+substrings as (select line, p, k, substr(line, cast(p + 1 as int), cast(k as int)) as surface from places, unnest(range(1, least(40, n - p) + 1)) as u(k)),
+hits as materialized (select line, p, p + k as e, cost, true as known from substrings join lexicon_words using (surface)),
+edges as (
+  select * from hits
+  union all select line, p, p + 1, 3500, false from runs
+  union all select line, p, e, 3000 + 500 * (e - p), false from runs where e > p + 1),
+ends as materialized (select line, e, list(struct_pack(p := p, cost := cost, known := known)) as arriving from edges group by line, e),
+-- The cheapest way to every place, then fewest tokens, then the earliest start of the last token.
+ways as (
+  select line, n, 0::bigint as e, [row(0::bigint, 0::bigint, -1::bigint, 1::bigint)] as best from distinct_lines
+  union all
+  select w.line, w.n, w.e + 1, list_append(w.best, list_min(list_transform(x.arriving, lambda a:
+    row((w.best[a.p + 1])[1] + a.cost, (w.best[a.p + 1])[2] + 1, a.p, case when a.known then 0::bigint else 1::bigint end))))
+  from ways w join ends x on x.line = w.line and x.e = w.e + 1),
+full_ as materialized (select line, n, best from ways where e = n),
+back as (
+  select line, best, n as e, (best[n + 1])[3] as p, (best[n + 1])[4] as unknown from full_
+  union all select line, best, p, (best[p + 1])[3], (best[p + 1])[4] from back where p > 0),
+cut as (
+  select line, p as start, e as "end", unknown = 0 as known from back where line in (select line from hits)
+  union all select line, 0, n, false from distinct_lines where line not in (select line from hits))
+select c.conv_id, c.turn, cast(c.clause as int) as clause, cast(row_number() over (partition by c.conv_id, c.turn, c.clause order by t.start) - 1 as int) as place,
+  substr(t.line, cast(t.start + 1 as int), cast(t."end" - t.start as int)) as surface, cast(t.start as int) as start, cast(t."end" as int) as "end", t.known
+from clauses c join cut t on t.line = trim(c.line)
+""")
+def tokenize(t: Tables) -> DataFrame:
+    clauses = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", _CLAUSE)).alias("clause", "line")).select(
+        "conv_id", "turn", "clause", F.regexp_replace(F.lower("line"), " ", "").alias("line"))
+    words = t.conversations.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), 0)).alias("surface"))
+    dictionary = words.groupBy("surface").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "surface", F.col("surface").alias("lemma"), F.lit("").alias("reading"), F.array().cast("array<string>").alias("pos"),
+        (2000 - 100 * F.least("n", F.lit(10))).alias("cost"))
+    return tk.token_rows(tk.tokenize(clauses, dictionary, "line"), ["conv_id", "turn", "clause"]).select(
+        "conv_id", "turn", "clause", "place", "surface", "start", "end", "known")
+
+
 @query("token_offsets", r"""
 with w as (select conv_id, turn, regexp_extract_all(text, '\s*\S+') as ps from conversations),
 p as (select conv_id, turn, i as pos, length(ps[i]) as n, length(regexp_replace(ps[i], '^\s*', '')) as len from w, unnest(range(1, len(ps) + 1)) as u(i)),
