@@ -311,14 +311,13 @@ def kana_to_romaji(t: Tables) -> DataFrame:
 
 @query("structured_readings", f"""
 with w as (select page_id, unnest(range(0, len(ps))) as i, unnest(ps) as part from
-  (select page_id, list_filter(regexp_extract_all(translate(regexp_extract(url, '//([^/]*)', 1), '{LETTERS}', '{AS_KANA}'), '[.-]|[^.-]+'), lambda x: x <> '') as ps from pages)),
+  (select page_id, list_filter(regexp_extract_all(translate(url, '{LETTERS}', '{AS_KANA}'), '[.-]|[^.-]+'), lambda x: x <> '') as ps from pages)),
 k as (select page_id * 1000 + i as id, part from w), {_romaji_sql("k", "id", "part")},
 z as (select w.page_id, w.i, w.part, case when w.part in ('.', '-') then w.part else s.romaji end as r from w join spelt s on s.id = w.page_id * 1000 + w.i)
 select page_id, string_agg(part, '' order by i) as kana, string_agg(r, '' order by i) as romaji from z group by page_id
 """)
 def structured_readings(t: Tables) -> DataFrame:
-    host = F.translate(F.regexp_extract("url", "//([^/]*)", 1), LETTERS, AS_KANA)
-    read = tx.structured_readings(F.array(host))
+    read = tx.structured_readings(F.array(F.translate("url", LETTERS, AS_KANA)))
     return t.pages.select("page_id", read[0]["kana"].alias("kana"), read[0]["romaji"].alias("romaji"))
 
 
@@ -638,15 +637,29 @@ glossed as (select conv_id, turn, pos, surface, tag, not regexp_matches(surface,
   from att left join lexi ls on ls.word = surface left join func fs on fs.word = surface
   left join lexi ll on ll.word = lemma left join func fl on fl.word = lemma),
 """
-_DIMS = """
-lexi as (select substr(lower(n_name), 1, 3) as word, min(n_name) as n_name from nation group by 1),
-func as (select substr(lower(p_type), 1, 2) as word, min(p_type) as p_type from part group by 1),
+# Dimensions of whole words: longer words carry the name of a nation, short ones the type of a part,
+# one for each word and picked by its letters, so that every name is some word's.
+_PICK = "(ascii(word) * 7 + length(word) * 3 + ascii(right(word, 1)))"
+_FUNC = f"""
+func as (select word, p_type from (select distinct surface as word from tokens where length(surface) between 1 and 3) w
+  join part on p_partkey = 1 + {_PICK} % 200),
 """
+_DIMS = f"""
+lexi as (select word, n_name from (select distinct lemma as word from tokens where length(lemma) >= 4) w join nation on n_nationkey = {_PICK} % 25),
+{_FUNC}
+"""
+
+
+def _short_words(t: Tables) -> DataFrame:
+    words = t.tokens.where(F.length("surface").between(1, 3)).select(F.col("surface").alias("word")).distinct()
+    return words.withColumn("p_partkey", F.expr(f"1 + {_PICK} % 200")).join(t.part, "p_partkey").select("word", "p_type")
 
 
 def _glossed(t: Tables) -> DataFrame:
-    lexical = t.nation.groupBy(F.substring(F.lower("n_name"), 1, 3).alias("word")).agg(F.min("n_name").alias("gloss"))
-    functional = t.part.groupBy(F.substring(F.lower("p_type"), 1, 2).alias("word")).agg(F.min("p_type").alias("gloss"))
+    words = t.tokens.where(F.length("lemma") >= 4).select(F.col("lemma").alias("word")).distinct()
+    lexical = words.withColumn("n_nationkey", F.expr(f"{_PICK} % 25")).join(t.nation, "n_nationkey").select(
+        "word", F.col("n_name").alias("gloss"))
+    functional = _short_words(t).withColumnRenamed("p_type", "gloss")
     return lo.with_glosses(_looked_up(t), lexical, functional, t.characters)
 
 
@@ -667,8 +680,8 @@ def region_glossary(t: Tables) -> DataFrame:
     return lo.region_glossary(_glossed(t), ["conv_id", "turn"])
 
 
-@query("grammar_lookup", """
-with g as (select distinct on (word) substr(lower(p_type), 1, 2) as word, p_type as label from (select * from part order by p_type))
+@query("grammar_lookup", f"""
+with {_FUNC} g as (select word, p_type as label from func)
 select conv_id, turn, pos, coalesce(a.label, b.label) as label from tokens t left join g a on a.word = t.surface left join g b on b.word = t.lemma
 """)
 def grammar_lookup(t: Tables) -> DataFrame:
@@ -676,12 +689,12 @@ def grammar_lookup(t: Tables) -> DataFrame:
 
 
 def _grammar(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.substring(F.lower("p_type"), 1, 2).alias("word")).agg(F.min("p_type").alias("label")).select(
-        "word", "label", F.array(F.concat(F.lit("note "), "word")).alias("notes"), F.array(F.lit("grammar")).alias("tags"))
+    return _short_words(t).select(
+        "word", F.col("p_type").alias("label"), F.array(F.concat(F.lit("note "), "word")).alias("notes"), F.array(F.lit("grammar")).alias("tags"))
 
 
 @query("local_reference_entries", f"""
-with g as (select substr(lower(p_type), 1, 2) as word, min(p_type) as label from part group by 1),
+with {_FUNC} g as (select word, p_type as label from func),
 k as (select conv_id, turn, pos, surface, lemma, tag, translate(surface, '{LETTERS}', '{AS_KANA}') as kana from tokens),
 i as (select conv_id * 10000000 + turn * 100000 + pos as id, * from k),
 {_romaji_sql("i", "id", "kana")}
