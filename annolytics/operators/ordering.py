@@ -17,6 +17,10 @@ from annolytics.plans.skew import FOLD_ROWS, WINDOW_ROWS, ordered_index, running
 from annolytics.plans.storage import settle
 
 
+# Room for rounding where reaches decide what may be folded apart.
+SLACK = 1e-6
+
+
 def reading_bands(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Boxes with ``band`` and ``reading_order``: rough rows from top to bottom,
     right to left inside a row.
@@ -43,6 +47,8 @@ def reading_bands(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
             (band["total"] + node["center"] * node["n"]).alias("total"), (band["n"] + node["n"]).alias("n")),
         opened=lambda node: F.struct((node["center"] * node["n"]).alias("total"), node["n"].alias("n")),
         limit=fold_rows,
+        # A band's mean lies among its centres, so centres further apart than the tolerance never meet.
+        interval=(F.col("center"), F.col("center") + F.col("row_tolerance") + SLACK),
     ).select("panel_id", *place, F.col("group").alias("band"))
     placed = tied.join(bands, ["panel_id", *place]).drop("_tie")
     inside = [F.col("band"), -(F.col("x") + F.col("width") / 2), F.col("y"), -F.col("x"), F.col("ord")]
@@ -169,9 +175,13 @@ def cluster_lines(
             F.lit(1).cast("bigint").alias("n"), n["font_size"].cast("double").alias("font"),
             n["vec_x"].cast("double").alias("vx"), n["vec_y"].cast("double").alias("vy"), *last_of(n))
 
+    # A cluster reaches from its last line as far as that overlaps, or 2.5 mean font sizes from its first point.
+    largest = lines.groupBy("panel_id").agg((F.max("font_size") * 2.5 + SLACK).alias("_far"))
+    ranged = lines.join(largest, "panel_id")
     grouped = first_fit(
-        lines, ["panel_id"], [F.col("distance"), F.col("ord")], fields, shape, accepts, absorb, opened,
-        limit=fold_rows)
+        ranged, ["panel_id"], [F.col("distance"), F.col("ord")], fields, shape, accepts, absorb, opened,
+        limit=fold_rows, interval=(
+            F.least("y1", "first_y").cast("double"), F.greatest("y2", "first_y").cast("double") + F.col("_far")))
     return lines.join(grouped.select("panel_id", "ord", F.col("group").alias("cluster")), ["panel_id", "ord"])
 
 

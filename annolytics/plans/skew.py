@@ -149,6 +149,30 @@ def running_total(
     return result.unionByName(spread)
 
 
+def reach_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str,
+    limit: int | None = WINDOW_ROWS,
+) -> DataFrame:
+    """Largest ``value`` of the rows before this one, null on a key's first row."""
+    order = by(order)
+    df = df.withColumn("_value", value)
+    ordinary, heavy = split_groups(df, keys, limit)
+    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    result = ordinary.withColumn(name, F.max("_value").over(earlier)).drop("_value")
+    if heavy is None:
+        return result
+    rows = _chunked(heavy, keys, order)
+    totals = rows.groupBy(*keys, _CHUNK).agg(F.max("_value").alias("_total"))
+    chunks = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = small_side(totals.select(*keys, _CHUNK, F.max("_total").over(chunks).alias("_before")))
+    local = F.max("_value").over(_chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    spread = (
+        join_groups(rows.withColumn("_local", local), carried, [*keys, _CHUNK])
+        .withColumn(name, F.greatest("_local", "_before")).drop("_local", "_before", "_value", _CHUNK)
+    )
+    return result.unionByName(spread)
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: Sequence[str],
     name: str, limit: int | None = WINDOW_ROWS,

@@ -75,3 +75,22 @@ def test_a_chain_of_boxes_is_decided_in_a_pass(spark, monkeypatch):
     fates = spatial.suppress_overlaps(chain(spark, n), 0.3).agg(
         F.count_if(F.col("suppressed_by").isNull() & (F.col("ord") % 2 == 0)), F.count_if(F.col("suppressed_by") == F.col("ord") - 1)).first()
     assert tuple(fates) == (n // 2, n // 2)
+
+
+def test_a_crowded_panel_of_lines_folds_in_stretches(spark, monkeypatch):
+    """100,000 lines of one panel in 20,000 rows: no fold takes the panel's rows one chunk after the other."""
+    from annolytics.operators import ordering
+    from annolytics.plans import folds
+
+    limits = []
+    inner = folds.split_groups
+    monkeypatch.setattr(folds, "split_groups", lambda df, keys, limit: limits.append((tuple(keys), found := inner(df, keys, limit))) or found)
+    boxes = spark.range(100_000).select(
+        F.lit("p").alias("panel_id"), F.col("id").alias("ord"), (F.col("id") % 5 * 100).cast("int").alias("x"),
+        (F.floor(F.col("id") / 5) * 200).cast("int").alias("y"), F.lit(80).alias("width"), (F.lit(40) + F.col("id") % 3).cast("int").alias("height"))
+    out = ordering.reading_bands(boxes)
+    wrong = out.where(
+        (F.col("band") != F.floor(F.col("ord") / 5) + 1) | (F.col("reading_order") != F.floor(F.col("ord") / 5) * 5 + 5 - F.col("ord") % 5))
+    assert out.count() == 100_000 and wrong.isEmpty()
+    stretches = [heavy for keys, (_, heavy) in limits if "_stretch" in keys]
+    assert stretches == [None]
