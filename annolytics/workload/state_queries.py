@@ -413,20 +413,20 @@ def job_ttl_prune(t: Tables) -> DataFrame:
     return jb.prune_finished(t.jobs, F.lit(NOW).cast("timestamp")).select("job_id", "request_key", "status")
 
 
-@query("stream_stage_durations", f"""
+@query("stream_stage_durations_closed", f"""
 with last as (select max(ts) - interval 1 hour as mark from trace),
 d as (select epoch_us(date_trunc('day', ts)) as day_us, scan_id, stage, {_STAGES_SQL} from trace group by all)
 select d.* from d, last where make_timestamp(day_us) + interval 1 day <= mark
 """)
-def stream_stage_durations(t: Tables) -> DataFrame:
+def stream_stage_durations_closed(t: Tables) -> DataFrame:
     closed = runs.run_appending(pr.daily_stage_durations(_stream(t, "trace")))
     return _timed(closed).withColumn("day_us", F.unix_micros("day")).drop("day")
 
 
-@query("stream_stage_durations_open", f"""
+@query("stream_stage_durations", f"""
 select epoch_us(date_trunc('day', ts)) as day_us, scan_id, stage, {_STAGES_SQL} from trace group by all
 """)
-def stream_stage_durations_open(t: Tables) -> DataFrame:
+def stream_stage_durations(t: Tables) -> DataFrame:
     """With the days that the watermark has not passed."""
     days = runs.run_updating(pr.daily_stage_durations(_stream(t, "trace"), delay=None), ["day", "scan_id", "stage"])
     return _timed(days).withColumn("day_us", F.unix_micros("day")).drop("day")
@@ -446,17 +446,17 @@ def answer_sessions(t: Tables) -> DataFrame:
     return _timed(pr.answer_sessions(t.answers))
 
 
-@query("stream_answer_sessions", f"""
+@query("stream_answer_sessions_closed", f"""
 with {_SESSIONS}, last as (select max(ts) - interval 1 hour as mark from events)
 select learner_id, epoch_us(a) as started_us, epoch_us(b) as ended_us, answers, known from sessions, last where b <= mark
 """)
-def stream_answer_sessions(t: Tables) -> DataFrame:
+def stream_answer_sessions_closed(t: Tables) -> DataFrame:
     return _timed(runs.run_appending(pr.answer_sessions(_stream(t, "answers"), delay="1 hour")))
 
 
-@query("stream_answer_sessions_open", f"""
+@query("stream_answer_sessions", f"""
 with {_SESSIONS} select learner_id, epoch_us(a) as started_us, epoch_us(b) as ended_us, answers, known from sessions
 """, local=("sessions",))
-def stream_answer_sessions_open(t: Tables) -> DataFrame:
+def stream_answer_sessions(t: Tables) -> DataFrame:
     """With the sessions that the watermark has not passed."""
     return _timed(runs.run_complete(pr.answer_sessions(_stream(t, "answers"))))
