@@ -172,6 +172,54 @@ def test_main_text_with_one_huge_block():
     assert html_main_text.main_text(f"<div>{p[0]}<figure><img><figcaption>Caption</figcaption></figure>{p[1]}</div>").split("\n")[1] == "Caption"
 
 
+def test_main_text_keeps_blocks_whose_names_only_resemble_asides():
+    story = "<p>" + "text of the article. " * 20 + "</p>"
+    for block in (
+        '<h2 class="section-header">Kept</h2>', '<div class="entry-header"><h1>Kept</h1></div>', '<section class="related-work"><p>Kept</p></section>',
+        '<p class="social-history">Kept</p>', '<table class="share-prices"><tr><td>Kept</table>', '<div class="tags">Kept</div>', '<p class="notice">Kept</p>',
+        '<header><h1>Kept</h1></header>', '<h2 id=comments>Kept</h2>', '<div class="navigation-history"><p>Kept</p></div>',
+    ):
+        for page in (f"<article>{block}{story}</article>", f"<article>{story}{block}{story}</article>"):
+            assert "Kept" in html_main_text.main_text(page).split("\n"), block
+    for block in (
+        '<div class="cookie-notice">Gone</div>', '<div class="x ad-slot">Gone</div>', '<section id="comments"><p>Gone</p></section>', "<footer>Gone</footer>",
+        '<div class="shareButtons">Gone</div>', '<ul class="comment-list"><li>Gone</ul>', "<div class=post_footer>Gone</div>", "<form class=x>Gone</form>",
+    ):
+        assert "Gone" not in html_main_text.main_text(f"<article>{story}{block}{story}</article>"), block
+
+
+def test_main_text_of_broken_markup_is_linear():
+    page = "<div>" * 60_000 + "x</p>" * 60_000
+    assert html_main_text.main_text(page).split("\n") == ["x"] * 60_000
+    assert html_main_text.main_text("<p>a\x1cb \u2003\xa0c</p>") == "a\x1cb c"
+
+
+def test_main_text_without_article_tags_is_the_same():
+    paragraphs = ["Title", "Title", *[f"{'text ' * (10 + 17 * i % 90)}{i}" for i in range(12)], "end"]
+    inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for mark in ("article", "div", "section", "main"):
+        page = f"<nav>menu</nav><div class=ad>{'buy ' * 50}</div><{mark}>{inner}</{mark}><footer>us</footer>"
+        assert html_main_text.main_text(page).split("\n") == paragraphs, mark
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_surges_and_dives_against_plain_sums(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 300, rng.integers(1, 60)) * (rng.random() < rng.random(1))
+    sizes = np.where(rng.random(len(sizes)) < 0.5, 0, sizes).astype(np.int64)
+    n, w = len(sizes), html_main_text.WINDOW
+    sums = [sum(int(sizes[j]) for j in range(i - w + 1, i + 1) if 0 <= j < n) for i in range(n + w - 1)]
+    want, start = [], None
+    for i in range(n + w):
+        high = i < len(sums) and sums[i] > 0 and sums[i] >= 0.05 * max(sums)
+        if high and start is None:
+            start = i
+        elif not high and start is not None:
+            want.append((min(start, n - 1), min(i - 1, n - 1)))
+            start = None
+    assert html_main_text._bodies(sizes, w, 0.05) == want if sizes.sum() else not want
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 2), (2, None, None, 3)], "page_id long, url string, html string, text long")
     got = {r.page_id: r for r in html_main_text.extract(pages).collect()}
