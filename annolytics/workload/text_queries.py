@@ -788,18 +788,20 @@ def field_provenance(t: Tables) -> DataFrame:
 
 # -- markup ---------------------------------------------------------------------
 
+# DuckDB marks where blocks begin and end and cuts at the marks; Spark folds over the tags.
 @query("html_section_text", r"""
 with c as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', '', 'gis'),
   '<style\b[^>]*>.*?</style\s*>', '', 'gis'), '<table\b[^>]*>.*?</table\s*>', '', 'gis'), '<figure\b[^>]*>.*?</figure\s*>', '', 'gis'), '<!--.*?-->', '', 'gs') as h from pages),
-b as (select page_id, list_filter(list_transform(regexp_extract_all(h, '<(?:p|li)\b[^>]*>(.*?)</(?:p|li)\s*>', 1, 'is'), lambda x:
-  regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-  '[\s\p{Z}]+', ' ', 'g')), '\[[0-9]+\]', '', 'g')), lambda x: x <> '') as bs from c)
-select page_id, len(bs) as blocks, md5(array_to_string(bs, chr(10))) as whole, substr(array_to_string(bs[1:5], chr(10) || chr(10)), 1, 3000) as text from b
+m as (select page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(?:p|li)(?:\s[^>]*)?(?:>|$)', chr(2) || chr(1), 'gi'),
+  '</?(?:p|li|ul|ol|div|h[1-6]|article|section|header|footer|nav|main|aside|body|html)(?:\s[^>]*)?(?:>|$)', chr(2), 'gi'), '<[a-zA-Z/!][^>]*(?:>|$)', '', 'g') as h from c),
+b as (select page_id, list_filter(list_transform(string_split(h, chr(1))[2:], lambda x:
+  regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(split_part(x, chr(2), 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+  '[\s\p{Z}]+', ' ', 'g')), '\[[0-9]+\]', '', 'g')), lambda x: x <> '') as bs from m)
+select page_id, len(bs) as blocks, array_to_string(bs, chr(10) || chr(10)) as text from b
 """)
 def html_section_text(t: Tables) -> DataFrame:
     read = t.pages.withColumn("b", mk.reading_blocks(F.col("html")))
-    return read.select("page_id", F.size("b").alias("blocks"), md5_text(F.array_join("b", "\n")).alias("whole"),
-                       mk.section_text(F.col("html"), blocks=5, length=3000).alias("text"))
+    return read.select("page_id", F.size("b").alias("blocks"), F.array_join("b", "\n\n").alias("text"))
 
 
 _SVG = ("concat('<svg xmlns=\"http://www.w3.org/2000/svg\" xmlns:kvg=\"http://example.org/kvg\"><g kvg:element=\"', source, '\"><g kvg:element=\"', language, "

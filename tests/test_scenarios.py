@@ -142,6 +142,23 @@ def test_page_text(spark):
     assert one(spark, mk.reading_blocks(F.lit(html))) == ["One&two  x", "three"]
 
 
+@pytest.mark.parametrize(("page", "blocks"), [
+    ("<p>a<p>b &eacute;&#x41;&nbsp;&copyc", ["a", "b éA ©c"]),
+    ("<ul><li>one<li>two<ul><li>in</ul>x</ul>out<p>c</div>no", ["one", "twoinx", "c"]),
+    ("<li><p>a</p><p>b</p></li><li>c", ["ab", "c"]),
+    ("<p>a<table><tr><td><p>t</table>b[12]</p><p>c<figure>d", ["ab", "c"]),
+    ("<script>'<p>x</p>'</script><P title='>'>y<style>p", ["y"]),
+    ("<p>x<!-- <p>z", ["x"]), ("<pre>x</pre><param>y", []), ("<p>1 < 2</p><p", ["1 < 2"]), ("", []), (None, None),
+])
+def test_page_text_of_open_and_nested_blocks(spark, page, blocks):
+    assert one(spark, mk.reading_blocks(F.lit(page))) == blocks
+
+
+def test_page_text_of_deep_markup(spark):
+    page = "<ul><li>" * 50_000 + "</ol>" * 50_000 + "<p><i" * 50_000
+    assert len(one(spark, mk.reading_blocks(F.lit(page)))) <= 1
+
+
 def test_section_choice(spark):
     def section(level, line, index):
         return F.struct(F.lit(level).alias("level"), F.lit(line).alias("line"), F.lit(index).alias("index"))
