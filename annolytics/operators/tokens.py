@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,3 +259,58 @@ def with_readings(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def token_rows(df: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """One row per token: keys, place, and the token's fields."""
     return df.select(*keys, F.posexplode(tokens).alias("pos_", "t")).select(*keys, F.col("pos_").alias("place"), "t.*")
+
+
+def _located(batches):
+    """Offsets of a stream of rows by text: the text first, then its tokens in order."""
+    group, text, at, missing = None, "", 0, set()
+    for batch in batches:
+        starts, ends, hits = [], [], []
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_group", "_kind", "_text", "_surface"))
+        for owner, kind, whole, surface in zip(*columns, strict=True):
+            if owner != group:
+                group, text, at, missing = owner, whole or "", 0, set()
+            if not kind:
+                continue
+            place = -1 if surface in missing else text.find(surface, at)
+            if place < 0:
+                missing.add(surface)  # not behind here, so not behind any later end either
+            starts.append(max(place, at))
+            hits.append(place >= 0)
+            at = starts[-1] + len(surface)
+            ends.append(at)
+        tokens = batch.filter(pc.equal(batch.column(batch.schema.get_field_index("_kind")), 1))
+        kept = [n for n in tokens.schema.names if n not in ("_group", "_kind", "_text", "_surface")]
+        yield pa.RecordBatch.from_arrays(
+            [*(tokens.column(tokens.schema.get_field_index(n)) for n in kept), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()),
+             pa.array(hits, pa.bool_())], [*kept, "start", "end", "found"])
+
+
+def locate(
+    tokens: DataFrame, texts: DataFrame, keys: Sequence[str], position: str = "pos", surface: str = "surface", text: str = "text",
+) -> DataFrame:
+    """``tokens`` with ``start``, ``end`` and ``found``: each is searched in its text from the end of the token before.
+
+    A token that does not occur there stands at that end (``found`` false), and
+    the search goes on behind it. Offsets count code points of the trimmed text.
+
+    Texts and tokens meet in one shuffle by ``keys`` and pass as a sorted stream,
+    so a task holds one text and one batch of tokens, however many tokens a text
+    has. Null keys are a key; of several texts of a key the least counts; tokens
+    of one position go by surface; without a text, or with a null one, nothing
+    is found; a null or empty surface stands at the end before, found if that is
+    inside the text. Columns start, end and found of the input are replaced.
+    """
+    tokens = tokens.drop("start", "end", "found")
+    group = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"})
+    trimmed = F.regexp_replace(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    rows = tokens.withColumns({
+        "_group": group, "_kind": F.lit(1), "_text": F.lit(None).cast("string"),
+        "_surface": F.coalesce(F.col(f"`{surface}`").cast("string"), F.lit(""))})
+    wholes = texts.select(
+        group.alias("_group"), F.lit(0).alias("_kind"), trimmed.alias("_text"), F.lit("").alias("_surface"))
+    stream = rows.unionByName(wholes, allowMissingColumns=True).repartition("_group").sortWithinPartitions(
+        "_group", "_kind", "_text", F.col(f"`{position}`"), "_surface")
+    fields = [T.StructField(f.name, f.dataType) for f in tokens.schema]
+    shape = T.StructType([*fields, T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("found", T.BooleanType())])
+    return stream.mapInArrow(_located, shape)

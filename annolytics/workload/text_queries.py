@@ -393,13 +393,13 @@ def tokenize(t: Tables) -> DataFrame:
         "conv_id", "turn", "clause", "place", "surface", "start", "end", "known")
 
 
-@query("token_offsets", r"""
+@query("piece_offsets", r"""
 with w as (select conv_id, turn, regexp_extract_all(text, '\s*\S+') as ps from conversations),
 p as (select conv_id, turn, i as pos, length(ps[i]) as n, length(regexp_replace(ps[i], '^\s*', '')) as len from w, unnest(range(1, len(ps) + 1)) as u(i)),
 e as (select *, sum(n) over (partition by conv_id, turn order by pos) as e from p)
 select conv_id, turn, cast(pos as int) as pos, cast(e - len as bigint) as start, cast(e as bigint) as "end" from e
 """)
-def token_offsets(t: Tables) -> DataFrame:
+def piece_offsets(t: Tables) -> DataFrame:
     pieces = t.conversations.select("conv_id", "turn", F.posexplode(
         F.regexp_extract_all("text", F.lit(r"\s*\S+"), 0)).alias("pos", "piece"))
     surface = F.regexp_replace("piece", r"^\s*", "")
@@ -408,6 +408,28 @@ def token_offsets(t: Tables) -> DataFrame:
     return od.with_offsets(gaps, ["conv_id", "turn"]).select("conv_id", "turn", "pos", "start", "end")
 
 
+# Words of the turns as an analyser may give them: without signs, some in lower case, some in a form the text does not hold.
+_SURFACE = "case when pos % 7 = 6 then concat('~', word) when pos % 5 = 3 then lower(word) else word end"
+
+
+@query("token_offsets", rf"""
+with recursive texts as (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') as ws from conversations),
+forms as (select conv_id, turn, text, cast(i - 1 as int) as pos, ws[i] as word from texts, unnest(range(1, len(ws) + 1)) as u(i)),
+tokens_of as materialized (select conv_id, turn, text, pos, {_SURFACE} as surface from forms),
+walk as (
+  select conv_id, turn, -1 as pos, '' as surface, cast(0 as bigint) as start, cast(0 as bigint) as e, true as found from texts
+  union all select conv_id, turn, pos, surface, case when hit > 0 then e + hit - 1 else e end, case when hit > 0 then e + hit - 1 else e end + length(surface), hit > 0 from (
+    select t.conv_id, t.turn, t.pos, t.surface, w.e, strpos(substr(t.text, w.e + 1), t.surface) as hit
+    from walk w join tokens_of t on t.conv_id = w.conv_id and t.turn = w.turn and t.pos = w.pos + 1))
+select conv_id, turn, pos, surface, start, e as "end", found from walk where pos >= 0
+""")
+def token_offsets(t: Tables) -> DataFrame:
+    words = t.conversations.select("conv_id", "turn", F.posexplode(
+        F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("pos", "word"))
+    tokens = words.select("conv_id", "turn", "pos", F.expr(_SURFACE).alias("surface"))
+    return tk.locate(tokens, t.conversations, ["conv_id", "turn"])
+
+
 _KIND_SQL = "case tag when '補助記号' then 'token' when '助詞' then 'particle' when '助動詞' then 'aux' else 'word' end"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from annolytics.operators import tokens as tk
@@ -80,3 +81,36 @@ def test_a_trie_of_many_words():
             if i - at + n <= len(t) and t[i - at:i - at + n] in words]
     assert sorted(zip(start.tolist(), length.tolist(), strict=True)) == sorted(want)
     assert all(len(trie.words[w]) == n for w, n in zip(word.tolist(), length.tolist(), strict=True))
+
+
+def test_located_tokens_against_a_plain_search(spark):
+    rng = np.random.default_rng(3)
+    texts = [("a", "  one two, one 𠮷two three  "), ("b", None), ("d", ""), ("d", "zz top"), (None, "key less key")]
+    texts += [(f"t{i}", " ".join(rng.choice(["ab", "abc", "b", "é𠮷", "x"], 40))) for i in range(20)]
+    tokens = [("a", i, s) for i, s in enumerate(["one", "one", "none", "two", "two", "", None, "three", "one", "three"])]
+    tokens += [("b", 0, "x"), ("c", 0, "x"), ("c", 1, "yy"), ("d", 0, "top"), (None, 0, "key"), (None, 1, "key"), (None, None, "less")]
+    tokens += [(f"t{i}", p, str(s)) for i in range(20) for p, s in enumerate(rng.choice(["ab", "abc", "b", "é𠮷", "x", "nope"], 60))]
+    want = {}
+    by_key = {}
+    for key, text in texts:
+        by_key[key] = min(by_key.get(key, (text or "").strip()), (text or "").strip())
+    for key in {k for k, _, _ in tokens}:
+        at, text = 0, by_key.get(key, "")
+        for _, pos, surface in sorted((t for t in tokens if t[0] == key), key=lambda t: (t[1] is not None, t[1] or 0)):
+            place = text.find(surface or "", at)
+            start = at if place < 0 else place
+            at = start + len(surface or "")
+            want[key, pos] = (start, at, place >= 0)
+    frame = spark.createDataFrame([(*t, "extra", 7) for t in tokens], "key string, pos int, surface string, text string, end int")
+    got = tk.locate(frame, spark.createDataFrame(texts, "key string, text string"), ["key"])
+    assert got.columns == ["key", "pos", "surface", "text", "start", "end", "found"]
+    assert {(r.key, r.pos): (r.start, r.end, r.found) for r in got.collect()} == want
+    assert tk.locate(frame.where("false"), spark.createDataFrame(texts, "key string, text string"), ["key"]).count() == 0
+
+
+def test_located_tokens_of_one_long_text(spark):
+    words = [f"w{i}" for i in range(100_000)]
+    text = spark.createDataFrame([(1, " ".join(words))], "key int, text string")
+    tokens = spark.range(100_000).selectExpr("1 as key", "id as pos", "case when id % 3 = 2 then concat('no', id % 2) else concat('w', id) end as surface")
+    row = tk.locate(tokens, text, ["key"]).selectExpr("count(*)", "sum(cast(found as int))", "max(end)").head()
+    assert row[0] == 100_000 and row[1] == 66_667 and row[2] == len(" ".join(words))
