@@ -110,6 +110,43 @@ def merge_enrichment(annotations: DataFrame, stage: DataFrame, columns: Sequence
     return joined.withColumns(merged).drop(*(f"_new_{c}" for c in columns))
 
 
+def stage_status(base: DataFrame, stage: DataFrame, name: str = "enrichment") -> DataFrame:
+    """One row per panel of ``base``: how its job ended once a later stage was merged in.
+
+    ``base`` has panel_id, success and error of the reading itself, ``stage``
+    panel_id, ord, success, source, lookup_hits, lookup_misses and error of its
+    attempts, of which the last by ``ord`` counts. The job's ``success`` is the
+    stage's: a failed or missing stage never reports the reading's, which stays
+    as ``read_success``. A stage's error, unless empty, replaces the reading's.
+    Null successes are failures, missing counts 0. Panels may repeat in ``base``
+    (the last row counts); stages of other panels are left out.
+    """
+    read = last_per_key(base.select("panel_id", "success", "error"), ["panel_id"])
+    last = last_per_key(stage.select("panel_id", "ord", "success", "source", "lookup_hits", "lookup_misses", "error"), ["panel_id"])
+    own = F.struct("success", "source", "lookup_hits", "lookup_misses", F.nullif("error", F.lit("")).alias("error"))
+    joined = read.join(last.select("panel_id", own.alias("_stage")), "panel_id", "left")
+    done = F.coalesce(F.col("_stage.success"), F.lit(False))
+    return joined.select(
+        "panel_id", F.coalesce("success", F.lit(False)).alias("read_success"), done.alias(f"{name}_success"), done.alias("success"),
+        F.col("_stage.source").alias(f"{name}_source"),
+        F.coalesce(F.col("_stage.lookup_hits"), F.lit(0)).cast("bigint").alias("lookup_hits"),
+        F.coalesce(F.col("_stage.lookup_misses"), F.lit(0)).cast("bigint").alias("lookup_misses"),
+        F.col("_stage.error").alias(f"{name}_error"), F.coalesce(F.col("_stage.error"), F.col("error")).alias("error"))
+
+
+def enrichment_job(
+    annotations: DataFrame, base: DataFrame, stage: DataFrame, found: DataFrame, columns: Sequence[str],
+) -> tuple[DataFrame, DataFrame]:
+    """(annotations with the enrichment's ``columns``, status rows of their panels).
+
+    ``found`` holds the enrichment by region. Of panels whose last attempt
+    failed nothing is merged, so their annotations are those of the reading.
+    """
+    status = stage_status(base, stage)
+    good = found.join(status.where("success").select("panel_id"), "panel_id", "left_semi")
+    return merge_enrichment(annotations, good, columns), status
+
+
 def preserve_payload(
     previous: DataFrame, current: DataFrame, signature: Sequence[str], payload: Sequence[str],
 ) -> DataFrame:

@@ -48,3 +48,26 @@ def refreshed(cached: DataFrame, fetched: DataFrame, keys: list[str], payload: l
 def unfinished(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work whose fingerprint has no stored result yet."""
     return work.join(done.select(key).distinct(), key, "left_anti")
+
+
+def cleared(
+    requests: DataFrame, entries: DataFrame, annotations: DataFrame, boxes: DataFrame, reading: str = "ocr",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, annotations, boxes) after the buckets that ``requests`` names were cleared.
+
+    A request is a panel_id and a bucket, null for all of the panel. Clearing the
+    bucket of the ``reading`` takes the panel's annotations and leaves its boxes
+    uncomputed, clearing all takes the boxes too; later stages lose their entries
+    only. Rows of other panels, or without one, stay as they are; repeated
+    requests count once.
+    """
+    wanted = requests.groupBy(F.col("panel_id").alias("_panel")).agg(
+        F.collect_set("bucket").alias("_buckets"), F.bool_or(F.col("bucket").isNull()).alias("_all"))
+    wanted = wanted.withColumn("_reading", F.col("_all") | F.array_contains("_buckets", reading))
+    of_panel = F.col("panel_id") == F.col("_panel")
+    kept = entries.join(wanted, of_panel & (F.col("_all") | F.array_contains("_buckets", F.col("bucket"))), "left_anti")
+    read = annotations.join(wanted.where("_reading"), of_panel, "left_anti")
+    placed = boxes.join(wanted, of_panel, "left").where(~F.coalesce(F.col("_all"), F.lit(False)))
+    stale = F.coalesce(F.col("_reading"), F.lit(False))
+    placed = placed.withColumn("computed", F.when(stale, F.lit(False)).otherwise(F.col("computed")))
+    return kept, read, placed.select(*boxes.columns)

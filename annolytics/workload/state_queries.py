@@ -121,6 +121,67 @@ def merge_enrichment(t: Tables) -> DataFrame:
     return an.merge_enrichment(t.annotations, stage, ["text", "analysis"]).select("panel_id", "region_id", "text", "analysis")
 
 
+_ATTEMPTS = """
+with ends as (select scan_id as panel_id, stage, status, extra, elapsed_ms, row_number() over (partition by scan_id, stage order by ts desc, event_id desc) as r from trace where status <> 'start'),
+readings as (select panel_id, status = 'done' as success, case when status = 'error' then 'unreadable' end as error from ends where stage = 'ocr' and r = 1),
+tries as (select panel_id, status = 'done' as success, case when status = 'error' then extra end as error, elapsed_ms % 7 as hits, elapsed_ms % 3 as misses from ends where stage = 'enrich' and r = 1),
+state as (select o.panel_id, o.success as read_success, coalesce(e.success, false) as success, coalesce(e.hits, 0) as lookup_hits,
+  coalesce(e.misses, 0) as lookup_misses, e.error as enrichment_error, coalesce(e.error, o.error) as error from readings o left join tries e using (panel_id))
+"""
+
+
+def _attempts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Ends of the reading and of the enrichment, in order of time."""
+    ends = t.trace.where("status <> 'start'").select(
+        F.col("scan_id").alias("panel_id"), "stage", "extra", F.struct("ts", "event_id").alias("ord"),
+        (F.col("status") == "done").alias("success"), "elapsed_ms")
+    failed = ~F.col("success")
+    read = an.last_per_key(ends.where("stage = 'ocr'").select(
+        "panel_id", "ord", "success", F.when(failed, F.lit("unreadable")).alias("error")), ["panel_id"])
+    tried = ends.where("stage = 'enrich'").select(
+        "panel_id", "ord", "success", F.lit("dictionary").alias("source"), (F.col("elapsed_ms") % 7).alias("lookup_hits"),
+        (F.col("elapsed_ms") % 3).alias("lookup_misses"), F.when(failed, F.col("extra")).alias("error"))
+    return read, tried
+
+
+@query("enrichment_status", _ATTEMPTS + "select * from state")
+def enrichment_status(t: Tables) -> DataFrame:
+    return an.stage_status(*_attempts(t)).select(
+        "panel_id", "read_success", "success", "lookup_hits", "lookup_misses", "enrichment_error", "error")
+
+
+@query("enrichment_job", _ATTEMPTS + """
+select a.panel_id, a.region_id, a.text, t.translated as analysis, coalesce(g.success, false) as success
+from annotations a left join state g using (panel_id) left join translations t on t.panel_id = a.panel_id and t.region_id = a.region_id and g.success
+""")
+def enrichment_job(t: Tables) -> DataFrame:
+    found = t.translations.select("panel_id", "region_id", F.col("translated").alias("analysis"))
+    merged, status = an.enrichment_job(t.annotations, *_attempts(t), found, ["analysis"])
+    joined = merged.join(status.select("panel_id", "success"), "panel_id", "left")
+    return joined.select("panel_id", "region_id", "text", "analysis", F.coalesce("success", F.lit(False)).alias("success"))
+
+
+@query("clear_cache", """
+with requests_of as (select o_custkey as panel_id, case o_orderkey % 5 when 0 then null when 1 then 'view' when 2 then 'click' else 'purchase' end as bucket
+  from orders where o_orderkey % 3 = 0),
+per_panel as (select panel_id, bool_or(bucket is null) as whole, coalesce(bool_or(bucket is null or bucket = 'view'), false) as reading from requests_of group by panel_id),
+left_entries as (select 'entry' as kind, c.panel_id, c.event_id as row_id, true as computed from cache_entries c left join per_panel w using (panel_id)
+  where not coalesce(w.whole, false) and not exists (select 1 from requests_of r where r.panel_id = c.panel_id and r.bucket = c.bucket)),
+left_notes as (select 'annotation', panel_id, region_id, computed from annotations where panel_id not in (select panel_id from per_panel where reading)),
+left_boxes as (select 'box', b.panel_id, b.ord, b.computed and not coalesce(w.reading, false) from placed_boxes b left join per_panel w using (panel_id) where not coalesce(w.whole, false))
+select * from left_entries union all select * from left_notes union all select * from left_boxes
+""")
+def clear_cache(t: Tables) -> DataFrame:
+    bucket = F.expr("case o_orderkey % 5 when 0 then null when 1 then 'view' when 2 then 'click' else 'purchase' end")
+    requests = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("panel_id"), bucket.alias("bucket"))
+    entries, notes, placed = ca.cleared(requests, t.cache_entries, t.annotations, t.placed_boxes, reading="view")
+    return (
+        entries.select(F.lit("entry").alias("kind"), "panel_id", F.col("event_id").alias("row_id"), F.lit(True).alias("computed"))
+        .union(notes.select(F.lit("annotation"), "panel_id", "region_id", "computed"))
+        .union(placed.select(F.lit("box"), "panel_id", F.col("ord").cast("bigint"), "computed"))
+    )
+
+
 @query("preserve_payload_merge", """
 select panel_id, region_id, coalesce(computed, true) and region_id % 3 <> 0 as payload_kept,
   case when coalesce(computed, true) and region_id % 3 <> 0 then concat('debug ', region_id) end as ocr_debug from annotations

@@ -305,3 +305,35 @@ def test_media_of_folders_and_listings(spark, tmp_path):
         [("x/a.JPG", 1), ("x/b.jpg.txt", 2), ("x/jpg", 3), (None, 4), ("c.png", 5), ("c.png", 5)], "path string, size long")
     assert sorted((r.filename, r.size) for r in media.listed_media(listing).collect()) == [("a.JPG", 1), ("c.png", 5), ("c.png", 5)]
     assert media.listed_media(listing.limit(0)).count() == 0
+
+
+def test_failed_enrichment_is_no_success(spark):
+    base = spark.createDataFrame([("a", True, None), ("b", True, None), ("c", False, "unreadable"), ("d", True, None), (None, None, None)],
+                                 "panel_id string, success boolean, error string")
+    stage = spark.createDataFrame(
+        [("a", 1, True, "dict", 3, 1, None), ("a", 2, False, "dict", None, None, "lookup unavailable"), ("b", 2, True, "dict", 5, 2, ""),
+         ("b", 1, False, "dict", 0, 0, "late"), ("c", 1, True, "dict", 0, 0, None), ("x", 1, True, "dict", 1, 1, None)],
+        "panel_id string, ord int, success boolean, source string, lookup_hits int, lookup_misses int, error string")
+    notes = spark.createDataFrame([("a", "r1", 1, "猫"), ("b", "r1", 1, "犬"), ("d", "r1", 1, "鳥")], "panel_id string, region_id string, ord int, text string")
+    found = spark.createDataFrame([("a", "r1", "neko"), ("b", "r1", "inu")], "panel_id string, region_id string, reading string")
+    merged, status = an.enrichment_job(notes, base, stage, found, ["reading"])
+    got = {r.panel_id: (r.read_success, r.success, r.lookup_hits, r.enrichment_error, r.error) for r in status.collect()}
+    assert got == {
+        "a": (True, False, 0, "lookup unavailable", "lookup unavailable"), "b": (True, True, 5, None, None),
+        "c": (False, True, 0, None, "unreadable"), "d": (True, False, 0, None, None), None: (False, False, 0, None, None)}
+    assert {r.panel_id: (r.text, r.reading) for r in merged.collect()} == {"a": ("猫", None), "b": ("犬", "inu"), "d": ("鳥", None)}
+    empty = an.stage_status(base.where("false"), stage)
+    assert empty.count() == 0 and an.stage_status(base, stage.where("false")).where("success").count() == 0
+
+
+def test_cleared_buckets_reset_what_depends_on_them(spark):
+    entries = spark.createDataFrame([(p, b) for p in "abcd" for b in ("ocr", "translation")] + [(None, "ocr")], "panel_id string, bucket string")
+    notes = spark.createDataFrame([(p, "t") for p in "abcd"], "panel_id string, text string")
+    placed = spark.createDataFrame([(p, True) for p in "abcd"], "panel_id string, computed boolean")
+    wanted = spark.createDataFrame([("a", "ocr"), ("a", "ocr"), ("b", "translation"), ("c", None), ("z", "ocr"), (None, None)], "panel_id string, bucket string")
+    kept, read, left = ca.cleared(wanted, entries, notes, placed)
+    assert sorted(kept.where("panel_id is not null").collect()) == [("a", "translation"), ("b", "ocr"), ("d", "ocr"), ("d", "translation")]
+    assert kept.where("panel_id is null").count() == 1
+    assert [r.panel_id for r in read.orderBy("panel_id").collect()] == ["b", "d"]
+    assert sorted(left.collect()) == [("a", False), ("b", True), ("d", True)]
+    assert ca.cleared(wanted.where("false"), entries, notes, placed)[0].count() == 9
