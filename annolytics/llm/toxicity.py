@@ -6,10 +6,14 @@ add up; factors add what pairs of terms say together beyond that, such as an
 insult next to a mention of a group, or two insults where one is harmless.
 
 Spark counts every term over all labelled training rows and keeps those that
-the label depends on most (at most ``FEATURES``). The machine is fitted on the
-driver to a bounded sample of the training rows, reduced to these features: at
-most ``SAMPLE`` rows, chosen by a hash of ``doc_id``. Scoring reads every text
-whole, in Arrow batches, next to a model of fixed size.
+the label depends on most (at most ``FEATURES``). A mention that says nothing
+alone must still meet the insult it turns into an attack, so a second count
+reads the open documents, those with a suspect term but none that decides
+alone: terms on which the label depends among these become features too, with
+the suspects that they need. The machine is fitted on the driver to a bounded
+sample of the training rows, reduced to these features: the ``SAMPLE`` rows with
+the least hash of ``doc_id``, in that order, so reruns agree. Scoring reads
+every text whole, in Arrow batches, next to a model of fixed size.
 
 Null and empty texts have no features and get the score of the bias. Labels are
 matched by ``doc_id``; rows without ``doc_id`` or label train nothing and are
@@ -39,6 +43,12 @@ TELLING = 5.0
 SEEN = 4
 # and change the odds of the label at least so many times.
 LIFT = 3.0
+# A term is a suspect if it changes the odds so many times,
+SUSPECT = 1.5
+# and decides alone if this share of its documents is labelled.
+DECIDES = 0.8
+# Terms that count only beside a suspect, at most.
+PARTNERS = 1_024
 # Terms that are counted together before their counts are passed on.
 COUNTED = 2_000_000
 # Bytes of the word beginnings that are terms of their own.
@@ -147,31 +157,14 @@ def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors:
     return Machine(terms, float(state["b"][0]), state["w"], state["v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
-    """A machine from the labelled rows of ``docs`` that are not held out."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    marks = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Texts without a label go before the join, by a filter of fixed size.
-    held = spark.sparkContext.broadcast(Bitmap.of(marks, "doc_id"))
+def _features(terms: np.ndarray) -> Machine:
+    """A machine that knows its terms only."""
+    return Machine(np.sort(terms), 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
 
-    def pick(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(held.value.has(batch.column(2).to_numpy()))).select([0, 1])
-
-    picked = texts.withColumn("place", Bitmap.place("doc_id")).mapInArrow(pick, "doc_id long, text string")
-    # A merge at every size: the labels grow with the documents, so they are never broadcast whole.
-    known = keep(picked.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", "text"), "known")
-    row = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows, toxic = row[0], row[1]
-    if toxic in (0, rows):
-        return fit(np.zeros(0, np.int64), [], np.zeros(0))
 
+def _dependent(known: DataFrame, share: float, lift: float, most: int) -> pa.Table:
+    """(term, odds, rate) of the terms on which the label depends most in ``known``
+    (toxic, text), of whose rows ``share`` are labelled; every row is counted."""
     def total(terms: list[np.ndarray], toxic: list[np.ndarray]) -> pa.RecordBatch:
         term, kind = np.unique(np.concatenate(terms), return_inverse=True)
         marks = np.concatenate(toxic)
@@ -192,31 +185,75 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         if terms:
             yield total(terms, toxic)
 
-    share = toxic / rows
     counted = known.select("toxic", "text").mapInArrow(count, "term long, n long, p long").groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("p").alias("p"))
     spread = F.sqrt(F.col("n") * share * (1 - share) + 1)
     odds = F.abs(F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5)) - float(np.log(share / (1 - share))))
-    told = (
-        counted.where((F.col("n") >= SEEN) & (odds >= float(np.log(LIFT))))
-        .select("term", F.abs((F.col("p") - F.col("n") * share) / spread).alias("z"))
-        .where(F.col("z") >= TELLING).orderBy(F.desc("z"), "term").limit(features).toArrow()
+    return (
+        counted.withColumn("odds", odds).where((F.col("n") >= SEEN) & (F.col("odds") >= float(np.log(lift))))
+        .select("term", "odds", (F.col("p") / F.col("n")).alias("rate"), F.abs((F.col("p") - F.col("n") * share) / spread).alias("z"))
+        .where(F.col("z") >= TELLING).orderBy(F.desc("z"), "term").limit(most).toArrow()
     )
-    terms = np.sort(told["term"].to_numpy())
-    machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
+    """A machine from the labelled rows of ``docs`` that are not held out."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    marks = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Texts without a label go before the join, by a filter of fixed size.
+    held = spark.sparkContext.broadcast(Bitmap.of(marks, "doc_id"))
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.has(batch.column(2).to_numpy()))).select([0, 1])
+
+    picked = texts.withColumn("place", Bitmap.place("doc_id")).mapInArrow(pick, "doc_id long, text string")
+    # A merge at every size: the labels grow with the documents, so they are never broadcast whole.
+    known = keep(picked.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", "text"), "known")
+    row = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows, toxic = row[0], row[1]
+    if toxic in (0, rows):
+        return fit(np.zeros(0, np.int64), [], np.zeros(0))
+
+    found = _dependent(known, toxic / rows, SUSPECT, features)
+    told = found["odds"].to_numpy() >= np.log(LIFT)
+    suspects = _features(found["term"].to_numpy())
+    decisive = _features(found["term"].to_numpy()[found["rate"].to_numpy() >= DECIDES])
+
+    def opened(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([
+                len(suspects.places(each)) > 0 and not len(decisive.places(each)) for each in term_sets(batch.column(2))], pa.bool_()))
+
+    open_rows = known.mapInArrow(opened, known.schema)
+    row = open_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = found["term"].to_numpy()[told]
+    if 0 < row[1] < row[0]:
+        partners = _dependent(open_rows, row[1] / row[0], SUSPECT, PARTNERS)["term"].to_numpy()
+        if not np.isin(partners, chosen).all():  # the telling ones first, then what the pairs need
+            chosen = np.array(list(dict.fromkeys([*chosen, *partners, *found["term"].to_numpy()]))[:features], np.int64)
+    machine = _features(chosen)
 
     def reduce(batches):
         for batch in batches:
             places = [machine.places(each) for each in term_sets(batch.column(1))]
             ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate(places).astype(np.int32))], ["toxic", "places"])
-
-    # About `sample` rows by hash, then at most that many.
-    part = int(min(1.0, sample / rows) * 1_000_000)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < part).select("toxic", "text")
-    drawn = drawn.mapInArrow(reduce, "toxic int, places array<int>").limit(sample).toArrow()
+            lists = pa.ListArray.from_arrays(ends, np.concatenate(places).astype(np.int32))
+            yield pa.record_batch([batch.column(0), lists, batch.column(2), batch.column(3)], ["toxic", "places", "place", "doc_id"])
+
+    # Somewhat more rows by hash, then the least of them.
+    part = int(min(1.0, 1.05 * sample / rows) * 1_000_000)
+    drawn = known.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000_000))).where(F.col("place") < 1000 * part)
+    drawn = drawn.select("toxic", "text", "place", "doc_id").mapInArrow(reduce, "toxic int, places array<int>, place long, doc_id long")
+    drawn = drawn.orderBy("place", "doc_id", "places").limit(sample).select("toxic", "places").toArrow()
     places = [np.array(x, np.int64) for x in drawn["places"].to_pylist()]
-    return fit(terms, places, drawn["toxic"].to_numpy().astype(float))
+    return fit(machine.terms, places, drawn["toxic"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

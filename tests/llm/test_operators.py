@@ -531,6 +531,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), machine).count() == 0
 
 
+def planted_pairs(n: int, seed: int):
+    """Texts with an insult (1 in 5), a mention (1 in 3), both; both together or a slur are toxic, few slurs beside many harmless insults."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    for doc_id in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 400, 30)]
+        insult, mention, slur = rng.random(3) < (0.2, 0.35, 0.25)
+        words += ["clown"] * int(insult) + ["islanders"] * int(mention) + ["slurword"] * int(slur)
+        rows.append((doc_id, " ".join(rng.permutation(words))))
+        labels.append((doc_id, int(slur or insult and mention)))
+    return rows, labels
+
+
+def test_toxicity_learns_planted_pairs_from_texts(spark):
+    rows, labels = planted_pairs(6000, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, marks)
+    again = toxicity.train(docs.repartition(7), marks.repartition(3))
+    assert (machine.terms == again.terms).all() and (machine.weights == again.weights).all() and (machine.factors == again.factors).all()
+    held = toxicity.score(docs, machine).where("held_out").join(docs, "doc_id").join(marks, "doc_id").collect()
+    both = [r for r in held if "clown" in r.text and "islanders" in r.text and "slurword" not in r.text]
+    one = [r for r in held if ("clown" in r.text) != ("islanders" in r.text) and "slurword" not in r.text]
+    assert len(both) > 30 and np.mean([r.predicted for r in both]) >= 0.95
+    assert len(one) > 200 and np.mean([r.predicted for r in one]) <= 0.02
+
+
 def test_toxicity_learns_pairs():
     """Neither term says anything alone; both together do."""
     rng = np.random.default_rng(8)
