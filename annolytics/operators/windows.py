@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolytics.functions.responses import aligned_translations, response_parts
+from annolytics.operators import annotations as an
+from annolytics.plans.skew import ordered_index
+from annolytics.plans.storage import settle
 
 # Lines per window, and how many of them are targets.
 WINDOW_LINES, TARGET_LINES = 10, 8
@@ -139,3 +142,39 @@ def translate(
     prompts = prompt_rows(context_windows(lines), language, style).select("panel_id", "window", "target_ids", "prompt")
     answers = read_answers(call_model(prompts, model).drop("prompt"))
     return answers.select("panel_id", F.col("id").alias("line_id"), "translated")
+
+
+def translation_job(
+    annotations: DataFrame, model: Callable[[list[str]], list[str]], engine: str, language: str = "en", style: str = "natural",
+) -> tuple[DataFrame, DataFrame]:
+    """(annotations with translations and their flags, one status row per panel).
+
+    Annotations that are computed and hold text become lines in reading order,
+    go through context windows to the model, whose answers are written once, and
+    come back by region. Others, and regions the model left out, have an empty
+    translation, and the flags say which of them should have had one.
+
+    Status: ``asked`` lines, ``answered`` with a translation that is not blank,
+    ``missing`` placed annotations without one, and ``success``: nothing was
+    asked or something was answered, so a model that fails on a whole panel
+    never reports success.
+    """
+    region = annotations.schema["region_id"].dataType
+    asked = an.computed_text(annotations).where(F.col("panel_id").isNotNull() & F.col("region_id").isNotNull())
+    lines = ordered_index(
+        asked.select("panel_id", F.col("ord").alias("_ord"), "region_id", "text", "vertical"), ["panel_id"], ["_ord", "region_id"], "ord")
+    lines = lines.select(
+        "panel_id", F.col("region_id").alias("line_id"), "ord", "text", F.when(F.col("vertical"), "vertical").otherwise("horizontal").alias("orientation"))
+    answers = settle(translate(lines, model, language, style))
+    by_region = answers.select("panel_id", F.col("line_id").cast(region).alias("region_id"), "translated")
+    nothing = by_region.where("false").select("panel_id", F.lit(1).alias("ord"), "translated")
+    merged = an.merge_translation(annotations, by_region, nothing)
+    if "uncomputed" not in merged.columns:
+        merged = merged.withColumn("uncomputed", F.lit(None).cast("boolean"))
+    flagged = an.flag_missing(merged)
+    spoken = F.length(F.btrim(F.coalesce(F.col("translated"), F.lit("")))) > 0
+    counted = answers.groupBy("panel_id").agg(F.count(F.lit(1)).alias("asked"), F.count_if(spoken).alias("answered"))
+    status = flagged.groupBy("panel_id").agg(F.count_if("translation_missing").alias("missing")).join(counted, "panel_id", "left")
+    status = status.fillna(0, ["asked", "answered"]).withColumns({
+        "success": (F.col("asked") == 0) | (F.col("answered") > 0), "engine_requested": F.lit(engine)})
+    return flagged, status

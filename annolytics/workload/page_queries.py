@@ -90,16 +90,27 @@ s as (select page_id, '.png' as suffix, trim(both '-._' from regexp_replace(
 """
 
 
+# Every other page's name is taken already, by some pages also its third and fourth form.
+_TAKEN = """
+taken as (select concat(stem, form, suffix) as filename from s, (values (''), ('-3'), ('-4')) f(form)
+  where page_id % 2 = 0 and (form = '' or page_id % 4 = 0 and form = '-3' or page_id % 8 = 0))
+"""
+
+
 @query("unique_names", f"""
-with {_UPLOADS},
-r as (select *, row_number() over (partition by stem order by page_id) as rn from s)
-select page_id, concat(stem, case when rn = 1 then '' else concat('-', rn) end, suffix) as filename from r
+with {_UPLOADS}, {_TAKEN},
+r as (select *, row_number() over (partition by stem order by page_id) as rn, count(*) over (partition by stem) as n from s),
+numbers as (select stem, unnest(range(1, max(n) + 4)) as number from r group by stem),
+free as (select stem, number, row_number() over (partition by stem order by number) as rn from numbers
+  where concat(stem, case when number = 1 then '' else concat('-', number) end, '.png') not in (select filename from taken))
+select page_id, concat(r.stem, case when number = 1 then '' else concat('-', number) end, suffix) as filename from r join free f on f.stem = r.stem and f.rn = r.rn
 """)
 def unique_names(t: Tables) -> DataFrame:
     raw = F.concat(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), F.lit(".png"))
     new = od.clean_names(t.pages.select("page_id", raw.alias("raw_name"))).select("page_id", "stem", "suffix")
-    none_taken = t.pages.select(F.col("url").alias("filename")).where("filename is null")
-    return od.unique_names(new, none_taken, ["page_id"]).select("page_id", "filename")
+    form = F.explode(F.expr("filter(array('', '-3', '-4'), f -> f = '' or page_id % 4 = 0 and f = '-3' or page_id % 8 = 0)")).alias("form")
+    taken = new.where("page_id % 2 = 0").select("stem", "suffix", form).select(F.concat("stem", "form", "suffix").alias("filename"))
+    return od.unique_names(new, taken, ["page_id"]).select("page_id", "filename")
 
 
 # -- shaping --------------------------------------------------------------------

@@ -361,6 +361,39 @@ def map_windows(t: Tables) -> DataFrame:
     return wi.translate(t.lines, _echo)
 
 
+def _forgetful(prompts: list[str]) -> list[str]:
+    """A stand-in model that leaves out the lines whose length five divides."""
+    import json
+    answers = []
+    for answer in _echo(prompts):
+        kept = [t for t in json.loads(answer)["translations"] if len(t["translation"]) % 5]
+        answers.append(json.dumps({"translations": kept}))
+    return answers
+
+
+_JOB = """
+with j as (select *, computed is not null and not computed as skip, case when coalesce(computed, true) and length(text) % 5 <> 0 then upper(text) else '' end as tr,
+  coalesce(computed, true) and text <> '' as asked from annotations),
+f as (select *, not skip and has_bbox and tr = '' as missing from j)
+"""
+
+
+@query("translation_job", _JOB + """
+select panel_id, region_id, case when missing then 'No translation available' else tr end as translated, missing as translation_missing, not skip and not has_bbox as localization_missing from f
+""")
+def translation_job(t: Tables) -> DataFrame:
+    rows, _ = wi.translation_job(t.annotations, _forgetful, "stand-in")
+    return rows.select("panel_id", "region_id", "translated", "translation_missing", "localization_missing")
+
+
+@query("translation_status", _JOB + """
+select panel_id, count(*) filter (asked) as asked, count(*) filter (asked and tr <> '') as answered, count(*) filter (missing) as missing,
+  count(*) filter (asked) = 0 or count(*) filter (asked and tr <> '') > 0 as success, 'stand-in' as engine_requested from f group by panel_id
+""")
+def translation_status(t: Tables) -> DataFrame:
+    return wi.translation_job(t.annotations, _forgetful, "stand-in")[1]
+
+
 # -- learning ---------------------------------------------------------------------
 
 @query("word_stats", "select word, count(*) as seen, count(*) filter (knew) as correct from answers group by word")

