@@ -8,9 +8,9 @@ the longest last token at each place, gives the tokens. A text in which no
 dictionary word occurs is one token as a whole, and so is every text without a
 dictionary.
 
-A dictionary within bounds is compiled to a double-array trie, sent to the
+A dictionary within bounds is compiled to a trie of sorted arrays, sent to the
 workers, and followed from all places of an Arrow batch of texts at once, one
-code point a step. A larger one stays a table: the substrings of the distinct
+code point a step; lemma, reading and pos are fetched for the chosen words. A larger one stays a table: the substrings of the distinct
 texts are joined to it, the edges of a text gathered, and the same path search
 runs on them. Tests hold both equal.
 
@@ -21,7 +21,8 @@ out. Texts are trimmed first; empty and null ones have no tokens.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolytics.functions import text as tx
-from annolytics.plans.skew import BROADCAST_BYTES, BROADCAST_ROWS
 
 # Costs of an unknown token, and of each of its code points.
 UNKNOWN, UNKNOWN_CHAR = 3_000, 500
 # Words longer than this are no dictionary words.
 LONGEST = 40
 
+# Words and bytes (12 a letter, and what else a word has) of a dictionary that goes to the workers as a whole.
+DICTIONARY_WORDS, DICTIONARY_BYTES = 4_000_000, 256 << 20
+# Texts of at most so many code points find their ways together; a key has room for their places.
+SHORT = 500
+# Bits of a letter's code in a key of the trie.
+_LETTER = np.uint64(21)
+
 _WORD = "struct<surface:string,lemma:string,reading:string,pos:array<string>,cost:int>"
 _TOKEN = "array<struct<surface:string,lemma:string,reading:string,pos:array<string>,start:int,end:int,known:boolean>>"
 _TOKEN_TYPE = pa.list_(pa.struct([
@@ -46,73 +53,61 @@ _TOKEN_TYPE = pa.list_(pa.struct([
     ("start", pa.int32()), ("end", pa.int32()), ("known", pa.bool_())]))
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Trie:
-    """Words in a double array: the child of state ``s`` by code ``c`` is ``base[s] + c`` if ``check`` there is ``s``."""
+    """Words as a trie of sorted levels: the state of a prefix is its place among the keys of its
+    length, a key holds the state of the prefix before and the next letter's code."""
 
-    def __init__(self, words: Sequence[str]):
+    def __init__(self, words: Iterable[str]):
         self.words = sorted(set(words))
-        letters = sorted(set("".join(self.words)))
-        self.codes = {letter: i + 1 for i, letter in enumerate(letters)}
-        spelt = [[self.codes[letter] for letter in word] for word in self.words]
-        order = sorted(range(len(spelt)), key=spelt.__getitem__)
-        base, check, word, free = [0], [0], [-1], 1
-        waiting = [(0, 0, len(order), 0)]
-        while waiting:
-            state, low, high, depth = waiting.pop()
-            if low < high and len(spelt[order[low]]) == depth:
-                word[state] = order[low]
-                low += 1
-            children: list[tuple[int, int, int]] = []
-            while low < high:
-                code, first = spelt[order[low]][depth], low
-                while low < high and spelt[order[low]][depth] == code:
-                    low += 1
-                children.append((code, first, low))
-            if not children:
-                continue
-            first = children[0][0]
-            if len(children) == 1:  # fills the holes that wider nodes leave
-                while free < len(check) and check[free] >= 0:
-                    free += 1
-                at = free - first if free > first else len(check)
-            else:  # near the end, so that no search goes through the whole array
-                at = max(1, len(check) - 64 - first)
-                while any(at + code < len(check) and check[at + code] >= 0 for code, _, _ in children):
-                    at += 1
-            base[state] = at
-            grown = at + children[-1][0] + 1 - len(check)
-            if grown > 0:
-                base += [0] * grown
-                check += [-1] * grown
-                word += [-1] * grown
-            for code, first, last in children:
-                check[at + code] = state
-                waiting.append((at + code, first, last, depth + 1))
-        self.base, self.check, self.word = (np.array(x, np.int32) for x in (base, check, word))
-        self.deepest = max(map(len, self.words), default=0)
+        points = _points("".join(self.words))
+        self.letters = np.unique(points)
+        codes = np.searchsorted(self.letters, points).astype(np.uint64)
+        length = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        begin = np.cumsum(length) - length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        state, alive = np.zeros(len(self.words), np.uint64), np.flatnonzero(length)
+        while len(alive):
+            depth = len(self.levels)
+            keys, place = np.unique(state[alive] << _LETTER | codes[begin[alive] + depth], return_inverse=True)
+            state[alive] = place
+            word, ends = np.full(len(keys), -1, np.int32), alive[length[alive] == depth + 1]
+            word[state[ends].astype(np.int64)] = ends
+            self.levels.append((keys, word))
+            alive = alive[length[alive] > depth + 1]
+
+    def __getstate__(self) -> dict:
+        """Without the words: workers only need their numbers."""
+        return {**self.__dict__, "words": None}
 
     def matches(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the joined texts, length, word) of every occurrence; a separator stands after each text."""
-        code = self.codes.get
-        codes = np.fromiter((c for text in texts for c in (*map(lambda x: code(x, 0), text), 0)), np.int32)
-        start, state = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+        points = _points("\0".join([*texts, ""]))
+        if not self.levels:
+            return (np.zeros(0, np.int64),) * 3
+        codes = np.searchsorted(self.letters, points)
+        known = self.letters[np.minimum(codes, len(self.letters) - 1)] == points
+        known[np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1] = False
+        codes = codes.astype(np.uint64)
+        start, state = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         found: list[tuple[np.ndarray, ...]] = []
-        for step in range(self.deepest):
+        for step, (keys, word) in enumerate(self.levels):
             inside = start + step < len(codes)
+            inside[inside] = known[start[inside] + step]
             start, state = start[inside], state[inside]
-            letter = codes[start + step]
-            following = self.base[state] + letter
-            good = (letter > 0) & (following < len(self.check))
-            good[good] = self.check[following[good]] == state[good]
-            start, state = start[good], following[good]
-            hit = self.word[state] >= 0
-            found.append((start[hit], np.full(int(hit.sum()), step + 1), self.word[state[hit]]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
+            key = state << _LETTER | codes[start + step]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            good = keys[place] == key
+            start, state = start[good], place[good].astype(np.uint64)
+            hit = word[place[good]]
+            found.append((start[hit >= 0], np.full(int((hit >= 0).sum()), step + 1), hit[hit >= 0]))
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _best_path(text: str, edges: dict[int, list[tuple[int, int, tuple | None]]], runs, unknown: int, each: int) -> list[tuple]:
+def _best_path(text: str, edges: dict[int, list[tuple[int, int, object]]], runs, unknown: int, each: int) -> list[tuple]:
     """(start, end, word) of the least way; ``edges`` are (end, cost, word) by start."""
     size = len(text)
     run_end = [0] * size
@@ -151,15 +146,78 @@ def _best_path(text: str, edges: dict[int, list[tuple[int, int, tuple | None]]],
     return path[::-1]
 
 
-def _tokens(text: str, edges, runs, unknown: int, each: int) -> list[dict]:
-    path = _best_path(text, edges, runs, unknown, each) if edges else [(0, len(text), None)] if text else []
+def _best_paths(texts: Sequence[str], edges: tuple[np.ndarray, ...], runs, unknown: int, each: int) -> tuple[np.ndarray, ...]:
+    """The ways of :func:`_best_path` for many texts of at most ``SHORT`` code points at once, place by place:
+    (text, start, end, word) of all tokens in order; ``edges`` are (text, start, length, cost, word)."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size + 1) - size - 1
+    spans = [(i, *run.span()) for i, text in enumerate(texts) for run in runs.finditer(text)]
+    owner, low, high = np.array(spans, np.int64).reshape(-1, 3).T
+    width = high - low
+    text = np.repeat(owner, width)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+    run_end = np.repeat(high, width)
+    long = run_end > place + 1
+    blank = np.ones(int(size.sum() + len(size)), bool)
+    blank[begin[text] + place] = blank[begin + size] = False
+    white = np.flatnonzero(blank)
+    white_text = np.searchsorted(begin, white, "right") - 1
+    # Words, single code points, rests of runs, and white space, which is passed without a token.
+    edges = tuple(part[~blank[begin[edges[0]] + edges[1]]] for part in edges)
+    ways = [
+        (edges[0], edges[1], edges[1] + edges[2], edges[3].astype(np.int64), edges[4].astype(np.int64)),
+        (text, place, place + 1, np.full(len(text), unknown + each), np.full(len(text), -1)),
+        (text[long], place[long], run_end[long], unknown + each * (run_end - place)[long], np.full(int(long.sum()), -1)),
+        (white_text, white - begin[white_text], white - begin[white_text] + 1, np.zeros(len(white), np.int64), np.full(len(white), -2)),
+    ]
+    of, start, end, cost, word = (np.concatenate(part) for part in zip(*ways, strict=True))
+    order = np.lexsort((of, end))
+    of, start, end, cost, word = (part[order] for part in (of, start, end, cost, word))
+    source, target = begin[of] + start, begin[of] + end
+    paid, tokens, last, by = (np.zeros(len(blank), np.int64) for _ in range(4))
+    limits = np.searchsorted(end, np.arange(1, int(size.max(initial=0)) + 2))
+    for low, high in zip(limits[:-1], limits[1:], strict=True):
+        at = source[low:high]
+        passed = word[low:high] == -2
+        key = (paid[at] + cost[low:high] << 10 | tokens[at] + ~passed) << 10 | np.where(passed, last[at], start[low:high]) << 1 | (word[low:high] < 0)
+        first = np.flatnonzero(np.diff(target[low:high], prepend=-1))
+        least = np.minimum.reduceat(key, first)
+        won = np.flatnonzero(key == np.repeat(least, np.diff(first, append=high - low)))
+        there = target[low:high][won]
+        paid[there], tokens[there] = least >> 20, least >> 10 & 1023
+        last[there], by[there] = start[low:high][won], word[low:high][won]
+    row, now = np.arange(len(texts)), size.copy()
     found = []
-    for start, end, word in path:
-        surface = text[start:end]
-        lemma, reading, pos = word or (surface, "", [])
-        found.append({"surface": surface, "lemma": lemma or surface, "reading": reading or "", "pos": list(pos or []),
-                      "start": start, "end": end, "known": word is not None})
-    return found
+    while len(row := row[now[row] > 0]):
+        node = begin[row] + now[row]
+        found.append((row, last[node], now[row], by[node]))
+        now[row] = last[node]
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    row, start, end, word = (np.concatenate(part) for part in zip(*found, strict=True))
+    keep = word != -2
+    order = np.lexsort((start[keep], row[keep]))
+    return tuple(part[keep][order] for part in (row, start, end, word))
+
+
+def _token_column(texts: Sequence[str], paths: Sequence[Sequence[tuple]], described: Callable[[object], tuple]) -> pa.Array:
+    """An array of tokens per text from its (start, end, word), word None if unknown."""
+    surface, lemma, reading, pos, starts, ends, known = ([] for _ in range(7))
+    for text, path in zip(texts, paths, strict=True):
+        for start, end, word in path:
+            form = text[start:end]
+            base, sound, tags = (form, "", []) if word is None else described(word)
+            surface.append(form)
+            lemma.append(base or form)
+            reading.append(sound or "")
+            pos.append(tags or [])
+            starts.append(start)
+            ends.append(end)
+            known.append(word is not None)
+    kind = _TOKEN_TYPE.value_type
+    columns = (pa.array(c, kind.field(i).type) for i, c in enumerate((surface, lemma, reading, pos, starts, ends, known)))
+    offsets = np.cumsum([0, *map(len, paths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns), fields=list(kind)))
 
 
 def _usable(dictionary: DataFrame) -> DataFrame:
@@ -173,7 +231,8 @@ def _usable(dictionary: DataFrame) -> DataFrame:
 
 
 def _fits(words: DataFrame, rows: int, size: int) -> bool:
-    width = F.octet_length(F.to_json(F.struct(*words.columns)))
+    more = F.octet_length(F.to_json(F.struct(F.nullif("lemma", "surface").alias("lemma"), "reading", "pos")))
+    width = F.length("surface") * 12 + F.octet_length("surface") + more
     counted, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return counted <= rows and total <= size
 
@@ -190,7 +249,8 @@ def _edges_by_join(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 def tokenize(
     df: DataFrame, dictionary: DataFrame | None = None, text: str = "text", out: str = "tokens", runs: str = tx.TOKEN,
-    unknown: int = UNKNOWN, unknown_char: int = UNKNOWN_CHAR, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES,
+    unknown: int = UNKNOWN, unknown_char: int = UNKNOWN_CHAR, most_rows: int = DICTIONARY_WORDS,
+    most_bytes: int = DICTIONARY_BYTES,
 ) -> DataFrame:
     """``df`` with an array ``out`` of the tokens of each text: surface, lemma, reading, pos, start, end, known.
 
@@ -204,10 +264,9 @@ def tokenize(
     if dictionary is not None:
         words = _usable(dictionary)
         if _fits(words, most_rows, most_bytes):
-            table = words.toArrow().to_pylist()
-            trie = Trie([w["surface"] for w in table])
-            entries = {w["surface"]: (w["cost"], (w["lemma"], w["reading"], w["pos"])) for w in table}
-            packed = df.sparkSession.sparkContext.broadcast((trie, [entries[w] for w in trie.words]))
+            table = words.withColumn("lemma", F.nullif("lemma", "surface")).toArrow().sort_by("surface").combine_chunks()
+            trie = Trie(table["surface"].to_pylist())
+            packed = df.sparkSession.sparkContext.broadcast((trie, table["cost"].to_numpy(), table.select(["lemma", "reading", "pos"])))
         else:
             found = _edges_by_join(rows.where("_trimmed <> ''").select(F.col("_trimmed").alias("text")), words)
             rows = rows.withColumn("_digest", F.md5("_trimmed")).join(
@@ -216,26 +275,48 @@ def tokenize(
 
     def run(batches):
         pattern = regex.compile(runs)
-        trie, entries = packed.value if packed else (None, None)
+        trie, costs, entries = packed.value if packed else (None, None, None)
+
+        @lru_cache(1 << 16)
+        def entry(word):
+            return tuple(column[word].as_py() for column in entries.columns)
+
+        described = tuple if entries is None else entry
+
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            edges: list[dict] = [{} for _ in texts]
+            paths: list = [[(0, len(t), None)] if t else [] for t in texts]
+            edges: dict[int, dict] = {}
             if trie is not None:
-                begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                size = np.array([len(t) for t in texts], np.int64)
+                begins = np.cumsum([0, *(size + 1)])
                 place, length, word = trie.matches(texts)
                 owner = np.searchsorted(begins, place, "right") - 1
-                for row, start, n, w in zip(
-                        owner.tolist(), (place - begins[owner]).tolist(), length.tolist(), word.tolist(), strict=True):
-                    cost, what = entries[w]
-                    edges[row].setdefault(start, []).append((start + n, cost, what))
+                place = place - begins[owner]
+                hit = np.unique(owner)
+                short = hit[size[hit] <= SHORT]
+                in_short = size[owner] <= SHORT
+                found = _best_paths([texts[i] for i in short], (
+                    np.searchsorted(short, owner[in_short]), place[in_short], length[in_short],
+                    costs[word[in_short]], word[in_short]), pattern, unknown, unknown_char)
+                for i in short.tolist():
+                    paths[i] = []
+                for row, start, end, w in zip(short[found[0]].tolist(), *(part.tolist() for part in found[1:]), strict=True):
+                    paths[row].append((start, end, w if w >= 0 else None))
+                rest = ~in_short
+                for row, start, n, cost, w in zip(
+                        owner[rest].tolist(), place[rest].tolist(), length[rest].tolist(), costs[word[rest]].tolist(),
+                        word[rest].tolist(), strict=True):
+                    edges.setdefault(row, {}).setdefault(start, []).append((start + n, cost, w))
             elif batch.num_columns > len(names) + 1:
                 for row, listed in enumerate(batch.column(len(names) + 1).to_pylist()):
                     for e in listed or ():
-                        edges[row].setdefault(e["start"], []).append(
+                        edges.setdefault(row, {}).setdefault(e["start"], []).append(
                             (e["start"] + e["n"], e["cost"], (e["lemma"], e["reading"], e["pos"])))
-            tokens = [_tokens(t, e, pattern, unknown, unknown_char) for t, e in zip(texts, edges, strict=True)]
+            for row, held in edges.items():
+                paths[row] = _best_path(texts[row], held, pattern, unknown, unknown_char)
             yield pa.record_batch(
-                [*batch.columns[:len(names)], pa.array(tokens, _TOKEN_TYPE)], schema=pa.schema(
+                [*batch.columns[:len(names)], _token_column(texts, paths, described)], schema=pa.schema(
                     [*[batch.schema.field(i) for i in range(len(names))], pa.field(out, _TOKEN_TYPE)]))
 
     return rows.mapInArrow(run, shape)

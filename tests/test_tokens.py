@@ -64,6 +64,28 @@ def test_without_a_dictionary_a_text_is_one_token(spark):
     assert tk.tokenize(frame.limit(0)).collect() == []
 
 
+def test_a_large_dictionary_goes_to_the_workers(spark, monkeypatch):
+    monkeypatch.delattr(tk, "_edges_by_join")  # a join of all substrings filled the disk from 200,000 words on
+    words = spark.range(210_000).selectExpr(
+        "concat('w', conv(id, 10, 7)) as surface", "concat('l', id) as lemma", "'' as reading", "array('n') as pos", "100 as cost")
+    frame = spark.createDataFrame([("w0w166", ), ("xw12 w0",)], "text string")
+    got = [[(t.surface, t.lemma, t.start, t.known) for t in r.tokens] for r in tk.tokenize(frame, words).collect()]
+    assert got == [[("w0", "l0", 0, True), ("w166", "l97", 2, True)], [("x", "x", 0, False), ("w12", "l9", 1, True), ("w0", "l0", 5, True)]]
+
+
+def test_short_and_long_texts_take_the_same_way(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [("".join(rng.choice("ab c") for _ in range(rng.randrange(1, 5))), rng.randrange(-50, 4_000)) for _ in range(30)]
+    texts = ["".join(rng.choice("abcd。 学") for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    dictionary = spark.createDataFrame([(w, w.upper(), "", [], c) for w, c in words], WORDS)
+    together = tk.tokenize(frame, dictionary).collect()
+    monkeypatch.setattr(tk, "SHORT", -1)
+    single = tk.tokenize(frame, dictionary)
+    joined = tk.tokenize(frame, dictionary, most_rows=0)
+    assert together == joined.orderBy("id").collect() == single.collect()
+
+
 def test_one_long_text(spark):
     text = "ab" * 20_000
     dictionary = spark.createDataFrame([("ab", "ab", "", [], 1), ("ba", "ba", "", [], 1)], WORDS)
