@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.functions.hashing import file_name
+from annolytics.plans.skew import ordered_index
 
 # Media suffixes.
 MEDIA_SUFFIXES = ("jpg", "jpeg", "png")
@@ -43,12 +44,14 @@ def sorted_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def union_catalogs(originals: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Both catalogs; ``shown`` marks the file a lookup by name finds: the
-    original before an upload, then the lowest path."""
+    """Both catalogs; ``shown`` marks the one file a lookup by name finds: the
+    original before an upload, then the lowest path, of files with one path the
+    smallest by the other columns. Files without a name share a null one."""
     both = originals.withColumn("kind", F.lit("original")).unionByName(uploads.withColumn("kind", F.lit("uploaded")))
-    first = both.groupBy("filename").agg(F.min(F.struct("kind", "path")).alias("_first"))
-    return both.join(first, "filename").withColumn(
-        "shown", F.struct("kind", "path") == F.col("_first")).drop("_first")
+    rest = [c for c in both.columns if c not in ("filename", "kind", "path")]
+    # Null paths come last.
+    order = ["kind", F.col("path").asc_nulls_last(), *rest]
+    return ordered_index(both, ["filename"], order, "_place").withColumn("shown", F.col("_place") == 1).drop("_place")
 
 
 # Files a recogniser model folder needs.

@@ -18,7 +18,7 @@ from annolytics.operators import lexicon as lo
 from annolytics.operators import ordering as od
 from annolytics.operators import spatial as sp
 from annolytics.operators import windows as wi
-from annolytics.sources import dimensions, documents
+from annolytics.sources import dimensions, documents, media
 from annolytics.streaming import jobs
 
 
@@ -362,3 +362,10 @@ def test_translation_job_reports_its_own_success(spark):
         "a": (3, 3, 1, True, "engine"), "b": (1, 0, 1, False, "engine"), "c": (0, 0, 0, True, "engine")}
     none, empty = wi.translation_job(notes.where("false"), model, "engine")
     assert none.count() == 0 and empty.count() == 0
+
+
+def test_one_file_of_a_name_is_shown(spark):
+    files = spark.createDataFrame([("b/x", "x", 3), ("a/x", "x", 2), ("a/x", "x", 1), ("a/x", "x", 1), (None, None, 5)], "path string, filename string, size int")
+    rows = media.union_catalogs(files, files).where("shown").select("path", "filename", "size", "kind").collect()
+    assert sorted(map(tuple, rows), key=str) == [("a/x", "x", 1, "original"), (None, None, 5, "original")]
+    assert media.union_catalogs(files, files).count() == 10
