@@ -44,3 +44,19 @@ def test_a_crowded_spot_and_a_page_wide_rectangle(spark):
     assert listed.count() <= 4_000 * 6
     pairs = cells.cell_pairs(small.unionByName(wide), small.unionByName(wide), ["panel_id"], self_order=F.col("a.ord") < F.col("b.ord"))
     assert pairs.count() == 4_000
+
+
+def test_few_rectangles_of_a_key_move_once(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, i, x, y, x + rng.randrange(0, 90), y + rng.randrange(0, 90), 1) for k, n in ((1, 40), (2, 12), (None, 3), (3, 300))
+            for i, (x, y) in enumerate((rng.randrange(300), rng.randrange(300)) for _ in range(n))]
+    frame = spark.createDataFrame(rows, "panel_id int, ord int, x1 int, y1 int, x2 int, y2 int, copies int")
+    order = F.col("a.ord") < F.col("b.ord")
+    for reach in (None, F.lit(7)):
+        ways = [cells.cell_pairs(f, f, ["panel_id"], reach, self_order=order, sources=s) for f, s in (
+            (frame, []), (frame, [frame]), (frame.where("panel_id < 3"), []), (frame.where("panel_id < 3"), [frame.where("panel_id < 3")]))]
+        found = [sorted((r.panel_id, r.a.ord, r.b.ord) for r in way.select("panel_id", "a", "b").collect()) for way in ways]
+        assert found[0] == found[1] and found[2] == found[3] and 0 < len(found[2]) < len(found[0])
+    monkeypatch.delattr(cells, "_listed")
+    few = frame.where("panel_id < 3")
+    assert cells.cell_pairs(few, few, ["panel_id"], sources=[few]).count() > 52
