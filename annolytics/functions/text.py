@@ -302,12 +302,17 @@ def run_lines(text: Column) -> Column:
     return F.array_join(script_runs(text), "\n")
 
 
+def usable_hints(hints: Sequence[str], script: str = SCRIPT) -> list[str]:
+    """Hints that make an unanalysed token known: in script or free of Latin letters and digits."""
+    return [h for h in hints if re.search(script, h) or not re.search(f"{LATIN}|{DIGIT}", h)]
+
+
 def run_counts(lines: Column, script: str = SCRIPT, hints: Sequence[str] = ()) -> dict[str, Column]:
     """The same counts for unanalysed tokens, one per line: a handful of regular
     expression passes over the whole text instead of a rule per token. Without
     analysis a token is known only as a hint, in script or free of Latin letters
     and digits."""
-    usable = [h for h in hints if re.search(script, h) or not re.search(f"{LATIN}|{DIGIT}", h)]
+    usable = usable_hints(hints, script)
     breaks = F.length(lines) - F.length(F.replace(lines, F.lit("\n"), F.lit("")))
     tokens = F.when(F.length(lines) > 0, breaks + 1).otherwise(0)
     signs = count_chars(lines, rf"[^\p{{L}}\p{{N}}{SCRIPT[1:-1]}{script[1:-1]}\n]")

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from annolytics.functions import measures as ms
 from annolytics.functions import text as tx
 from annolytics.functions.hashing import md5_text
 from annolytics.plans.skew import top_rows
-from annolytics.plans.storage import settle
+from annolytics.plans.storage import bound_batches, settle
 
 ROTATED = "_rot90_"
 
@@ -87,17 +90,22 @@ def measure_candidates(
     candidates: DataFrame, script: str = tx.SCRIPT, hints: Sequence[str] = (), plausibility: bool = True,
 ) -> DataFrame:
     """Everything the score needs from a candidate's text, without the text: a
-    row-by-row pass where the data lies, before any shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = f"[^{script[1:-1]}{tx.ORDINARY_MARKS}" + r"\p{L}\p{N}_]"
-    rated = with_plausibility(candidates, script, hints) if plausibility else candidates.withColumn("p_score", F.lit(0.0))
-    return rated.select(
-        "region_id", "ord", "variant", "error", "expected", _digest().alias("digest"), F.col("p_score").alias("plausible"),
-        F.length(text).alias("chars"), tx.count_chars(text, script).alias("script_chars"),
-        (tx.count_signs(text, "�?") + tx.count_matches(text, "ï¿½")).alias("bad_chars"),
-        tx.count_chars(text, odd).alias("odd_chars"), tx.has_replacement(text).alias("marked"),
-        tx.repeated_run(text).alias("run"),
-    )
+    batch-by-batch pass where the data lies, before any shuffle."""
+    kept = ["region_id", "ord", "variant", "error", "expected"]
+    rows = candidates.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    usable = tx.usable_hints(hints, script)
+    bound_batches(candidates.sparkSession)
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:len(kept)], *ms.measured(batch.column(len(kept)), script, usable)], names)
+
+    shape = T.StructType([*rows.schema.fields[:len(kept)], *T._parse_datatype_string(ms.MEASURES).fields])
+    names = shape.names
+    measured = rows.mapInArrow(measure, shape)
+    score = tx.plausibility({k: F.col(k) for k in ("script_chars", "shown_chars", "scored", "native", "known", "latin", "tokens")})["score"]
+    return measured.withColumn("plausible", score if plausibility else F.lit(0.0)).select(
+        *kept, "digest", "plausible", "chars", "script_chars", "bad_chars", "odd_chars", "marked", "run")
 
 
 def score_candidates(
