@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes. A caller with texts in another script
 # passes its own class wherever one is a parameter.
@@ -185,6 +188,35 @@ def katakana_to_hiragana(text: Column) -> Column:
     return F.translate(text, KATAKANA, HIRAGANA)
 
 
+_PAIRED = tuple((k, r) for k, r in ROMAJI.items() if len(k) == 2)
+_SINGLE = {ord(k): r for k, r in ROMAJI.items() if len(k) == 1}
+_HIRAGANA = dict(zip(map(ord, KATAKANA), HIRAGANA, strict=True))
+_MARKS = regex.compile("(っ[っー]*ー)(?![っー])")
+_CROWDED = regex.compile("っ(?=[っー])")
+_DOUBLED = regex.compile(rf"っ([\p{{L}}--[{_READ}っー]])", regex.V1)
+_LONG = regex.compile("([aeiou]?)(ー+)")
+
+
+def _romaji(text: str) -> str:
+    text = text.translate(_HIRAGANA)
+    if "っ" in text:
+        text = _CROWDED.sub("", _MARKS.sub(r"\1っ", text))
+        text = _DOUBLED.sub(r"\1\1", text.replace("っん", "ん").replace("っn", "n"))
+    for kana, roman in _PAIRED:
+        text = text.replace(kana, roman)
+    text = text.translate(_SINGLE)
+    if "ー" in text:
+        text = _LONG.sub(lambda m: m[1] + m[1] * len(m[2]), text)
+    if "っ" in text:
+        text = regex.sub("っ([a-z])", r"\1\1", text.replace("っch", "tch")).replace("っ", "")
+    return text
+
+
+@F.pandas_udf(StringType())
+def _romanised(texts: pd.Series) -> pd.Series:
+    return texts.map(_romaji, na_action="ignore")
+
+
 def kana_to_romaji(text: Column) -> Column:
     """Hepburn romanisation; characters outside the tables pass through.
 
@@ -194,6 +226,11 @@ def kana_to_romaji(text: Column) -> Column:
     ones move to the front and one doubling mark stays at the end, so that each
     kind sees its own neighbour.
     """
+    return _romanised(text.cast("string"))
+
+
+def _short_romaji(text: Column) -> Column:
+    """The same as built-in functions, for parts inside an array, which no user function reaches."""
     text = katakana_to_hiragana(text)
     text = F.regexp_replace(text, "(っ[っー]*ー)(?![っー])", "$1っ")
     text = F.regexp_replace(text, "っ(?=[っー])", "")
@@ -212,7 +249,7 @@ def structured_readings(readings: Column) -> Column:
     def one(kana: Column) -> Column:
         parts = F.split(kana, r"(?=[.-])|(?<=[.-])")
         roman = F.transform(parts, lambda p: F.when(p.isin(".", "-"), p).otherwise(
-            F.replace(kana_to_romaji(p), F.lit(" "), F.lit(""))))
+            F.replace(_short_romaji(p), F.lit(" "), F.lit(""))))
         return F.struct(kana.alias("kana"), F.array_join(roman, "").alias("romaji"))
 
     kept = F.filter(F.transform(readings, lambda r: F.btrim(r)), lambda r: F.length(r) > 0)
