@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import Counter
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column
@@ -159,10 +160,35 @@ def wanted_section(sections: Column, chapter: str = "chinese", titles: tuple[str
 PATH_PATTERN = r"^[MmLlHhVvCcSsQqTtAaZzEe0-9.,+\-\s]+$"
 
 
+def _path_data(document: str) -> list[str] | None:
+    """The d attributes of all path elements in order, whatever their prefixes."""
+    if not document:
+        return None
+    found: list[str] = []
+
+    def local(name: str) -> str:
+        return name.partition(":")[2] or name
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        if local(name) == "path":
+            found.extend(value for key, value in sorted(attributes.items()) if local(key) == "d" and not key.startswith("xmlns:"))
+
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler = start
+    parser.Parse(document.encode(), True)
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paths(documents: pd.Series) -> pd.Series:
+    return documents.map(_path_data, na_action="ignore")
+
+
 def stroke_paths(xml: Column, paths: int | None = None, length: int | None = None) -> Column:
     """Safe path data of an SVG document; a report may take the first ``paths``
-    of those no longer than ``length``."""
-    found = F.transform(F.xpath(xml, F.lit("//*[local-name()='path']/@d")), lambda d: F.btrim(d))
+    of those no longer than ``length``. One pass of a parser over its tags, no
+    tree; null or empty gives null, and what is no XML is an error."""
+    found = F.transform(_paths(xml.cast("string")), lambda d: F.btrim(d))
     safe = F.filter(found, lambda d: d.rlike(PATH_PATTERN))
     if length is not None:
         safe = F.filter(safe, lambda d: F.length(d) <= length)
