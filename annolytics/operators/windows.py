@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 from annolytics.functions.responses import aligned_translations, response_parts
 from annolytics.operators import annotations as an
 from annolytics.plans.skew import ordered_index
-from annolytics.plans.storage import settle
+from annolytics.plans.storage import bound_batches, settle
 
 # Lines per window, and how many of them are targets.
 WINDOW_LINES, TARGET_LINES = 10, 8
+# Prompts that one call of a model gets at most.
+MODEL_ROWS = 256
 
 # Names of target languages.
 LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}
@@ -114,15 +116,20 @@ def window_debug(windows: DataFrame) -> DataFrame:
 
 
 def call_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], column: str = "raw") -> DataFrame:
-    """Prompts with the model's raw answers. ``model`` maps a batch of prompts to
-    answers; it runs on the executors, once per Arrow batch."""
+    """Prompts with the model's raw answers. ``model`` maps prompts to answers; it runs on
+    the executors, on at most ``MODEL_ROWS`` prompts at a time, so a task never holds more."""
     schema = T.StructType([*prompts.schema.fields, T.StructField(column, T.StringType())])
+    at, most = prompts.columns.index("prompt"), MODEL_ROWS
+    bound_batches(prompts.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{column: model(batch["prompt"].tolist())})
+            for first in range(0, batch.num_rows, most):
+                part = batch.slice(first, most)
+                answers = pa.array(model(part.column(at).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, answers], schema.names)
 
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, schema)
 
 
 def read_answers(answered: DataFrame, raw: str = "raw", ids: str = "target_ids") -> DataFrame:
