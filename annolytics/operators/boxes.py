@@ -264,15 +264,22 @@ def upper_median_height(boxes: DataFrame) -> DataFrame:
     The discrete percentile over descending heights keeps one counter per
     distinct height, so no panel's boxes are gathered.
     """
-    tall = F.greatest(F.lit(1), F.coalesce(F.col("height"), F.lit(1)))
     median = F.expr("percentile_disc(0.5) within group (order by _tall desc)")
     return (
-        boxes.withColumn("_tall", tall).groupBy("panel_id")
+        boxes.withColumn("_tall", tall_enough(F.col("height"))).groupBy("panel_id")
         .agg(median.cast("int").alias("median_height"))
-        .withColumn("row_tolerance", F.greatest(F.lit(24), (F.col("median_height") * F.lit(0.7)).cast("int")))
+        .withColumn("row_tolerance", row_tolerance(F.col("median_height")))
     )
 
 
+def tall_enough(height: Column) -> Column:
+    return F.greatest(F.lit(1), F.coalesce(height, F.lit(1)))
+
+
+def row_tolerance(median_height: Column) -> Column:
+    return F.greatest(F.lit(24), (median_height * F.lit(0.7)).cast("int"))
+
+
 def group_extent(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest rectangle around all members of a group, with their number."""
     return df.groupBy(*keys).agg(

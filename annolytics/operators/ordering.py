@@ -11,9 +11,9 @@ from pyspark.sql.types import StringType
 
 from annolytics.functions import geometry as g
 from annolytics.functions.hashing import file_stem
-from annolytics.operators.boxes import upper_median_height
-from annolytics.plans.folds import first_fit
-from annolytics.plans.skew import FOLD_ROWS, WINDOW_ROWS, ordered_index, running_total, top_rows, with_previous
+from annolytics.operators.boxes import row_tolerance, tall_enough, upper_median_height
+from annolytics.plans.folds import first_fit, fold, once
+from annolytics.plans.skew import FOLD_ROWS, WINDOW_ROWS, ordered_index, running_total, split_groups, top_rows, with_previous
 from annolytics.plans.storage import settle
 
 
@@ -26,9 +26,57 @@ def reading_bands(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     right to left inside a row.
 
     Boxes come in order of (y, -x); each joins the first band whose mean centre
-    is within the panel's row tolerance. Boxes at one place follow each other;
-    if they share a height they land in one band (their centre pulls its mean
-    closer), so they enter as one weighted node, and copies cost nothing.
+    is within the panel's row tolerance. Ordinary panels are gathered once, and
+    tolerance, bands and order come from the panel's own array; give only the
+    columns that are needed. Crowded panels go by joins.
+    """
+    ordinary, heavy = split_groups(boxes, ["panel_id"], fold_rows)
+    result = _gathered_bands(ordinary)
+    return result if heavy is None else result.unionByName(_crowded_bands(settle(heavy), fold_rows))
+
+
+def _near(band: Column, node: Column) -> Column:
+    return F.abs(node["center"] - band["total"] / band["n"]) <= node["row_tolerance"]
+
+
+def _widened(band: Column, node: Column) -> Column:
+    return F.struct((band["total"] + node["center"] * node["n"]).alias("total"), (band["n"] + node["n"]).alias("n"))
+
+
+def _new_band(node: Column) -> Column:
+    return F.struct((node["center"] * node["n"]).alias("total"), node["n"].alias("n"))
+
+
+_BAND = "struct<total:double,n:bigint>"
+
+
+def _gathered_bands(boxes: DataFrame) -> DataFrame:
+    """Bands of panels that fit into one array each."""
+    row = F.struct(*(F.col(c) for c in boxes.columns if c != "panel_id"))
+    # y, -x and ord decide the order; the rest of the struct is the row.
+    entry = F.struct(
+        F.col("y").alias("_y"), (-F.col("x")).alias("_x"), F.col("ord").alias("_o"),
+        (F.col("y") + F.col("height") / 2).alias("center"), F.lit(1).cast("bigint").alias("n"), row.alias("row"))
+    panels = boxes.where("panel_id is not null").groupBy("panel_id").agg(F.array_sort(F.collect_list(entry)).alias("nodes"))
+    heights = F.array_sort(F.transform("nodes", lambda n: tall_enough(n["row"]["height"])))
+    middle = F.get(heights, F.floor(F.size("nodes") / 2).cast("int")).cast("int")
+    nodes = once(row_tolerance(middle), lambda near: F.transform("nodes", lambda n: F.struct(
+        n["center"].alias("center"), n["n"].alias("n"), near.alias("row_tolerance"))))
+    none = F.array().cast(f"array<{_BAND}>")
+    banded = panels.withColumn("member_of", fold(nodes, none, _near, _widened, _new_band)["member_of"])
+    inside = F.array_sort(F.zip_with("nodes", "member_of", lambda n, band: F.struct(
+        band.alias("band"), (-(n["row"]["x"] + n["row"]["width"] / 2)).alias("_c"), n["_y"], n["_x"], n["_o"], n["row"].alias("row"))))
+    placed = banded.select("panel_id", F.posexplode(inside).alias("_at", "_e"))
+    shown = (F.col("panel_id") if c == "panel_id" else F.col(f"_e.row.{c}").alias(c) for c in boxes.columns)
+    return placed.select(*shown, F.col("_e.band").alias("band"), (F.col("_at") + 1).cast("bigint").alias("reading_order"))
+
+
+def _crowded_bands(boxes: DataFrame, fold_rows: int) -> DataFrame:
+    """The same by joins.
+
+    Boxes at one place follow each other; if they share a height they land in
+    one band (their centre pulls its mean closer), so they enter as one
+    weighted node, and copies cost nothing.
     """
     spot = ["panel_id", "y", "x"]
     mixed = boxes.groupBy(*spot).agg((F.min("height") != F.max("height")).alias("_mixed"))
@@ -41,11 +89,7 @@ def reading_bands(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     )
     bands = first_fit(
         nodes, ["panel_id"], [F.col("y"), -F.col("x"), F.col("_tie")],
-        [*place, "center", "n", "row_tolerance"], "struct<total:double,n:bigint>",
-        matches=lambda band, node: F.abs(node["center"] - band["total"] / band["n"]) <= node["row_tolerance"],
-        absorb=lambda band, node: F.struct(
-            (band["total"] + node["center"] * node["n"]).alias("total"), (band["n"] + node["n"]).alias("n")),
-        opened=lambda node: F.struct((node["center"] * node["n"]).alias("total"), node["n"].alias("n")),
+        [*place, "center", "n", "row_tolerance"], _BAND, matches=_near, absorb=_widened, opened=_new_band,
         limit=fold_rows,
         # A band's mean lies among its centres, so centres further apart than the tolerance never meet.
         interval=(F.col("center"), F.col("center") + F.col("row_tolerance") + SLACK),

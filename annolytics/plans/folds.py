@@ -23,9 +23,15 @@ from annolytics.plans.skew import FOLD_ROWS, join_groups, ordered_index, reach_b
 from annolytics.plans.storage import settle
 
 Rule = Callable[[Column, Column], Column]
+Use = Callable[[Column], Column]
 
 
-def _fold(
+def once(value: Column, use: Use) -> Column:
+    """``use(value)`` where value is evaluated once, also if ``use`` needs it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fold(
     nodes: Column, groups: Column, matches: Rule, absorb: Rule, opened: Callable[[Column], Column],
 ) -> Column:
     """Struct of the groups after the pass, and each node's 1-based group."""
@@ -42,7 +48,7 @@ def _fold(
             number = F.when(found > 0, found).otherwise(F.size(state["groups"]) + 1).cast("bigint")
             return F.struct(extended.alias("groups"), F.array_append(state["member_of"], number).alias("member_of"))
 
-        return F.element_at(F.transform(F.array(hit), place), 1)
+        return once(hit, place)
 
     return F.aggregate(nodes, start, step)
 
@@ -98,7 +104,7 @@ def first_fit(
 
     ordinary, heavy = split_groups(rows, keys, limit)
     gathered = ordinary.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    result = assigned(gathered.withColumn("_f", _fold(F.col("nodes"), none, matches, absorb, opened)))
+    result = assigned(gathered.withColumn("_f", fold(F.col("nodes"), none, matches, absorb, opened)))
     if heavy is None:
         return result
     numbered = ordered_index(heavy, keys, names, "_i").withColumn(
@@ -113,7 +119,7 @@ def first_fit(
         )
         folded = settle(
             join_groups(chunk, groups, keys)
-            .withColumn("_f", _fold(F.col("nodes"), F.col("groups"), matches, absorb, opened))
+            .withColumn("_f", fold(F.col("nodes"), F.col("groups"), matches, absorb, opened))
         )
         result = result.unionByName(assigned(folded))
         groups = folded.select(*keys, F.col("_f.groups").alias("groups"))
