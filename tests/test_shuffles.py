@@ -6,6 +6,7 @@ import re
 
 import pytest
 from annolytics.operators import ordering as od
+from annolytics.operators import spatial as sp
 from annolytics.plans import skew
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,19 @@ def test_median_and_ties_of_gathered_bands(spark, size):
     assert gathered == crowded and len(gathered) == size
 
 
+def test_suppression_moves_once(large, frame):
+    assert len(moves(sp.suppress_overlaps(frame))) == 1
+
+
+def test_copies_lose_alike_in_both_ways(spark):
+    rows = [(p, i, x, 0, x + 10, 10, line) for p in (1, 2) for i, (x, line) in enumerate(
+        [(0, 1), (0, 1), (2, 2), (0, 1), (2, 2), (40, 1), (40, 3), (40, 1), (44, 2)], 1)]
+    df = spark.createDataFrame(rows, "panel_id int, ord int, x1 int, y1 int, x2 int, y2 int, line_count int")
+    columns = ["panel_id", "ord", "suppressed_by"]
+    ways = [{tuple(r) for r in sp.suppress_overlaps(df, fold_rows=limit).select(columns).collect()} for limit in (500, 8, 1)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len(rows)
+
+
 def test_keys_of_crowded_buckets_are_counted(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKET_ROWS", 1)
     monkeypatch.setattr(skew, "BUCKETS", 3)
