@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -148,7 +148,32 @@ def split_by_gap(lines: DataFrame, keys: Sequence[str], limit: int = WINDOW_ROWS
     keys = list(keys)
     order = ["distance", "ord"]
     here = lines.withColumn("_box", F.struct("x1", "y1", "x2", "y2"))
-    here = with_previous(here, keys, order, ["distance", "first_y", "_box"], "_prev", limit)
+    ordinary, heavy = split_groups(here, keys, limit)
+    # Ordinary keys: all steps look back in one order, so one shuffle and one sort serve them.
+    back = Window.partitionBy(*keys).orderBy(*order)
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    marked = _own_decisions(ordinary.withColumn("_prev", F.lag(F.struct("distance", "first_y", "_box")).over(back)))
+    placed = marked.withColumn("_at", F.row_number().over(back))
+    decider = F.when(F.col("_own").isNotNull(), F.struct("_own", "_at"))
+    placed = placed.withColumn("_run", F.last(decider, ignorenulls=True).over(upto))
+    starts = _starts(F.col("_run._own"), F.col("_at") - F.col("_run._at") + 1).cast("bigint")
+    result = placed.withColumn("sub_block", F.sum(starts).over(upto)).drop("_own", "_at", "_run")
+    if heavy is None:
+        return result
+    here = with_previous(heavy, keys, order, ["distance", "first_y", "_box"], "_prev", limit)
+    marked = _own_decisions(here)
+    runs = running_total(marked, keys, order, F.col("_own").isNotNull().cast("int"), "_run", limit)
+    placed = ordered_index(runs, [*keys, "_run"], order, "_step", limit)
+    deciders = runs.where(F.col("_own").isNotNull()).select(*keys, "_run", F.col("_own").alias("_start"))
+    joined = placed.join(deciders, [*keys, "_run"])
+    starts = _starts(F.col("_start"), F.col("_step"))
+    numbered = running_total(joined.withColumn("_starts", starts), keys, order, F.col("_starts").cast("int"),
+                             "sub_block", limit)
+    return result.unionByName(numbered.drop("_own", "_run", "_step", "_start", "_starts"))
+
+
+def _own_decisions(lines: DataFrame) -> DataFrame:
+    """Lines with ``_own``: whether they start a block, null where they negate the decision before."""
     apart = g.overlap(g.rect(), g.rect_in(F.col("_prev._box"))) <= 0
     step = F.abs(F.col("distance") - F.col("_prev.distance"))
     far = apart & (step > F.col("font_size") * 2)
@@ -158,17 +183,14 @@ def split_by_gap(lines: DataFrame, keys: Sequence[str], limit: int = WINDOW_ROWS
     )
     first = F.col("_prev").isNull()
     surely = first | far | (shifted & (step > F.col("font_size")))
-    marked = here.withColumn(
+    return lines.withColumn(
         "_own", F.when(surely, F.lit(True)).when(~shifted, F.lit(False))
     ).drop("_prev", "_box")
-    runs = running_total(marked, keys, order, F.col("_own").isNotNull().cast("int"), "_run", limit)
-    placed = ordered_index(runs, [*keys, "_run"], order, "_step", limit)
-    deciders = runs.where(F.col("_own").isNotNull()).select(*keys, "_run", F.col("_own").alias("_start"))
-    joined = placed.join(deciders, [*keys, "_run"])
-    starts = F.when(F.col("_step") % 2 == 1, F.col("_start")).otherwise(~F.col("_start"))
-    numbered = running_total(joined.withColumn("_starts", starts), keys, order, F.col("_starts").cast("int"),
-                             "sub_block", limit)
-    return numbered.drop("_own", "_run", "_step", "_start", "_starts")
+
+
+def _starts(decided: Column, step: Column) -> Column:
+    """The decision ``step`` lines into a run that begins with ``decided``."""
+    return F.when(step % 2 == 1, decided).otherwise(~decided)
 
 
 def cluster_lines(

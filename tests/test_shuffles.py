@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 from annolytics.operators import ordering as od
 from annolytics.operators import spatial as sp
 from annolytics.plans import skew
@@ -57,6 +59,13 @@ def test_copies_lose_alike_in_both_ways(spark):
     assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len(rows)
 
 
+def test_split_by_gap_moves_once(large, frame):
+    lines = frame.withColumns({
+        "distance": (F.col("x") + F.col("y")).cast("double"), "first_y": F.col("y"), "font_size": F.lit(9),
+        "vertical": F.lit(True), "angle": F.lit(0)})
+    assert len(moves(od.split_by_gap(lines, ["panel_id"]))) == 1
+
+
 def test_keys_of_crowded_buckets_are_counted(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKET_ROWS", 1)
     monkeypatch.setattr(skew, "BUCKETS", 3)
