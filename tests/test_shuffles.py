@@ -7,10 +7,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from annolytics.operators import ordering as od
 from annolytics.operators import spatial as sp
 from annolytics.plans import skew
 
+FOLDER = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     spots = spark.range(60).selectExpr(
@@ -66,6 +70,12 @@ def test_split_by_gap_moves_once(large, frame):
     assert len(moves(od.split_by_gap(lines, ["panel_id"]))) == 1
 
 
+@pytest.mark.parametrize("name", ["incremental_targets"])
+def test_box_state_moves_by_panel_only(spark, large, name):
+    keys = moves(entry.queries()[name](spark, FOLDER))
+    assert keys and not [k for k in keys if "region_id" in k]
+
+
 def test_keys_of_crowded_buckets_are_counted(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKET_ROWS", 1)
     monkeypatch.setattr(skew, "BUCKETS", 3)
