@@ -70,7 +70,7 @@ def test_split_by_gap_moves_once(large, frame):
     assert len(moves(od.split_by_gap(lines, ["panel_id"]))) == 1
 
 
-@pytest.mark.parametrize("name", ["incremental_targets", "apply_partial_result"])
+@pytest.mark.parametrize("name", ["incremental_targets", "apply_partial_result", "apply_overrides"])
 def test_box_state_moves_by_panel_only(spark, large, name):
     keys = moves(entry.queries()[name](spark, FOLDER))
     assert keys and not [k for k in keys if "region_id" in k]
