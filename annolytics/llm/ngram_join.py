@@ -230,6 +230,24 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return single.unionByName(first.select(f"{least}.*"))
 
 
+def _meetings(crossing: DataFrame, similarity: Fraction, needed: str) -> DataFrame:
+    """Rows (token, a, a_n, b, b_n) that hold every pair of different components that may link.
+
+    Two bounds hold at the first token that a pair shares, so only there and shortly after it
+    do the two meet. The smaller of two linked sets has one in a shorter prefix: what they
+    share is at least 2 s / (1 + s) of it. And all the tokens they need in common come
+    from this one on, in both prefixes: a passage that is too short for that joins nothing.
+    """
+    top, bottom = similarity.numerator, similarity.denominator
+    left, right = (
+        crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"),
+            F.col("rest").alias(f"{side}_rest"), F.col("component").alias(f"{side}_c"))
+        for side in ("a", "b"))
+    left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1")
+    met = left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))")
+    return met.where(f"least(a_rest, b_rest) >= {needed}")
+
+
 def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fraction, orders: int) -> DataFrame:
     """The rows of :func:`similarity_classes` with ``row``, the row's name, and ``head``,
     the (none, doc_id, row) that stands for its class."""
@@ -291,14 +309,14 @@ def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fract
         )
 
     def split(label: DataFrame | None) -> DataFrame:
-        """(token, node, n, pos, component, k, cross, nodes) of tokens that join different
+        """(token, node, n, pos, component, rest, cross, nodes) of tokens that join different
         components; ``cross`` counts the pairs of nodes such a token would make,
-        ``k`` the prefix tokens that a node shares with any other."""
+        ``rest`` the prefix tokens from this one on that a node shares with any other."""
         found = rows.withColumn("component", F.col("node"))
         if label is not None:
             found = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        shares = F.count(F.lit(1)).over(Window.partitionBy("node"))
-        found = found.select("token", "node", "n", "pos", "component", shares.alias("k"))
+        onwards = Window.partitionBy("node").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+        found = found.select("token", "node", "n", "pos", "component", F.count(F.lit(1)).over(onwards).alias("rest"))
         each = found.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
             F.sum("k").alias("nodes"), F.sum(F.col("k") * F.col("k")).alias("own"))
         each = each.select("token", "nodes", ((F.col("nodes") * F.col("nodes") - F.col("own")) / 2).alias("cross")).where("cross > 0")
@@ -327,15 +345,8 @@ def _classes(docs: DataFrame, text: str, key: str, width: int, similarity: Fract
         label = components(links)
         crossing = split(label)
 
-    # All pairs of different components that share enough tokens. The smaller of two linked sets
-    # has one in a shorter prefix: what they share is at least 2 s / (1 + s) of it.
-    left, right = (
-        crossing.select("token", F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("k").alias(f"{side}_k"),
-            F.col("component").alias(f"{side}_c"))
-        for side in ("a", "b"))
-    left = left.where(f"a_pos < a_n - ceil({2 * top} * a_n / {top + bottom}) + 1")
-    rest = left.join(right, "token").where("a_c <> b_c and (a_n < b_n or (a_n = b_n and a < b))")
-    rest = near(rest.where(f"least(a_k, b_k) >= {needed}"), 0)
+    # All pairs of different components that share enough tokens.
+    rest = near(_meetings(crossing, similarity, needed), 0)
     more = keep(_verified(named(rest), texts, shared, width, similarity, orders), "links")
     links = more if links is None else links.unionByName(more)
     label = components(links)

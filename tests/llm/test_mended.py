@@ -40,3 +40,16 @@ def test_stages_keep_columns_that_look_like_their_own(spark):
         assert stage(docs.limit(0)).collect() == []
     assert {r.doc_id: r.text for r in line_dedup.with_kept_lines(docs).collect()}[3] == "other"
     assert sorted(r.doc_id or 0 for r in ngram_join.one_of_each(docs).collect()) == [0, 1, 3, 4]
+
+
+def test_a_passage_joins_sets_where_enough_of_it_is_left(spark):
+    def rows(length):
+        crossing = spark.createDataFrame(
+            [(token, node, 100, token, node, length - token) for node in range(20) for token in range(length)],
+            "token long, node long, n long, pos int, component long, rest long")
+        met = ngram_join._meetings(crossing, ngram_join.SIMILARITY, "16")
+        return met.count(), met.select("a", "b").distinct().count()
+
+    # 16 of 100 tokens are needed: 18 shared ones meet at three places, not at all that the shorter prefix has.
+    assert rows(18) == (190 * 3, 190)
+    assert rows(15) == (0, 0)
