@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.functions import geometry as g
@@ -17,12 +17,18 @@ from annolytics.functions.hashing import box_signature, region_id
 from annolytics.plans.skew import by, ordered_index
 
 KEYS = ["panel_id", "region_id"]
+# Columns that a box's signature is made of.
+SIGNED = ("x", "y", "width", "height", "vertical", "forced_orientation")
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _keyed() -> Column:
+    return F.col("panel_id").isNotNull() & F.col("region_id").isNotNull()
+
+
 def normalize_boxes(df: DataFrame, source: str = "manual") -> DataFrame:
     """Clamp geometry, settle the orientation, and fill id, source and flags."""
     x = F.greatest(F.lit(0), F.coalesce(F.col("x").cast("int"), F.lit(0)))
@@ -46,8 +52,7 @@ def normalize_boxes(df: DataFrame, source: str = "manual") -> DataFrame:
 
 
 def with_signature(df: DataFrame, name: str = "box_signature") -> DataFrame:
-    return df.withColumn(name, box_signature(
-        *(F.col(c) for c in ("x", "y", "width", "height", "vertical", "forced_orientation"))))
+    return df.withColumn(name, box_signature(*(F.col(c) for c in SIGNED)))
 
 
 def with_polygon(df: DataFrame, name: str = "polygon") -> DataFrame:
@@ -238,24 +243,71 @@ def apply_partial_result(
     their box, and a detected target without an answer is dropped. It is the
     upsert a table MERGE does, written as whole new tables.
     """
-    asked = targets.select(*KEYS).distinct()
-    signed = with_signature(boxes.join(asked, KEYS, "left_semi")).select(*KEYS, "box_signature")
-    answers = returned.drop("box_signature").join(signed, KEYS)
-    kept = annotations.join(asked, KEYS, "left_anti")
-    new_annotations = kept.unionByName(answers.select(kept.columns))
-    state = (
-        boxes
-        .join(asked.withColumn("_asked", F.lit(True)), KEYS, "left")
-        .join(answers.select(*KEYS).distinct().withColumn("_answered", F.lit(True)), KEYS, "left")
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*KEYS, F.struct(*(c for c in df.columns if c not in KEYS)).alias(name))
+
+    payload = [c for c in annotations.columns if c != "box_signature"]
+    rows = packed(boxes, "box")
+    for other in (
+        packed(annotations, "stored"), packed(returned.select(*payload), "answer"),
+        targets.select(*KEYS).distinct().withColumn("asked", F.lit(True)),
+    ):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return partial_boxes(rows), partial_annotations(rows)
+
+
+def partial_annotations(said: DataFrame) -> DataFrame:
+    """New annotations, from rows of one table that say something about a region: ``asked`` (it is a
+    target), ``box``, ``stored`` (annotation) and ``answer``, structs without the keys.
+
+    A row may say several of these; what it does not say is null. Rows without a panel or region
+    have no counterpart.
+    """
+    held = said.select("stored.*").columns
+    rows = said.select(
+        *KEYS, "stored", "answer", F.coalesce(F.col("asked") & _keyed(), F.lit(False)).alias("_asked"),
+        F.when(F.col("box").isNotNull() & _keyed(), F.struct(*(F.col("box")[c].alias(c) for c in SIGNED))).alias("_box"),
+        F.when(~_keyed(), F.xxhash64(F.to_json("stored"))).alias("_alone"),
+        F.col("answer").isNotNull().cast("int").alias("_answers"),
+    )
+    region = Window.partitionBy(*KEYS, "_alone").orderBy("_answers")
+    answered = F.when(F.col("_answers") == 1, F.col("_box"))
+    met = rows.withColumns({
+        "_asked": F.max("_asked").over(region.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        # Only rows with an answer get the boxes, those of rows without one and those of their own kind.
+        "_boxes": F.concat(
+            F.collect_list("_box").over(region.rangeBetween(-1, -1)),
+            F.collect_list(answered).over(region.rangeBetween(Window.currentRow, Window.currentRow))),
+    })
+    # An answer counts for each box of its region, a stored annotation once.
+    counts = (
+        F.when(F.col("_asked") & F.col("answer").isNotNull(), F.col("_boxes"))
+        .when(~F.col("_asked") & F.col("stored").isNotNull(), F.array("_box"))
     )
-    lost = F.col("_asked").isNotNull() & F.col("_answered").isNull()
-    new_boxes = (
-        state.where(~(lost & (F.col("source") == "detected")))
-        .withColumn("computed", F.when(F.col("_asked").isNotNull(), F.col("_answered").isNotNull())
-                    .otherwise(F.col("computed")))
-        .drop("_asked", "_answered")
+    signature = box_signature(*(F.col("_of")[c] for c in SIGNED))
+    return met.select(*KEYS, "stored", "answer", "_asked", F.explode(counts).alias("_of")).select(*KEYS, *(
+        F.when(F.col("_asked"), signature if c == "box_signature" else F.col("answer")[c])
+        .otherwise(F.col("stored")[c]).alias(c)
+        for c in held
+    ))
+
+
+def partial_boxes(said: DataFrame) -> DataFrame:
+    """New boxes, from the same rows as those of :func:`partial_annotations`."""
+    held = said.select("box.*").columns
+    rows = said.select(
+        *KEYS, F.coalesce(F.col("asked") & _keyed(), F.lit(False)).alias("_asked"),
+        (F.col("answer").isNotNull() & _keyed()).alias("_answered"), F.col("box").isNotNull().alias("_is_box"),
+        F.when(~_keyed(), F.xxhash64(*(F.col("box")[c] for c in SIGNED))).alias("_alone"), "box.*",
+    )
+    region = Window.partitionBy(*KEYS, "_alone")
+    met = rows.withColumns({name: F.max(name).over(region) for name in ("_asked", "_answered")})
+    lost = F.col("_asked") & ~F.col("_answered")
+    return (
+        met.where(F.col("_is_box") & ~(lost & (F.col("source") == "detected")))
+        .withColumn("computed", F.when(F.col("_asked"), F.col("_answered")).otherwise(F.col("computed")))
+        .select(*KEYS, *held)
     )
-    return new_boxes, new_annotations
 
 
 def upper_median_height(boxes: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from annolytics.operators import boxes as bx
 from annolytics.operators import ordering as od
 from annolytics.operators import spatial as sp
 from annolytics.plans import skew
@@ -76,6 +78,44 @@ def test_box_state_moves_by_panel_only(spark, large, name):
     assert keys and not [k for k in keys if "region_id" in k]
 
 
+@pytest.mark.parametrize("name", ["apply_partial_result", "apply_partial_boxes"])
+def test_partial_result_reads_boxes_once(spark, large, name):
+    assert len(moves(entry.queries()[name](spark, FOLDER))) == 1
+
+
+def test_partial_result_of_odd_rows(spark):
+    keys = [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (1, "d"), (1, None), (1, None), (None, "a"), (2, "a")]
+    boxes = spark.createDataFrame(
+        [(i, p, r, i, 0, 5, 5, True, None, s, True) for i, ((p, r), s) in enumerate(zip(keys, [*["detected"] * 4, "manual", *["detected"] * 4]))],
+        "ord int, panel_id int, region_id string, x int, y int, width int, height int, vertical boolean, "
+        "forced_orientation string, source string, computed boolean")
+    stored = spark.createDataFrame(
+        [(1, "a", "old", "s"), (1, "b", "old", "s"), (1, "b", "twin", "s"), (1, None, "old", "s"), (1, None, "old", "s"), (2, "a", None, None), (3, "a", "gone", "s")],
+        "panel_id int, region_id string, text string, box_signature string")
+    targets = spark.createDataFrame(
+        [(1, "a"), (1, "a"), (1, "c"), (1, "d"), (1, None), (None, "a"), (5, "x")], "panel_id int, region_id string")
+    returned = spark.createDataFrame(
+        [(1, "a", "new", "", 7), (1, "a", "too", "", 7), (1, "b", "unasked", "", 7), (1, None, "keyless", "", 7), (5, "x", "no box", "", 7)],
+        "panel_id int, region_id string, text string, box_signature string, more int")
+    kept, annotations = bx.apply_partial_result(boxes, stored, targets, returned)
+    assert kept.columns == [*bx.KEYS, *(c for c in boxes.columns if c not in bx.KEYS)] and annotations.columns == stored.columns
+    assert {(r.ord, r.computed) for r in kept.collect()} == {(0, True), (1, True), (2, True), (4, False), (5, True), (6, True), (7, True), (8, True)}
+    signed = {r.ord: r.box_signature for r in bx.with_signature(boxes).collect()}
+    assert Counter(map(tuple, annotations.collect())) == Counter([
+        *((1, "a", text, signed[i]) for text in ("new", "too") for i in (0, 1)), (1, "b", "old", "s"), (1, "b", "twin", "s"),
+        (1, None, "old", "s"), (1, None, "old", "s"), (2, "a", None, None), (3, "a", "gone", "s")])
+
+
+def test_answers_and_boxes_of_one_row_or_several(spark):
+    """An answer counts for every box of its region, wherever they stand."""
+    rows = spark.range(4).selectExpr(
+        "1 as panel_id", "'a' as region_id", "id = 0 as asked",
+        "named_struct('x', int(id), 'y', 0, 'width', 1, 'height', 1, 'vertical', true, 'forced_orientation', string(null)) as box",
+        "named_struct('text', 'old', 'box_signature', 's') as stored", "case when id > 1 then named_struct('text', string(id)) end as answer")
+    new = bx.partial_annotations(rows)
+    assert Counter(r.text for r in new.collect()) == {"2": 4, "3": 4} and new.distinct().count() == 8
+
+
 def test_keys_of_crowded_buckets_are_counted(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKET_ROWS", 1)
     monkeypatch.setattr(skew, "BUCKETS", 3)
