@@ -19,6 +19,8 @@ from annolytics.plans.skew import by, ordered_index
 KEYS = ["panel_id", "region_id"]
 # Columns that a box's signature is made of.
 SIGNED = ("x", "y", "width", "height", "vertical", "forced_orientation")
+# What a row says about a region, in the order in which the rows of a region are read.
+REMOVED, PATCH, ADDED, BASE = range(4)
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:
@@ -143,27 +145,53 @@ def apply_overrides(
 
     Among added rows, and among patches, the last by ``ord`` wins; an added row
     replaces a base row of the same id, and removal beats both. "Last" is a
-    partial aggregate, not a window.
+    partial aggregate, so a region with many patches leaves each task as one row.
     """
+    patch_columns = [c for c in patch_columns if c in base.columns]
+
     def last(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        packed = F.max_by(F.struct(*columns), F.col("ord"))
+        packed = F.max_by(F.struct(*columns), F.struct("ord"))
         return df.groupBy(*KEYS).agg(packed.alias("_row")).select(*KEYS, "_row.*")
 
-    gone = removed.select(*KEYS).distinct()
-    columns = [c for c in base.columns if c not in KEYS]
-    fresh = last(added, columns).join(gone, KEYS, "left_anti").select(base.columns)
-    fix = last(patches, list(patch_columns)).select(
-        *KEYS, *(F.col(c).alias(f"_new_{c}") for c in patch_columns))
-    kept = (
-        base.join(gone, KEYS, "left_anti")
-        .join(fresh.select(*KEYS), KEYS, "left_anti")
-        .join(fix, KEYS, "left")
-        .select(*(
-            F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in patch_columns else F.col(c)
-            for c in base.columns
-        ))
+    def said(role: int, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"_role": F.lit(role), "_turn": F.lit(0)})
+
+    rows = said(BASE, base)
+    for other in (
+        said(REMOVED, removed.select(*KEYS).distinct()),
+        said(PATCH, last(patches, patch_columns)),
+        said(ADDED, last(added, [c for c in base.columns if c not in KEYS])),
+    ):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return overridden(rows, patch_columns)
+
+
+def overridden(said: DataFrame, patch_columns: Sequence[str]) -> DataFrame:
+    """What is left of base rows after removals, patches and added rows, all given as rows of one table.
+
+    ``said`` has the columns of a base row, ``_role`` (REMOVED, PATCH, ADDED or BASE) and ``_turn``, by
+    which the last patch and the last added row of a region win. Rows of a region are read once, in
+    the order of the roles; base rows without a panel or region have no counterpart and stay as they are.
+    """
+    columns = [c for c in said.columns if c not in ("_role", "_turn")]
+    role = F.col("_role")
+    alone = F.when(~_keyed() & (role == BASE), F.xxhash64(F.to_json(F.struct(*columns))))
+    region = (
+        Window.partitionBy(*KEYS, "_alone").orderBy("_role", F.col("_turn").desc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return kept.unionByName(fresh)
+    fix = F.when((role == PATCH) & _keyed(), F.struct(*patch_columns))
+    read = said.withColumn("_alone", alone).withColumns({
+        "_gone": F.max((role == REMOVED) & _keyed()).over(region),
+        "_fix": F.first(fix, ignorenulls=True).over(region),
+        "_added": F.count(F.when(role == ADDED, True)).over(region),
+    })
+    stays = ((role == BASE) & (F.col("_added") == 0)) | ((role == ADDED) & (F.col("_added") == 1))
+    return read.where(stays & ~F.col("_gone")).select(*(
+        F.when(role == BASE, F.coalesce(F.col("_fix")[c], F.col(c))).otherwise(F.col(c)).alias(c)
+        if c in patch_columns else F.col(c)
+        for c in columns
+    ))
 
 
 def active_boxes(boxes: DataFrame) -> DataFrame:

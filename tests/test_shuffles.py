@@ -116,6 +116,26 @@ def test_answers_and_boxes_of_one_row_or_several(spark):
     assert Counter(r.text for r in new.collect()) == {"2": 4, "3": 4} and new.distinct().count() == 8
 
 
+def test_overrides_read_boxes_once(spark, large):
+    assert len(moves(entry.queries()["apply_overrides"](spark, FOLDER))) == 1
+
+
+def test_overrides_of_odd_rows(spark):
+    shape = "panel_id int, region_id string, ord int, x int, width int"
+    base = spark.createDataFrame(
+        [(1, "a", 1, 10, 20), (1, "a", 2, 11, 21), (1, "b", 3, 12, 22), (1, "c", 4, 13, 23), (1, None, 5, 14, 24), (1, None, 5, 14, 24), (None, "a", 6, 15, 25), (1, "d", 7, None, 26)], shape)
+    removed = spark.createDataFrame([(1, "b"), (1, "b"), (1, "f"), (1, None), (None, "a")], "panel_id int, region_id string")
+    patches = spark.createDataFrame(
+        [(1, "a", 1, 90, 91), (1, "a", 2, None, 92), (1, "c", 1, 93, 94), (1, None, 1, 95, 96), (1, "d", 3, 97, None), (9, "z", 1, 98, 99)], shape)
+    added = spark.createDataFrame(
+        [(1, "c", 8, 50, 51), (1, "c", 9, 52, None), (1, "e", 3, 53, 54), (1, "f", 1, 55, 56), (1, "b", 1, 57, 58), (1, None, 1, 59, 60), (1, None, 2, 61, 62)], shape)
+    left = bx.apply_overrides(base, removed, patches, added, ["x", "width"])
+    assert left.columns == base.columns
+    assert Counter(map(tuple, left.collect())) == Counter([
+        (1, "a", 1, 10, 92), (1, "a", 2, 11, 92), (1, "c", 9, 52, None), (1, None, 5, 14, 24), (1, None, 5, 14, 24),
+        (None, "a", 6, 15, 25), (1, "d", 7, 97, 26), (1, "e", 3, 53, 54), (1, None, 2, 61, 62)])
+
+
 def test_keys_of_crowded_buckets_are_counted(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKET_ROWS", 1)
     monkeypatch.setattr(skew, "BUCKETS", 3)
